@@ -1,0 +1,129 @@
+"""Engine tables derived from the driver's TPC-H-ish tables.
+
+The driver tables hold no model responses, so the engine's inputs are derived from them
+with deterministic rules (orders play responses, lineitem plays mentions, part plays the
+registry, documents carry the response prose). Every derived table grows with its source
+table: nothing here is a fixed literal input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def _padded(prefix: str, value: Column, width: int) -> Column:
+    return F.concat(F.lit(prefix), F.lpad(value.cast("string"), width, "0"))
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run record per order: the experimental cell and the call outcome."""
+    o = read_table(spark, sf_dir, "orders")
+    cust = F.col("o_custkey")
+    key = F.col("o_orderkey")
+    prompt_no = cust % 50
+    return o.select(
+        key.alias("response_id"),
+        F.concat(F.lit("sweep-"), (key % 3).cast("string")).alias("run_id"),
+        _padded("prompt-", prompt_no, 2).alias("prompt_id"),
+        F.when(cust % 2 == 0, "python").otherwise("javascript").alias("ecosystem"),
+        F.concat(F.lit("domain-"), (cust % 5).cast("string")).alias("domain"),
+        F.when(prompt_no % 3 == 0, "vague")
+        .when(prompt_no % 3 == 1, "detailed")
+        .otherwise("niche")
+        .alias("specificity"),
+        F.concat(F.lit("model-"), (cust % 4).cast("string")).alias("model_id"),
+        (key % 20).alias("run_index"),
+        (F.col("o_orderpriority") != "5-LOW").alias("ok"),
+        (key % 11 == 0).alias("truncated"),
+        F.col("o_orderdate").alias("created_at"),
+    )
+
+
+def mentions(spark: SparkSession, sf_dir: str, name_modulus: int = 400) -> DataFrame:
+    """One mention per line item of a successful run (the `mentions` view's columns plus
+    the run key). ``alias_resolved`` is three-valued: set for Python imports only."""
+    r = runs(spark, sf_dir).filter("ok")
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_linestatus", "l_returnflag"
+    )
+    k = F.col("l_partkey") % name_modulus
+    return r.join(li, r.response_id == li.l_orderkey, "inner").select(
+        *[F.col(c) for c in r.columns],
+        F.col("l_linenumber").alias("mention_idx"),
+        _padded("pkg-", k, 3).alias("name"),
+        F.when(F.col("l_linestatus") == "O", "import").otherwise("install").alias("source"),
+        F.when(F.col("l_returnflag") == "R", "prose").otherwise("code_block").alias("origin"),
+        F.when(
+            (F.col("ecosystem") == "python") & (F.col("l_linestatus") == "O"), k % 3 != 0
+        ).alias("alias_resolved"),
+    )
+
+
+def names(spark: SparkSession, sf_dir: str, name_modulus: int = 400) -> DataFrame:
+    """Registry snapshot: one status per (ecosystem, name). One name in 20 is absent, so
+    it stays unchecked (NULL after the join), which is what invariant I1 is about."""
+    k = F.col("k")
+    part_keys = (
+        read_table(spark, sf_dir, "part")
+        .select((F.col("p_partkey") % name_modulus).alias("k"))
+        .distinct()
+    )
+    return (
+        part_keys.filter(k % 20 < 19)
+        .select(
+            F.explode(F.array(F.lit("python"), F.lit("javascript"))).alias("ecosystem"),
+            _padded("pkg-", k, 3).alias("name"),
+            F.when(k % 20 < 14, "exists").when(k % 20 < 18, "not_found").otherwise("error")
+            .alias("status"),
+        )
+    )
+
+
+# Template fragments of the derived response texts (one per doc_id % 10). These are test
+# content, not vocabulary: each exercises one extraction rule.
+_FENCE = "```"
+_TEMPLATES: dict[int, list] = {
+    0: [_FENCE, "python\n", "import os, cv2 as c\n", "from ghost", "#MOD7", ".sub import x\n",
+        "from .rel import y\n", _FENCE, "\n"],
+    1: [_FENCE, "js\n", "import x from 'lodash/merge';\n",
+        "const p = require('@scope/pkg/sub');\n", "import fs from 'node:fs/promises';\n",
+        _FENCE, "\n"],
+    2: [_FENCE, "bash\n",
+        "$ pip install -r requirements.txt Flask_SQLAlchemy 'httpx>=0.27' celery[redis]  # core\n",
+        _FENCE, "\n"],
+    3: [_FENCE, "json\n",
+        '{"dependencies":{"express":"^4","@types/node":"20"},"devDependencies":{"zod":"3"}}\n',
+        _FENCE, "\n"],
+    4: [_FENCE, "requirements\n", "# pinned\n", "requests==2.31\n", "sqlite3  # built-in\n",
+        "-r other.txt\n", _FENCE, "\n"],
+    5: ["Just run npm install got and you are away.\n"],
+    6: [_FENCE, "python:helpers.py\n", "def x(): pass\n", _FENCE, "\n", _FENCE, "python\n",
+        "from helpers import x\n", "import yaml\n", _FENCE, "\n"],
+    7: [_FENCE, "\n", "npm i express@4.18.2 ./local -D typescript (or yarn)\n", _FENCE, "\n"],
+    8: ["First pip install rich to get started.\n", _FENCE, "python\n", "import unclosed\n"],
+}
+
+
+def _template(parts: list, doc_id: Column) -> Column:
+    cols = [(doc_id % 7).cast("string") if p == "#MOD7" else F.lit(p) for p in parts]
+    return F.concat(*cols)
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model responses: a document's whole text, a newline, then one code template.
+    Even doc ids are Python prompts, odd ones JavaScript."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    doc_id = F.col("doc_id")
+    tail = F.lit("")
+    for k in sorted(_TEMPLATES, reverse=True):
+        tail = F.when(doc_id % 10 == k, _template(_TEMPLATES[k], doc_id)).otherwise(tail)
+    return d.select(
+        doc_id.alias("response_id"),
+        F.when(doc_id % 2 == 0, "python").otherwise("javascript").alias("ecosystem"),
+        F.concat(F.col("text"), F.lit("\n"), tail).alias("response_text"),
+    )

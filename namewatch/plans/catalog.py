@@ -67,8 +67,11 @@ REPORT: dict[str, Query] = {
 
 
 def all_queries() -> dict[str, Query]:
+    from namewatch.plans.extraction_queries import QUERIES as EXTRACTION
+
     out: dict[str, Query] = {}
     out.update(REPORT)
+    out.update(EXTRACTION)
     return out
 
 

@@ -1,0 +1,42 @@
+"""Run the Spark extraction on literal texts (one response per call)."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from namewatch.operators import extract as X
+
+PY_STDLIB = {"os", "sys", "json", "pathlib", "asyncio", "typing", "re", "csv", "logging",
+             "sqlite3"}
+PY_ALIASES = {"cv2": "opencv-python", "PIL": "pillow", "yaml": "pyyaml",
+              "bs4": "beautifulsoup4"}
+JS_BUILTINS = {"fs", "path", "http", "https", "crypto", "os", "url", "events", "stream"}
+
+
+@dataclass
+class Result:
+    packages: list = field(default_factory=list)
+    filtered: dict = field(default_factory=dict)
+    notes: list = field(default_factory=list)
+
+    @property
+    def names(self) -> set[str]:
+        return {p["name"] for p in self.packages}
+
+
+def run_extract(spark, text: str, ecosystem: str | None, vocab=None) -> Result:
+    if vocab is None:
+        vocab = X.Vocabulary.small(spark, PY_STDLIB, JS_BUILTINS, PY_ALIASES)
+    df = spark.createDataFrame([(1, ecosystem, text)],
+                               "response_id long, ecosystem string, response_text string")
+    resolved = X.extract_resolved(df, vocab).cache()
+    pk = X.mentions_of(resolved).orderBy(*X.POS).collect()
+    audit = X.filtered_audit(resolved).orderBy("pos").collect()
+    notes = X.prose_note(X.mentions_of(resolved)).collect()
+    res = Result()
+    res.packages = [r.asDict() for r in pk]
+    for r in audit:
+        res.filtered.setdefault(r["reason"], []).append(r["name"])
+    res.notes = [r["note"] for r in notes]
+    resolved.unpersist()
+    return res

@@ -96,6 +96,7 @@ ATTEMPTS = T.StructType(
 
 CALLS = T.StructType(
     [
+        T.StructField("call_id", T.LongType()),
         T.StructField("model_id", T.StringType()),
         T.StructField("prompt_id", T.StringType()),
         T.StructField("run_index", T.LongType()),

@@ -8,7 +8,7 @@ table: nothing here is a fixed literal input.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -127,3 +127,160 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(doc_id % 2 == 0, "python").otherwise("javascript").alias("ecosystem"),
         F.concat(F.col("text"), F.lit("\n"), tail).alias("response_text"),
     )
+
+
+# ------------------------------------------------------------------ sweep and lookup inputs
+# A total order of the line items of one order (line numbers alone repeat).
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep's prompt dimension: one prompt per customer group (custkey mod 50), with
+    the attributes the run records carry; ``ord`` is file-then-entry order."""
+    c = read_table(spark, sf_dir, "customer")
+    k = F.col("c_custkey") % 50
+    g = c.groupBy(k.alias("k")).agg(
+        F.min("c_name").alias("first_name"), F.min("c_mktsegment").alias("segment")
+    )
+    kk = F.col("k")
+    eco = F.when(kk % 2 == 0, "python").otherwise("javascript")
+    return g.select(
+        _padded("prompt-", kk, 2).alias("id"),
+        eco.alias("ecosystem"),
+        F.concat(F.lit("domain-"), (kk % 5).cast("string")).alias("domain"),
+        F.when(kk % 3 == 0, "vague").when(kk % 3 == 1, "detailed").otherwise("niche")
+        .alias("specificity"),
+        F.concat(F.lit("Write a "), F.lower("segment"), F.lit(" tool for "), F.col("first_name"))
+        .alias("text"),
+        F.concat(eco, F.lit(".yaml")).alias("file"),
+        kk.alias("ord"),
+    )
+
+
+def prompt_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raw prompt corpus as it would be loaded from files, one entry per customer, with
+    the defects the corpus checks look for (missing fields, unknown enums, blank text,
+    ids reused across entries)."""
+    c = read_table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    eco = (
+        F.when(F.col("c_mktsegment") == "BUILDING", "rust")
+        .when(key % 2 == 0, "python")
+        .otherwise("javascript")
+    )
+    prefix = F.when(key % 2 == 0, "py").otherwise("js")
+    return c.select(
+        F.concat(prefix, F.lit("-"), (key % 1000).cast("string")).alias("id"),
+        eco.alias("ecosystem"),
+        F.lower("c_mktsegment").alias("domain"),
+        F.when(F.col("c_nationkey") % 4 == 0, "vague")
+        .when(F.col("c_nationkey") % 4 == 1, "detailed")
+        .when(F.col("c_nationkey") % 4 == 2, "niche")
+        .alias("specificity"),
+        F.when(F.col("c_acctbal") < 0, F.lit("   "))
+        .otherwise(F.concat(F.lit("  Write a tool for "), F.col("c_name"), F.lit(" \n")))
+        .alias("text"),
+        F.concat(F.when(key % 2 == 0, "python").otherwise("javascript"), F.lit(".yaml"))
+        .alias("file"),
+        key.alias("ord"),
+    )
+
+
+def models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model dimension: the models that appear in the orders (custkey mod 4); model 3 is
+    disabled."""
+    o = read_table(spark, sf_dir, "orders")
+    n = F.col("n")
+    return (
+        o.select((F.col("o_custkey") % 4).alias("n"))
+        .distinct()
+        .select(
+            F.concat(F.lit("model-"), n.cast("string")).alias("id"),
+            F.when(n % 2 == 0, "anthropic").otherwise("openai").alias("provider"),
+            F.concat(F.lit("alias-"), n.cast("string")).alias("model"),
+            (n < 3).alias("enabled"),
+            F.create_map(F.lit("max_tokens"), F.lit("8192")).alias("params"),
+        )
+    )
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry lookup log: every line item is one GET for the name of its part, in the
+    ecosystem of its order's parity; the outcome comes from the line's flags."""
+    li = read_table(spark, sf_dir, "lineitem")
+    code = (F.col("l_partkey") + F.col("l_suppkey")) % 10
+    status = (
+        F.when(code <= 4, 200)
+        .when(code <= 6, 404)
+        .when(code == 7, 429)
+        .when(code == 8, F.when(F.col("l_returnflag") == "R", 403).otherwise(503))
+        .otherwise(F.lit(None))
+    )
+    return li.select(
+        F.when(F.col("l_orderkey") % 2 == 0, "python").otherwise("javascript").alias("ecosystem"),
+        _padded("pkg-", F.col("l_partkey") % 400, 3).alias("name"),
+        F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
+        .cast("int").alias("attempt"),
+        status.cast("int").alias("http_status"),
+        F.when(status.isNull(), F.lit("ConnectTimeout: timed out"))
+        .otherwise(F.concat(F.lit("HTTP "), status.cast("string"))).alias("detail"),
+        F.col("l_shipdate").alias("checked_at"),
+        F.col("l_orderkey").alias("batch"),
+    )
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model call log: each order is one sweep task (its run keys), each of its line items
+    one attempt; the error class comes from the line's part and supplier keys."""
+    r = runs(spark, sf_dir).select("response_id", "model_id", "prompt_id", "run_index")
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_quantity",
+        "l_extendedprice", "l_shipdate",
+    )
+    j = r.join(li, r.response_id == li.l_orderkey, "inner")
+    code = F.col("l_partkey") % 10
+    status = (
+        F.when(code == 0, 429).when(code == 1, 503).when(code == 2, 400).when(code == 3, 401)
+        .when(code == 4, 500).when(code == 5, 408).otherwise(F.lit(None))
+    ).cast("int")
+    exc = (
+        F.when(status == 429, "RateLimitError").when(status.isin(500, 503), "InternalServerError")
+        .when(status == 408, "APITimeoutError").when(status == 400, "BadRequestError")
+        .when(status == 401, "AuthenticationError")
+    )
+    quota = (status == 429) & (F.col("l_suppkey") % 3 == 0)
+    provider = F.when(F.col("model_id").isin("model-0", "model-2"), "anthropic").otherwise("openai")
+    message = F.when(
+        quota & (F.col("l_suppkey") % 2 == 0),
+        F.lit("Error code: 429 - {'error': {'code': 'insufficient_quota'}}"),
+    ).when(status.isNotNull(), F.concat(F.lit("Error code: "), status.cast("string"),
+                                        F.lit(" - request failed")))
+    stop = F.when(status.isNull(),
+                  F.when(F.col("l_returnflag") == "R",
+                         F.when(provider == "anthropic", "max_tokens").otherwise("length"))
+                  .otherwise(F.when(provider == "anthropic", "end_turn").otherwise("stop")))
+    return j.select(
+        F.col("response_id").alias("call_id"),
+        "model_id", "prompt_id", "run_index",
+        F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
+        .cast("int").alias("attempt"),
+        provider.alias("provider"),
+        exc.alias("exc_type"),
+        F.when(quota & (F.col("l_suppkey") % 2 == 1), F.lit("insufficient_quota")).alias("error_code"),
+        status.alias("status_code"),
+        message.alias("message"),
+        stop.alias("stop_reason"),
+        (F.col("l_quantity") / 10.0).alias("latency_s"),
+        F.col("l_shipdate").alias("created_at"),
+    )
+
+
+def content_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provider content blocks: each conversation is one response, each turn one block
+    (assistant turns are text, user and system turns stand in for thinking blocks)."""
+    c = read_table(spark, sf_dir, "conversations")
+    return c.select(
+        F.col("conv_id").alias("response_id"),
+        F.col("turn").alias("part_idx"),
+        F.when(F.col("role") == "assistant", "text").otherwise("thinking").alias("type"),
+        F.col("text"),
+    )

@@ -68,12 +68,14 @@ REPORT: dict[str, Query] = {
 
 def all_queries() -> dict[str, Query]:
     from namewatch.plans.extraction_queries import QUERIES as EXTRACTION
+    from namewatch.plans.file_queries import QUERIES as FILES
     from namewatch.plans.ops_queries import QUERIES as OPS
 
     out: dict[str, Query] = {}
     out.update(REPORT)
     out.update(EXTRACTION)
     out.update(OPS)
+    out.update(FILES)
     return out
 
 

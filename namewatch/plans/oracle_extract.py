@@ -303,27 +303,35 @@ def pipeline_ctes() -> str:
         "joined AS (SELECT k.*, v.name IS NOT NULL AS in_vocab, a.dist_name AS a_dist FROM keyed2 k "
         "LEFT JOIN vocab v ON v.language = k.ecosystem AND v.name = k.vocab_key "
         "LEFT JOIN aliases a ON k.ecosystem = 'python' AND k.is_import AND a.import_name = k.py_raw)",
-        "resolved AS (SELECT response_id, eco_ord, section, block_idx, rule, match_idx, item_idx, "
+        resolved_cte("resolved", "in_vocab", "a_dist"),
+        "mentions AS (SELECT response_id, eco_ord, section, block_idx, rule, match_idx, item_idx, "
+        "raw, name, ecosystem, source, origin, alias_resolved FROM resolved WHERE reason IS NULL)",
+    ]
+    return "WITH " + ",\n".join(ctes) + "\n"
+
+
+def resolved_cte(cte: str, in_vocab: str, a_dist: str) -> str:
+    """K15-K17 over ``joined``; ``in_vocab`` / ``a_dist`` name the vocabulary lookups (a
+    stale extractor passes ``false`` / ``NULL``)."""
+    return (
+        f"{cte} AS (SELECT response_id, eco_ord, section, block_idx, rule, match_idx, item_idx, "
         "ecosystem, source, origin, "
         "CASE WHEN ecosystem = 'python' THEN ("
         "  CASE WHEN is_import AND starts_with(raw, '.') THEN 'relative' "
         f"  WHEN NOT {plausible('py_raw')} THEN 'malformed' "
-        "  WHEN in_vocab OR py_raw = '__future__' THEN 'stdlib' "
+        f"  WHEN {in_vocab} OR py_raw = '__future__' THEN 'stdlib' "
         "  WHEN is_import AND list_contains(declared, py_raw) THEN 'declared_in_response' END) "
-        "ELSE (CASE WHEN js_root IS NULL THEN 'relative' WHEN in_vocab THEN 'builtin' "
+        f"ELSE (CASE WHEN js_root IS NULL THEN 'relative' WHEN {in_vocab} THEN 'builtin' "
         f"  WHEN NOT {plausible('vocab_key')} THEN 'malformed' END) END AS reason, "
         "CASE WHEN ecosystem = 'python' THEN (CASE WHEN is_import AND starts_with(raw, '.') "
-        "THEN raw ELSE py_raw END) ELSE (CASE WHEN in_vocab AND js_root IS NOT NULL THEN js_root "
+        f"THEN raw ELSE py_raw END) ELSE (CASE WHEN {in_vocab} AND js_root IS NOT NULL THEN js_root "
         "ELSE raw END) END AS audit_name, "
         "CASE WHEN ecosystem = 'python' THEN py_raw ELSE raw END AS raw, "
-        f"CASE WHEN ecosystem = 'python' THEN {norm_py('CASE WHEN is_import THEN coalesce(a_dist, py_raw) ELSE py_raw END')} "
+        f"CASE WHEN ecosystem = 'python' THEN {norm_py(f'CASE WHEN is_import THEN coalesce({a_dist}, py_raw) ELSE py_raw END')} "
         f"ELSE {norm_js('js_root')} END AS name, "
-        "CASE WHEN ecosystem = 'python' AND is_import THEN a_dist IS NOT NULL END AS alias_resolved "
-        "FROM joined)",
-        "mentions AS (SELECT response_id, eco_ord, section, block_idx, rule, match_idx, item_idx, "
-        "raw, name, ecosystem, source, origin, alias_resolved FROM resolved WHERE reason IS NULL)",
-    ]
-    return "WITH " + ",\n".join(ctes) + "\n"
+        f"CASE WHEN ecosystem = 'python' AND is_import THEN {a_dist} IS NOT NULL END AS alias_resolved "
+        "FROM joined)"
+    )
 
 
 POS = "eco_ord, section, block_idx, rule, match_idx, item_idx"

@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from namewatch import schemas
 from namewatch.functions.text import ustrip
@@ -41,7 +42,8 @@ def scan_tolerant(spark: SparkSession, path: str, schema=schemas.RUNS,
     ``strict`` fails on the first malformed line (re-extraction input)."""
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    with_corrupt = schema.add(CORRUPT, "string") if CORRUPT not in schema.fieldNames() else schema
+    with_corrupt = (StructType([*schema.fields, StructField(CORRUPT, StringType())])
+                    if CORRUPT not in schema.fieldNames() else schema)
     df = (
         spark.read.schema(with_corrupt)
         .option("mode", "PERMISSIVE")

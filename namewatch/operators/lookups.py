@@ -49,6 +49,8 @@ def reduce_attempts(attempts: DataFrame, order: list[str] | None = None) -> Data
     http = F.when(decided, ft["http_status"]).otherwise(F.col("last")["http_status"])
     detail = F.when(decided & ft["http_status"].isin(200, 404), F.lit(None).cast("string")) \
         .when(decided, F.concat(F.lit("HTTP "), ft["http_status"].cast("string"))) \
+        .when(F.col("last")["http_status"].isNotNull(),
+              F.concat(F.lit("HTTP "), F.col("last")["http_status"].cast("string"))) \
         .otherwise(F.col("last")["detail"])
     return agg.select(
         *KEY,

@@ -96,6 +96,7 @@ def reduce_sql(where: str = "TRUE") -> str:
          CASE WHEN ft.ft_status IS NOT NULL THEN ft.ft_status ELSE la.last_status END AS http_status,
          CASE WHEN ft.ft_status IN (200, 404) THEN NULL
               WHEN ft.ft_status IS NOT NULL THEN concat('HTTP ', CAST(ft.ft_status AS VARCHAR))
+              WHEN la.last_status IS NOT NULL THEN concat('HTTP ', CAST(la.last_status AS VARCHAR))
               ELSE la.last_detail END AS detail,
          agg.checked_at, agg.attempts
   FROM agg LEFT JOIN ft USING (ecosystem, name) LEFT JOIN la USING (ecosystem, name))"""

@@ -1,4 +1,4 @@
-"""Run the Spark extraction on literal texts (one response per call)."""
+"""Run the Spark extraction on literal texts (one response per call, one Spark job)."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ PY_ALIASES = {"cv2": "opencv-python", "PIL": "pillow", "yaml": "pyyaml",
               "bs4": "beautifulsoup4"}
 JS_BUILTINS = {"fs", "path", "http", "https", "crypto", "os", "url", "events", "stream"}
 
+_VOCAB: dict[int, X.Vocabulary] = {}
+
 
 @dataclass
 class Result:
@@ -24,19 +26,30 @@ class Result:
         return {p["name"] for p in self.packages}
 
 
+def _vocabulary(spark) -> X.Vocabulary:
+    key = id(spark)
+    if key not in _VOCAB:
+        _VOCAB[key] = X.Vocabulary.small(spark, PY_STDLIB, JS_BUILTINS, PY_ALIASES)
+    return _VOCAB[key]
+
+
 def run_extract(spark, text: str, ecosystem: str | None, vocab=None) -> Result:
-    if vocab is None:
-        vocab = X.Vocabulary.small(spark, PY_STDLIB, JS_BUILTINS, PY_ALIASES)
+    """Collect every resolved candidate of one response (a handful of rows) and split
+    them into packages, the filtered audit (first-seen order) and the prose note."""
+    vocab = vocab or _vocabulary(spark)
     df = spark.createDataFrame([(1, ecosystem, text)],
                                "response_id long, ecosystem string, response_text string")
-    resolved = X.extract_resolved(df, vocab).cache()
-    pk = X.mentions_of(resolved).orderBy(*X.POS).collect()
-    audit = X.filtered_audit(resolved).orderBy("pos").collect()
-    notes = X.prose_note(X.mentions_of(resolved)).collect()
+    rows = sorted((r.asDict() for r in X.extract_resolved(df, vocab).collect()),
+                  key=lambda r: tuple(r[c] for c in X.POS))
     res = Result()
-    res.packages = [r.asDict() for r in pk]
-    for r in audit:
-        res.filtered.setdefault(r["reason"], []).append(r["name"])
-    res.notes = [r["note"] for r in notes]
-    resolved.unpersist()
+    for r in rows:
+        if r["reason"] is None:
+            res.packages.append({k: r[k] for k in ("raw", "name", "ecosystem", "source",
+                                                   "origin", "alias_resolved")})
+        else:
+            seen = res.filtered.setdefault(r["reason"], [])
+            if r["audit_name"] not in seen:
+                seen.append(r["audit_name"])
+    if any(p["origin"] == "prose" for p in res.packages):
+        res.notes.append(X.PROSE_NOTE)
     return res

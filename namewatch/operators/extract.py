@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namewatch import fixed_values as V
@@ -25,6 +25,8 @@ MAX_BROADCAST_ROWS = 2_000_000
 
 POS = ["eco_ord", "section", "block_idx", "rule", "match_idx", "item_idx"]
 
+_DEFAULTS: dict[tuple, "Vocabulary"] = {}
+
 
 def small_dimension(df: DataFrame, known_rows: int | None = None,
                     max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -43,21 +45,26 @@ class Vocabulary:
     aliases: DataFrame  # (import_name, dist_name)
     module_rows: int | None = None
     alias_rows: int | None = None
+    unique: bool = False  # keys already unique (no dedupe needed before broadcasting)
 
     @classmethod
     def default(cls, spark: SparkSession) -> "Vocabulary":
         """The interpreter's standard-library names, the fixed Node built-ins and the fixed
-        import-alias table."""
-        mods = [("python", n) for n in V.python_stdlib_names()] + [
-            ("javascript", n) for n in V.NODE_BUILTINS
-        ]
-        al = list(V.PYTHON_IMPORT_ALIASES.items())
-        return cls(
-            spark.createDataFrame(mods, schemas.MODULE_NAMES),
-            spark.createDataFrame(al, schemas.ALIASES),
-            len(mods),
-            len(al),
-        )
+        import-alias table (built once per session)."""
+        key = (id(spark), id(spark.sparkContext._jsc))
+        if key not in _DEFAULTS:
+            mods = [("python", n) for n in V.python_stdlib_names()] + [
+                ("javascript", n) for n in V.NODE_BUILTINS
+            ]
+            al = list(V.PYTHON_IMPORT_ALIASES.items())
+            _DEFAULTS[key] = cls(
+                spark.createDataFrame(mods, schemas.MODULE_NAMES),
+                spark.createDataFrame(al, schemas.ALIASES),
+                len(mods),
+                len(al),
+                unique=True,
+            )
+        return _DEFAULTS[key]
 
     @classmethod
     def small(cls, spark: SparkSession, python: set[str], javascript: set[str],
@@ -95,18 +102,15 @@ def resolve(cands: DataFrame, vocab: Vocabulary) -> DataFrame:
         F.when(~py, root).otherwise(F.lit(None)).alias("js_root"),
         F.when(py, py_raw).otherwise(bare).alias("vocab_key"),
     )
-    mods = small_dimension(
-        vocab.module_names.select(
-            F.col("language").alias("v_lang"), F.col("name").alias("v_name")
-        ).distinct(),
-        vocab.module_rows,
-    )
-    al = small_dimension(
-        vocab.aliases.select(
-            F.col("import_name").alias("a_import"), F.col("dist_name").alias("a_dist")
-        ).dropDuplicates(["a_import"]),
-        vocab.alias_rows,
-    )
+    mods = vocab.module_names.select(
+        F.col("language").alias("v_lang"), F.col("name").alias("v_name"))
+    al = vocab.aliases.select(
+        F.col("import_name").alias("a_import"), F.col("dist_name").alias("a_dist"))
+    if not vocab.unique:
+        mods = mods.distinct()
+        al = al.dropDuplicates(["a_import"])
+    mods = small_dimension(mods, vocab.module_rows)
+    al = small_dimension(al, vocab.alias_rows)
     joined = keyed.join(
         mods, (F.col("v_lang") == eco) & (F.col("v_name") == F.col("vocab_key")), "left"
     ).join(al, py & is_import & (F.col("a_import") == F.col("py_raw")), "left")
@@ -256,6 +260,3 @@ def build_records(runs: DataFrame, responses: DataFrame, vocab: Vocabulary) -> D
         )
     )
 
-
-def col_or_null(name: str, df: DataFrame) -> Column:
-    return F.col(name) if name in df.columns else F.lit(None)

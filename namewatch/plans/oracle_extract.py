@@ -351,7 +351,7 @@ def all_sql() -> dict[str, str]:
     out = {
         "code_blocks": base + blocks,
         "block_langs": base + f"SELECT tag, lang, count(*) AS n FROM ({blocks}) GROUP BY tag, lang",
-        "prose_text": base + "SELECT response_id, length(prose) AS prose_len, md5(prose) AS prose_md5 FROM g",
+        "prose_text": base + "SELECT response_id, CAST(length(prose) AS INTEGER) AS prose_len, md5(prose) AS prose_md5 FROM g",
         "untagged_infer": base + f"SELECT response_id, CAST(block_idx AS INTEGER) AS block_idx, "
         f"{infer('body')} AS inferred FROM blk2 WHERE {lang_of('tag')} = 'untagged'",
         "declared_modules": base + "SELECT response_id, declared FROM g",
@@ -390,7 +390,7 @@ def all_sql() -> dict[str, str]:
         "WHERE ecosystem = 'python' AND source = 'import' GROUP BY 1, 2, 3",
         "filtered_audit": base + f"""
 SELECT response_id, reason, name,
-       row_number() OVER (PARTITION BY response_id, reason ORDER BY {POS}) AS seen_order
+       CAST(row_number() OVER (PARTITION BY response_id, reason ORDER BY {POS}) AS INTEGER) AS seen_order
 FROM (SELECT response_id, reason, audit_name AS name, {POS},
              row_number() OVER (PARTITION BY response_id, reason, audit_name ORDER BY {POS}) AS rn
       FROM resolved WHERE reason IS NOT NULL) WHERE rn = 1""",

@@ -39,7 +39,7 @@ FROM pairs"""
 def all_sql() -> dict[str, str]:
     return {
         "scan_runs": BASE + f"""
-SELECT {RUN_COLS}, coalesce(n, 0) AS n_packages FROM runs_f r
+SELECT {RUN_COLS}, CAST(coalesce(n, 0) AS INTEGER) AS n_packages FROM runs_f r
 LEFT JOIN (SELECT response_id, count(*) AS n FROM mentions_f GROUP BY 1) m USING (response_id)""",
         "scan_mentions": BASE + "SELECT run_id, prompt_id, ecosystem, domain, specificity, "
         "model_id, run_index, name, source, origin, alias_resolved FROM mentions_f",

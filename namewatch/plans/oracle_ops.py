@@ -251,7 +251,8 @@ SELECT ecosystem, name, status, http_status, checked_at FROM (
         "count(*) FILTER (WHERE NOT from_cache) AS misses FROM split",
         "unique_names": W + "SELECT * FROM uniq ORDER BY ecosystem, name",
         "dedupe_first_seen": ext + f"""
-SELECT ecosystem, name, response_id, {OX.POS} FROM (
+SELECT ecosystem, name, response_id, eco_ord, section, CAST(block_idx AS INTEGER) AS block_idx, rule,
+       CAST(match_idx AS INTEGER) AS match_idx, CAST(item_idx AS INTEGER) AS item_idx FROM (
   SELECT *, row_number() OVER (PARTITION BY ecosystem, name ORDER BY response_id, {OX.POS}) AS rn
   FROM mentions) WHERE rn = 1""",
         "status_counts": W + "SELECT status, count(*) AS n FROM snap_all GROUP BY status",

@@ -394,3 +394,32 @@ def build_report(runs: DataFrame, registry: DataFrame) -> dict[str, DataFrame]:
         "caveats": caveats(runs, m, rec),
         "top_recurring": top_recurring(rec),
     }
+
+
+def recurrence_preaggregated(mentions: DataFrame, registry: DataFrame, cells: DataFrame,
+                             ordered: bool = True) -> DataFrame:
+    """A10 computed from mentions without materialising ``m``: mentions are first reduced
+    to distinct (cell, ecosystem, name, run) rows (map-side combine, so repeated mentions
+    of a hot name within a run collapse before any shuffle), then semi-joined to the
+    registry's not_found names (one row per name: no duplication), then counted. Same
+    result as ``recurrence(mention_status(...))``."""
+    keys = [*CELL, "ecosystem", "name"]
+    pre = mentions.groupBy(*keys, "run_index").agg(
+        F.bool_or(F.col("alias_resolved").eqNullSafe(False)).alias("unmapped"))
+    not_found = registry.filter(F.col("status") == "not_found").select("ecosystem", "name")
+    nf = pre.join(not_found, ["ecosystem", "name"], "left_semi")
+    agg = nf.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("appearances"),
+        F.bool_or("unmapped").alias("any_unmapped"),
+    )
+    needs_review = (F.col("ecosystem") == "python") & F.col("any_unmapped")
+    out = agg.join(cells, CELL, "inner").select(
+        "model_id", "prompt_id", "ecosystem", "name", "appearances", "runs",
+        F.try_divide(F.col("appearances"), F.col("runs")).alias("recurrence_rate"),
+        needs_review.alias("needs_review"),
+        review_label(needs_review).alias("status"),
+    )
+    if ordered:
+        out = out.orderBy(F.col("appearances").desc(), "model_id", "name", "prompt_id",
+                          "ecosystem")
+    return out

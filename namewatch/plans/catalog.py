@@ -22,7 +22,10 @@ def _m(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rec(spark: SparkSession, sf: str, ordered: bool = True) -> DataFrame:
-    return R.recurrence(_m(spark, sf), R.cell_runs(FX.runs(spark, sf)), ordered=ordered)
+    """Recurrence from pre-aggregated mentions (distinct cell-name-run rows before the
+    registry semi join)."""
+    return R.recurrence_preaggregated(FX.mentions(spark, sf), FX.names(spark, sf),
+                                      R.cell_runs(FX.runs(spark, sf)), ordered=ordered)
 
 
 REPORT: dict[str, Query] = {

@@ -16,6 +16,7 @@ def all_sql() -> dict[str, str]:
         "rule, CAST(match_idx AS INTEGER) AS match_idx, CAST(item_idx AS INTEGER) AS item_idx, raw, name, "
         "ecosystem, source, origin, alias_resolved FROM mentions",
         "stream_new_names": ext + "SELECT DISTINCT ecosystem, name FROM mentions",
+        "stream_new_names_bounded": BASE + "SELECT DISTINCT ecosystem, name FROM mentions_f",
         "stream_recurrence": BASE + "SELECT model_id, prompt_id, ecosystem, name, appearances, runs, "
         "recurrence_rate FROM rec",
         "stream_progress": BASE + "SELECT count(*) AS records, count(*) FILTER (WHERE ok) AS ok, "

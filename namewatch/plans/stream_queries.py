@@ -50,6 +50,21 @@ def stream_new_names(s, sf):
     return s.read.parquet(out)
 
 
+def stream_new_names_bounded(s, sf):
+    """T2, bounded state: first sighting of each (ecosystem, name) among the mentions of
+    arriving run records, deduplicated within an event-time watermark (``created_at``),
+    so the dedupe state expires instead of growing for ever. The delay here spans the
+    whole derived history, so the result equals the exact distinct set."""
+    src = ST.read_stream(s, _runs_dir(s, sf), ST.RUN_RECORDS)
+    mentions = R.ok_runs(src).select(
+        "ecosystem", "created_at", F.explode("packages").alias("p")
+    ).select("ecosystem", F.col("p.name").alias("name"), "created_at")
+    names = ST.stream_new_names(mentions, event_time="created_at", delay="36500 days")
+    out = FS.scratch_path(s, "sink-names-bounded")
+    ST.run_append(names.select("ecosystem", "name"), out, FS.scratch_path(s, "ckpt-names-b"))
+    return s.read.parquet(out)
+
+
 def stream_recurrence(s, sf):
     """Running recurrence numerators and denominators (update mode), rate by the
     batch reader."""
@@ -95,6 +110,7 @@ def stream_resume(s, sf):
 QUERIES = {
     "stream_mentions": stream_mentions,
     "stream_new_names": stream_new_names,
+    "stream_new_names_bounded": stream_new_names_bounded,
     "stream_recurrence": stream_recurrence,
     "stream_progress": stream_progress,
     "stream_resume": stream_resume,

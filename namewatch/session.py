@@ -16,6 +16,11 @@ ENGINE_CONF: dict[str, str] = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Streaming state (dedupe keys, per-cell counts) in RocksDB: off-heap, spills to local
+    # disk, checkpointed incrementally, so state sized by distinct names does not live in
+    # executor heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

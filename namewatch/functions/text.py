@@ -23,7 +23,7 @@ def lit_re(pattern: str) -> Column:
 def ustrip(c: Column) -> Column:
     """Python ``str.strip()``: remove Unicode whitespace at both ends (Spark's ``trim``
     removes spaces only)."""
-    return F.regexp_replace(c, lit_re(r"(?U)^\s+|\s+$"), F.lit(""))
+    return F.regexp_replace(c, lit_re(V.STRIP), F.lit(""))
 
 
 def _char_class(chars: str) -> str:
@@ -182,7 +182,7 @@ def clean_install_token(token: Column) -> Column:
 
 def split_ws(s: Column) -> Column:
     """Python ``str.split()``: whitespace runs, no empty tokens."""
-    return F.filter(F.split(s, r"(?U)\s+"), lambda x: x != "")
+    return F.filter(F.split(s, V.WHITESPACE_RUN), lambda x: x != "")
 
 
 def install_tokens(args: Column, prose: Column) -> Column:
@@ -284,8 +284,16 @@ def registry_url(ecosystem: Column, name: Column) -> Column:
     return out
 
 
+def _re2_forms() -> dict[str, str]:
+    return {V.java_regex(p, f): (f"(?{f})" if f else "") + p for p, f in V.PATTERNS.values()}
+
+
 def re2(pattern: str) -> str:
-    """The same pattern for RE2 (the SQL oracle's engine): drop the Java-only flags."""
+    """The same pattern for RE2 (the SQL oracle's engine): the plain form of a stated
+    pattern, else the Java form without its Java-only flags."""
+    plain = _re2_forms().get(pattern)
+    if plain is not None:
+        return plain
     m = re.match(r"^\(\?([a-zA-Z]+)\)", pattern)
     if not m:
         return pattern

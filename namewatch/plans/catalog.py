@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from namewatch.fixed_values import TOP_K_CONSOLE
 from namewatch.operators import report as R
 from namewatch.sources import fixtures as FX
 
@@ -55,6 +56,8 @@ REPORT: dict[str, Query] = {
     "recurrence_summary": lambda s, sf: R.recurrence_summary(_rec(s, sf, ordered=False)),
     "needs_review": lambda s, sf: R.needs_review_names(_rec(s, sf, ordered=False)),
     "top_recurring": lambda s, sf: R.top_recurring(_rec(s, sf, ordered=False)),
+    "top_recurring_console": lambda s, sf: R.top_recurring(
+        _rec(s, sf, ordered=False), TOP_K_CONSOLE),
     "recurrence_csv": lambda s, sf: R.recurrence_csv_rows(_rec(s, sf, ordered=False)),
     "totals": lambda s, sf: R.totals(FX.runs(s, sf), _m(s, sf)),
     "ok_by_model": lambda s, sf: R.ok_by_model(FX.runs(s, sf)),

@@ -146,7 +146,17 @@ def reextract_diff(s, sf):
     )
 
 
+def prompts_scan(s, sf):
+    """S3: the prompt corpus written as one folder per file and loaded back in
+    file-then-entry order, Python prompts only, text stripped."""
+    from namewatch.operators import quality as Q
+    path = FS.scratch_path(s, "prompts")
+    FS.write_prompt_corpus(FX.prompt_corpus(s, sf), path)
+    return Q.load_prompts(FS.scan_prompt_corpus(s, path), ["python"])
+
+
 QUERIES = {
+    "prompts_scan": prompts_scan,
     "scan_runs": scan_runs,
     "scan_mentions": scan_mentions,
     "scan_registry": scan_registry,

@@ -131,7 +131,6 @@ QUERIES = {
     "response_assemble": lambda s, sf: C.response_assemble(FX.content_parts(s, sf)),
     # corpus (Q1-Q4, S3, A19)
     "dq_prompts": lambda s, sf: Q.dq_prompts(FX.prompt_corpus(s, sf)),
-    "prompts_scan": lambda s, sf: Q.load_prompts(FX.prompt_corpus(s, sf), ["python"]),
     "corpus_summary": lambda s, sf: Q.corpus_summary(FX.prompts(s, sf)),
     # document-only extensions
     "cross_recurrence": lambda s, sf: E.cross_recurrence(_m(s, sf)),

@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from namewatch import schemas
 from namewatch.functions.text import ustrip
@@ -91,6 +91,19 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+# ------------------------------------------------------------------ prompt corpus
+def write_prompt_corpus(corpus: DataFrame, path: str) -> None:
+    """A prompt corpus as files, one folder per source file name."""
+    corpus.write.mode("overwrite").partitionBy("file").json(path)
+
+
+def scan_prompt_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """S3 source: every prompt file under ``path`` (``file`` from the folder name, ``ord``
+    the entry's position within its file)."""
+    schema = StructType([*schemas.PROMPTS.fields, StructField("ord", LongType())])
+    return spark.read.schema(schema).json(path)
+
+
 # ------------------------------------------------------------------ vocabularies
 def load_wordlist(spark: SparkSession, path: str) -> DataFrame:
     """A word list file: strip, drop blank and '#' lines, dedupe."""

@@ -20,38 +20,32 @@ def dq_prompts(corpus: DataFrame) -> DataFrame:
 
     Q1 a required field is missing; Q2 an id used by more than one entry (a hard error:
     results reference prompts by id); Q3 ecosystem or specificity outside its enum; Q4
-    text that is blank after stripping."""
-    checks = []
-    for field in REQUIRED:
-        checks.append(
-            corpus.filter(F.col(field).isNull()).select(
-                "file", "id", F.lit("missing_field").alias("check"), F.lit(field).alias("detail"))
-        )
+    text that is blank after stripping. Per-entry checks are one pass (each entry yields
+    the array of its violations, exploded once); the duplicate check is one aggregate."""
+
+    def violation(cond, check: str, detail):
+        v = F.struct(F.lit(check).alias("check"), detail.cast("string").alias("detail"))
+        return F.when(cond, v)
+
+    per_entry = [violation(F.col(f).isNull(), "missing_field", F.lit(f)) for f in REQUIRED]
+    per_entry += [
+        violation(F.col("ecosystem").isNotNull() & ~F.col("ecosystem").isin(*V.VALID_ECOSYSTEMS),
+                  "bad_ecosystem", F.col("ecosystem")),
+        violation(F.col("specificity").isNotNull()
+                  & ~F.col("specificity").isin(*V.VALID_SPECIFICITY),
+                  "bad_specificity", F.col("specificity")),
+        violation(F.col("text").isNotNull() & (ustrip(F.col("text")) == ""),
+                  "empty_text", F.lit("")),
+    ]
+    found = F.filter(F.array(*per_entry), lambda v: v.isNotNull())
+    entries = corpus.select("file", "id", F.explode(found).alias("v")).select(
+        "file", "id", "v.check", "v.detail")
     dup = corpus.filter(F.col("id").isNotNull()).groupBy("id").agg(
         F.count(F.lit(1)).alias("n"), F.min("file").alias("file"))
-    checks.append(
-        dup.filter(F.col("n") > 1).select(
-            "file", "id", F.lit("duplicate_id").alias("check"),
-            F.concat(F.col("n").cast("string"), F.lit(" entries")).alias("detail"))
-    )
-    checks.append(
-        corpus.filter(F.col("ecosystem").isNotNull() & ~F.col("ecosystem").isin(*V.VALID_ECOSYSTEMS))
-        .select("file", "id", F.lit("bad_ecosystem").alias("check"), F.col("ecosystem").alias("detail"))
-    )
-    checks.append(
-        corpus.filter(F.col("specificity").isNotNull()
-                      & ~F.col("specificity").isin(*V.VALID_SPECIFICITY))
-        .select("file", "id", F.lit("bad_specificity").alias("check"),
-                F.col("specificity").alias("detail"))
-    )
-    checks.append(
-        corpus.filter(F.col("text").isNotNull() & (ustrip(F.col("text")) == ""))
-        .select("file", "id", F.lit("empty_text").alias("check"), F.lit("").alias("detail"))
-    )
-    out = checks[0]
-    for c in checks[1:]:
-        out = out.unionByName(c)
-    return out
+    dups = dup.filter(F.col("n") > 1).select(
+        "file", "id", F.lit("duplicate_id").alias("check"),
+        F.concat(F.col("n").cast("string"), F.lit(" entries")).alias("detail"))
+    return entries.unionByName(dups)
 
 
 def load_prompts(corpus: DataFrame, ecosystems: list[str] | None = None) -> DataFrame:

@@ -36,11 +36,6 @@ def fence_tags(text: Column) -> Column:
     return F.regexp_extract_all(text, lit_re(V.FENCE), F.lit(1))
 
 
-def fence_bodies(text: Column) -> Column:
-    """Bodies of all fenced blocks, in order."""
-    return F.regexp_extract_all(text, lit_re(V.FENCE), F.lit(2))
-
-
 def prose_text(text: Column) -> Column:
     """The text with every fenced block replaced by one newline."""
     return F.regexp_replace(text, lit_re(V.FENCE), F.lit("\n"))
@@ -95,25 +90,31 @@ def top_level(module: Column) -> Column:
     return F.substring_index(module, ".", 1)
 
 
-def declared_modules(text: Column, tags: Column) -> Column:
-    """Module names the response defines: ``# file: x.py`` style lines anywhere in
-    the text, and ``lang:path.py`` fence tags (already lower-cased)."""
-    from_lines = F.transform(
-        F.regexp_extract_all(text, lit_re(V.FILE_DECL), F.lit(1)),
-        lambda p: top_level(F.substring_index(p, "/", -1)),
-    )
-    norm_tags = F.transform(tags, normalise_tag)
+def file_modules(paths: Column) -> Column:
+    """X6 (a): module names from ``# file: path.py`` matches (last path part, top level)."""
+    return F.transform(paths, lambda p: top_level(F.substring_index(p, "/", -1)))
+
+
+def tag_modules(tags: Column) -> Column:
+    """X6 (b): module names from ``lang:path.py`` fence tags (lower-cased tags)."""
     with_file = F.filter(
-        norm_tags,
+        F.transform(tags, normalise_tag),
         lambda t: (F.instr(t, ":") > 0)
         & F.endswith(F.substr(t, F.instr(t, ":") + 1), F.lit(".py")),
     )
 
-    def tag_module(t: Column) -> Column:
+    def module(t: Column) -> Column:
         base = F.substring_index(F.substr(t, F.instr(t, ":") + 1), "/", -1)
         return top_level(F.substr(base, F.lit(1), F.length(base) - 3))
 
-    return F.array_distinct(F.concat(from_lines, F.transform(with_file, tag_module)))
+    return F.transform(with_file, module)
+
+
+def declared_modules(text: Column, tags: Column) -> Column:
+    """Module names the response defines: ``# file: x.py`` style lines anywhere in
+    the text (Markdown headings match too), and ``lang:path.py`` fence tags."""
+    paths = F.regexp_extract_all(text, lit_re(V.FILE_DECL), F.lit(1))
+    return F.array_distinct(F.concat(file_modules(paths), tag_modules(tags)))
 
 
 # ------------------------------------------------------------------ token rules

@@ -239,24 +239,3 @@ def extract(responses: DataFrame, vocab: Vocabulary, text_col: str = "response_t
     """Responses -> (mentions, filtered audit)."""
     resolved = extract_resolved(responses, vocab, text_col, scope_col)
     return mentions_of(resolved), filtered_audit(resolved)
-
-
-def build_records(runs: DataFrame, responses: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """J7 + K21 + R8: run records with ``packages`` and ``extraction_notes`` rebuilt from
-    the response text of successful calls (failed calls keep empty lists)."""
-    ok_resp = responses.join(runs.filter("ok").select("response_id"), "response_id", "left_semi")
-    mentions = mentions_of(extract_resolved(ok_resp, vocab))
-    pk = packages_per_response(mentions)
-    notes = prose_note(mentions)
-    empty_pk = F.array().cast(f"array<{schemas.PACKAGE.simpleString()}>")
-    return (
-        runs.join(pk, "response_id", "left")
-        .join(notes, "response_id", "left")
-        .select(
-            *[c for c in runs.columns],
-            F.coalesce(F.col("packages"), empty_pk).alias("packages"),
-            F.when(F.col("note").isNotNull(), F.array(F.col("note")))
-            .otherwise(F.array().cast("array<string>")).alias("extraction_notes"),
-        )
-    )
-

@@ -56,17 +56,6 @@ def is_undetermined() -> Column:
     return (F.col("status") == "error") | F.col("status").isNull()
 
 
-def with_status_flags(m: DataFrame) -> DataFrame:
-    """P2-P5 as boolean columns."""
-    return m.select(
-        "*",
-        F.coalesce(is_checkable(), F.lit(False)).alias("checkable"),
-        F.coalesce(is_confirmed(), F.lit(False)).alias("confirmed"),
-        F.coalesce(is_review(), F.lit(False)).alias("review"),
-        is_undetermined().alias("undetermined"),
-    )
-
-
 def review_label(needs_review: Column) -> Column:
     """The labelled status of a recurrence row."""
     return F.when(needs_review, "needs_review").otherwise("confirmed")

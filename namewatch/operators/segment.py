@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from namewatch import fixed_values as V
 from namewatch.functions import text as TX
 
-UNIT_TYPE = "struct<section:int,block_idx:int,tag:string,body:string>"
-
 
 def code_blocks(responses: DataFrame, text_col: str = "response_text") -> DataFrame:
     """X1 + X2 + X3: one row per fenced block: (response_id, block_idx, tag, lang, body),
@@ -78,12 +76,10 @@ def units(
         F.lit(None).cast("string").alias("tag"),
         F.col("prose").alias("body"),
     )
-    declared = F.array_distinct(
-        F.concat(
-            F.transform("decl", lambda p: TX.top_level(F.substring_index(p, "/", -1))),
-            _tag_modules(F.transform("blocks", lambda b: b["tag"])),
-        )
-    )
+    declared = F.array_distinct(F.concat(
+        TX.file_modules(F.col("decl")),
+        TX.tag_modules(F.transform("blocks", lambda b: b["tag"])),
+    ))
     step3 = step2.select(
         "response_id",
         "scope",
@@ -104,21 +100,6 @@ def units(
     )
 
 
-def _tag_modules(tags):
-    norm = F.transform(tags, TX.normalise_tag)
-    with_file = F.filter(
-        norm,
-        lambda t: (F.instr(t, ":") > 0)
-        & F.endswith(F.substr(t, F.instr(t, ":") + 1), F.lit(".py")),
-    )
-
-    def module(t):
-        base = F.substring_index(F.substr(t, F.instr(t, ":") + 1), "/", -1)
-        return TX.top_level(F.substr(base, F.lit(1), F.length(base) - 3))
-
-    return F.transform(with_file, module)
-
-
 def declared_modules(responses: DataFrame, text_col: str = "response_text") -> DataFrame:
     """X6 as a table: (response_id, declared) with the sorted distinct module names."""
     text = F.col(text_col)

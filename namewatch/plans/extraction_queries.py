@@ -49,8 +49,7 @@ def prose_text(s, sf):
 
 
 def untagged_infer(s, sf):
-    b = S.code_blocks(_resp(s, sf)).filter(F.col("lang") == "untagged")
-    return b.select("response_id", "block_idx", TX.infer_untagged(F.col("body")).alias("inferred"))
+    return S.untagged_inference(S.code_blocks(_resp(s, sf)))
 
 
 def declared_modules(s, sf):

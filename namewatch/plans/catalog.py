@@ -22,10 +22,11 @@ def _m(spark: SparkSession, sf: str) -> DataFrame:
     return R.mention_status(FX.mentions(spark, sf), FX.names(spark, sf))
 
 
-def _rec(spark: SparkSession, sf: str, ordered: bool = True) -> DataFrame:
+def _rec(spark: SparkSession, sf: str, ordered: bool = True, modulus: int = 400) -> DataFrame:
     """Recurrence from pre-aggregated mentions (distinct cell-name-run rows before the
-    registry semi join)."""
-    return R.recurrence_preaggregated(FX.mentions(spark, sf), FX.names(spark, sf),
+    registry semi join). ``modulus`` sets how many distinct names the derived mentions
+    use; 40 makes names recur in every run of a cell."""
+    return R.recurrence_preaggregated(FX.mentions(spark, sf, modulus), FX.names(spark, sf, modulus),
                                       R.cell_runs(FX.runs(spark, sf)), ordered=ordered)
 
 
@@ -55,6 +56,9 @@ REPORT: dict[str, Query] = {
     "recurrence": lambda s, sf: _rec(s, sf),
     "recurrence_summary": lambda s, sf: R.recurrence_summary(_rec(s, sf, ordered=False)),
     "needs_review": lambda s, sf: R.needs_review_names(_rec(s, sf, ordered=False)),
+    "recurrence_dense": lambda s, sf: _rec(s, sf, modulus=40),
+    "recurrence_summary_dense": lambda s, sf: R.recurrence_summary(
+        _rec(s, sf, ordered=False, modulus=40)),
     "top_recurring": lambda s, sf: R.top_recurring(_rec(s, sf, ordered=False)),
     "top_recurring_console": lambda s, sf: R.top_recurring(
         _rec(s, sf, ordered=False), TOP_K_CONSOLE),

@@ -304,11 +304,15 @@ def top_recurring(rec_unordered: DataFrame, k: int = TOP_K_MARKDOWN) -> DataFram
 
 
 def recurrence_csv_rows(rec: DataFrame) -> DataFrame:
-    """The CSV's eight columns; the rate as ``%.4f`` text, empty when NULL."""
+    """The CSV's eight columns; the rate as ``%.4f`` text, empty when NULL.
+
+    ``format_number`` rounds half-even as Python's format does (``format_string`` rounds
+    half-up and differs on ties such as 1/32); grouping commas cannot occur for a rate
+    but are removed all the same."""
+    rate = F.regexp_replace(F.format_number(F.col("recurrence_rate"), 4), ",", "")
     return rec.select(
         "model_id", "prompt_id", "ecosystem", "name", "appearances", "runs",
-        F.coalesce(F.format_string("%.4f", F.col("recurrence_rate")), F.lit(""))
-        .alias("recurrence_rate"),
+        F.coalesce(rate, F.lit("")).alias("recurrence_rate"),
         "status",
     )
 

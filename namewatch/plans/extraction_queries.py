@@ -29,7 +29,7 @@ def _mentions(s: SparkSession, sf: str) -> DataFrame:
 
 def _doc_tokens(s: SparkSession, sf: str) -> DataFrame:
     """Every whitespace token of every document, whole texts."""
-    d = FX.read_table(s, sf, "documents").select("doc_id", "text")
+    d = FX.spread(FX.read_table(s, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.explode(TX.split_ws(F.col("text"))).alias("token"))
 
 

@@ -25,6 +25,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _TABLES[key]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over all cores when it has fewer partitions than the default
+    parallelism (a file with one large row group is read by one task), ahead of
+    CPU-heavy per-row work. A no-op for inputs already split finer than the cluster."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def _padded(prefix: str, value: Column, width: int) -> Column:
     return F.concat(F.lit(prefix), F.lpad(value.cast("string"), width, "0"))
 
@@ -125,8 +133,9 @@ def _template(parts: list, doc_id: Column) -> Column:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model responses: a document's whole text, a newline, then one code template.
-    Even doc ids are Python prompts, odd ones JavaScript."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    Even doc ids are Python prompts, odd ones JavaScript. Spread over the cores, since
+    extraction is CPU-bound per response."""
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     doc_id = F.col("doc_id")
     tail = F.lit("")
     for k in sorted(_TEMPLATES, reverse=True):

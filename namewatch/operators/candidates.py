@@ -154,11 +154,29 @@ def js_code_cands(body: Column) -> Column:
     return F.concat(*parts)
 
 
+# JSON text as tokens: string literals whole, stand-alone non-finite literals (which
+# Python's json module accepts and Spark's parser does not), other runs, any character.
+_JSON_TOKENS = (r'(?s)"(?:[^"\\\n]|\\.)*"'
+                r"|(?<![\w.+-])(?:-?Infinity|NaN)(?![\w.])"
+                r'|[^"NI-]+|.')
+_NON_FINITE = ("NaN", "Infinity", "-Infinity")
+
+
+def json_finite(body: Column) -> Column:
+    """The body with stand-alone NaN / Infinity / -Infinity values replaced by 0, so a
+    manifest Python would parse also parses here (values are never read, only keys and
+    whether a value is an object)."""
+    tokens = F.regexp_extract_all(body, F.lit(_JSON_TOKENS), F.lit(0))
+    return F.array_join(
+        F.transform(tokens, lambda t: F.when(t.isin(*_NON_FINITE), F.lit("0")).otherwise(t)), "")
+
+
 def manifest_dependency_names(body: Column) -> Column:
     """Keys of the dependency objects of a package.json-shaped block, as
     array<struct<k:int, names:array<string>>>. The block must be exactly one JSON value
     (wrapped in [...] so trailing text or a second value fails), whose top level is an
     object; non-object dependency values and malformed JSON give nothing."""
+    body = json_finite(body)
     v = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
     single = F.size(F.try_variant_get(v, "$", "array<variant>")) == 1
     no_names = F.array().cast("array<string>")

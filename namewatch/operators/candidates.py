@@ -171,6 +171,10 @@ def json_finite(body: Column) -> Column:
         F.transform(tokens, lambda t: F.when(t.isin(*_NON_FINITE), F.lit("0")).otherwise(t)), "")
 
 
+def _equals(value: str):
+    return lambda t: t == value
+
+
 def manifest_dependency_names(body: Column) -> Column:
     """Keys of the dependency objects of a package.json-shaped block, as
     array<struct<k:int, names:array<string>>>. The block must be exactly one JSON value
@@ -181,12 +185,17 @@ def manifest_dependency_names(body: Column) -> Column:
     single = F.size(F.try_variant_get(v, "$", "array<variant>")) == 1
     no_names = F.array().cast("array<string>")
     out = []
+    top_keys = F.coalesce(F.json_object_keys(body), no_names)
     for k, key in enumerate(V.DEP_KEYS):
-        # The variant says whether the value is an object; the keys are read from the
-        # object's text so they keep document order (first occurrence of a duplicate).
-        is_object = F.try_variant_get(v, f"$[0].{key}", "map<string,variant>").isNotNull()
-        keys = F.array_distinct(F.json_object_keys(F.get_json_object(body, f"$.{key}")))
-        names = F.when(is_object, F.coalesce(keys, no_names)).otherwise(no_names)
+        # The variant holds the value Python's dict keeps (the last of duplicate keys) and
+        # says whether it is an object. Its keys are read from the object's text so they
+        # keep document order; only when the section itself is duplicated (the text path
+        # would find the first one) are they taken from the variant (sorted).
+        as_map = F.try_variant_get(v, f"$[0].{key}", "map<string,variant>")
+        in_order = F.array_distinct(F.json_object_keys(F.get_json_object(body, f"$.{key}")))
+        repeated = F.size(F.filter(top_keys, _equals(key))) > 1
+        keys = F.when(repeated, F.map_keys(as_map)).otherwise(in_order)
+        names = F.when(as_map.isNotNull(), F.coalesce(keys, no_names)).otherwise(no_names)
         out.append(F.struct(F.lit(k).alias("k"), names.alias("names")))
     return F.when(single, F.array(*out)).otherwise(
         F.array().cast("array<struct<k:int,names:array<string>>>")

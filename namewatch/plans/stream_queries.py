@@ -12,6 +12,7 @@ from namewatch.operators import report as R
 from namewatch.operators import sweep as SW
 from namewatch.plans.file_queries import RUN_COLS, _records
 from namewatch.plans.ops_queries import _plan
+from namewatch.session import checkpoint_dir
 from namewatch.sources import files as FS
 from namewatch.sources import fixtures as FX
 from namewatch.streaming import streams as ST
@@ -99,8 +100,12 @@ def stream_resume(s, sf):
     recorded keys."""
     src = ST.read_stream(s, _runs_dir(s, sf), ST.RUN_RECORDS)
     plan = _plan(s, sf)
+    # every micro-batch semi-joins against the plan: compute it once, lineage cut in the
+    # shared checkpoint folder
+    checkpoint_dir(s)
+    plan_keys = plan.select(*SW.TASK_KEY).checkpoint(eager=True)
     out = FS.scratch_path(s, "sink-resume")
-    (src.writeStream.foreachBatch(ST.resume_sink(plan.select(*SW.TASK_KEY), out))
+    (src.writeStream.foreachBatch(ST.resume_sink(plan_keys, out))
      .option("checkpointLocation", FS.scratch_path(s, "ckpt-resume"))
      .trigger(availableNow=True).start().awaitTermination())
     done = s.read.parquet(out).select(*SW.TASK_KEY).distinct()

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from namewatch.fixed_values import TOP_K_CONSOLE
 from namewatch.operators import report as R
@@ -101,4 +100,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rec(spark, sf_dir)
 
 
-__all__ = ["all_queries", "flagship", "F"]
+__all__ = ["all_queries", "flagship"]

@@ -37,10 +37,16 @@ PATTERNS = {
 }
 _OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _IP = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
-# A word without digits or at signs, white space, and a token with one; the word's first 40
-# characters are its context.
-CANDIDATE = (r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D0-9@]++)[\x20\x09-\x0D]++"
-             r"([^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)")
+# Every pattern needs one of these characters, so other texts are passed over.
+_NEEDED = "[0-9@]"
+# A candidate from its first digit or at sign on. What stands before it is read from the end
+# of the piece of text before the match, _TAIL characters long.
+_FROM_DIGIT = r"[0-9@][^\x20\x09-\x0D]*+"
+_TAIL = 128
+_PREFIX = r"([^\x20\x09-\x0D]*)\z"
+_BEFORE = r"([^\x20\x09-\x0D0-9@]+)[\x20\x09-\x0D]+[^\x20\x09-\x0D]*\z"
+MAX_PREFIX = 64         # characters of a candidate before its first digit or at sign
+MAX_CONTEXT = 40        # last characters of the word before it
 _EDGE = r"[\"'(),.;:<>\[\]{}!?]"
 
 ROUNDS = 3
@@ -85,20 +91,18 @@ def _shape(kind: str, token: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The one pass over the texts: row number, id, and for each pattern the matches and the
     lengths of the pieces between them."""
-    text = text_of(text_col)
+    text, needed = text_of(text_col), text_of(text_col).rlike(_NEEDED)
     out = {}
-    for kind, pattern in PATTERNS.items():
-        out[f"{kind}_m"] = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        out[f"{kind}_g"] = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    for name, group in (("near_w", 1), ("near_t", 2), ("near_m", 0)):
-        out[name] = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(group))
-    out["near_g"] = F.transform(F.split(text, CANDIDATE, -1), lambda g: F.length(g))
+    for kind, pattern in {**PATTERNS, "near": _FROM_DIGIT}.items():
+        may = needed & text.contains({"email": "@", "phone": "+"}.get(kind, ""))
+        out[f"{kind}_m"] = F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+        out[f"{kind}_p"] = F.when(may, F.split(text, pattern, -1))
     rows = docs.select(F.col(id_col).alias("id"), *(c.alias(n) for n, c in out.items()))
-    # a text without matches needs no lengths
-    for kind in (*KINDS, "near"):
-        rows = rows.withColumn(f"{kind}_g", F.when(
-            F.size(f"{kind}_m") > 0, F.col(f"{kind}_g")))
-    return materialise(rows.withColumn("rid", F.monotonically_increasing_id()), "pii-scan")
+    rows = rows.withColumns({
+        **{f"{k}_g": F.transform(f"{k}_p", lambda g: F.length(g)) for k in (*KINDS, "near")},
+        "near_tail": F.transform("near_p", lambda g: F.right(g, F.lit(_TAIL)))})
+    return materialise(rows.drop(*(f"{k}_p" for k in (*KINDS, "near"))).withColumn(
+        "rid", F.monotonically_increasing_id()), "pii-scan")
 
 
 def _placed(rows: DataFrame, kind: str, *more: str) -> DataFrame:
@@ -128,13 +132,18 @@ def base_spans(rows: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """``(rid, ctx, token, start, stop)``: tokens with the word before, both trimmed of
-    punctuation (the word keeps a final colon or equals sign)."""
-    flat = _placed(rows, "near", "w", "t")
+    """``(rid, ctx, token, start, stop)``: tokens with a digit or an at sign, and the word
+    without one before them, both trimmed of punctuation (the word keeps a final colon or
+    equals sign)."""
+    flat = _placed(rows, "near", "tail").select(
+        "rid", "m", "start", "stop", F.regexp_extract("tail", _PREFIX, 1).alias("prefix"),
+        F.regexp_extract("tail", _BEFORE, 1).alias("w")).where(
+        (F.length("prefix") <= MAX_PREFIX) & (F.col("w") != ""))
+    flat = flat.select("rid", "w", "stop", F.concat("prefix", "m").alias("t"))
     lead = F.length("t") - F.length(F.regexp_replace("t", f"^{_EDGE}+", ""))
     token = F.regexp_replace("t", f"^{_EDGE}+|{_EDGE}+$", "")
     start = F.col("stop") - F.length("t") + lead
-    ctx = F.lower(F.left(F.regexp_replace("w", r"[^\p{L}\p{N}_:=]+$", ""), F.lit(40)))
+    ctx = F.lower(F.regexp_replace(F.right("w", F.lit(MAX_CONTEXT)), r"[^\p{L}\p{N}_:=]+$", ""))
     return flat.select("rid", ctx.alias("ctx"), token.alias("token"), start.alias("start"),
                        (start + F.length(token)).alias("stop")).where("token <> '' AND ctx <> ''")
 

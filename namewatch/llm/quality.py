@@ -132,7 +132,8 @@ def mark_target(docs: DataFrame, labels: DataFrame, out: str, id_col: str = "doc
     good, = fresh(docs.columns, "nw_good")
     marked = (labels.where(F.col("quality") == 1).where(F.col(id_col).isNotNull())
               .select(F.col(id_col).alias(good)).distinct())
-    return docs.join(marked, docs[id_col] == marked[good], "left").withColumn(
+    # labels grow with the documents: the same plan at every size, never a broadcast
+    return docs.hint("merge").join(marked, docs[id_col] == marked[good], "left").withColumn(
         out, F.col(good).isNotNull()).drop(good)
 
 

@@ -25,6 +25,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -65,6 +66,7 @@ _ENDS = ".,;:!?()\"'"
 _SIGNS = b"0123456789@$!*"
 _CAPITALS = string.ascii_uppercase.encode()
 _PUNCTUATION = string.punctuation.encode()
+_ENTRY_ROWS = 50_000    # lexicon candidates in one Arrow batch
 _REACH = 5              # words between a hit and a second-person word
 _FROM_LOOKALIKE = str.maketrans(LOOKALIKE)
 
@@ -92,21 +94,23 @@ def entries(text: str) -> set[str]:
 
 def induce(train: DataFrame) -> Lexicon:
     """Lexicon of ``train (text, label)``: entries by document counts in either class."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic: Counter = Counter()
         clean: Counter = Counter()
         for batch in batches:
-            for text, label in zip(batch["text"], batch["label"]):
+            for text, label in zip(*(batch.column(n).to_pylist() for n in ("text", "label"))):
                 (toxic if label == 1 else clean).update(entries(text or ""))
-        yield pd.DataFrame({"entry": list(toxic), "toxic": list(toxic.values()),
-                            "clean": [clean[e] for e in toxic]})
-        # the other entries only matter where another task saw them in a toxic text
-        rest = [e for e in clean if e not in toxic]
-        yield pd.DataFrame({"entry": rest, "toxic": 0, "clean": [clean[e] for e in rest]})
+        every = list(toxic.keys() | clean.keys())
+        for at in range(0, len(every), _ENTRY_ROWS):
+            part = every[at:at + _ENTRY_ROWS]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part, pa.string()), pa.array([toxic[e] for e in part], pa.int64()),
+                 pa.array([clean[e] for e in part], pa.int64())],
+                names=["entry", "toxic", "clean"])
 
     t, c = train.agg(F.count_if(F.col("label") == 1),
                      F.count_if(F.col("label") == 0)).first()
-    sums = train.select("text", "label").mapInPandas(
+    sums = train.select("text", "label").mapInArrow(
         count, "entry string, toxic long, clean long").groupBy("entry").agg(
         F.sum("toxic").alias("a"), F.sum("clean").alias("b")).where("a >= 3")
     a, b = F.col("a") + 0.5, F.col("b") + 0.5

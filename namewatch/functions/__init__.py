@@ -17,7 +17,7 @@ def cached_column(key: str, build: Callable[[], Any]) -> Any:
     they are applied to, so the Python-side construction cost (many JVM round trips for
     higher-order functions) is paid once instead of per query."""
     sc = SparkContext._active_spark_context
-    ident = (key, id(sc), id(sc._jsc) if sc is not None else None)
+    ident = (key, sc.applicationId if sc is not None else None)
     if ident not in _CACHE:
         _CACHE[ident] = build()
     return _CACHE[ident]

@@ -186,41 +186,39 @@ def split_ws(s: Column) -> Column:
     return F.filter(F.split(s, V.WHITESPACE_RUN), lambda x: x != "")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _before_first(items: Column, ends) -> Column:
+    """The items before the first one for which ``ends`` holds."""
+    at = F.array_position(F.transform(items, lambda x: F.coalesce(ends(x), F.lit(False))), True)
+    return F.when(at > 0, F.slice(items, 1, F.greatest(at - 1, F.lit(0)).cast("int"))) \
+        .otherwise(items)
+
+
+def _flag_values() -> str:
+    """A value flag and the token after it, as whole tokens."""
+    space = V.WHITESPACE_CLASS
+    flags = "|".join(re.escape(f) for f in sorted(V.VALUE_FLAGS, key=len, reverse=True))
+    return rf"(?U)(?<![^{space}])(?:{flags})[{space}]++[^{space}]++"
+
+
 def install_tokens(args: Column, prose: Column) -> Column:
-    """K1: fold over the whitespace tokens of an install command's arguments.
+    """K1: the package names in an install command's arguments.
 
-    Left to right: a pending skip drops the token (even a break token); ``#`` or ``(``
-    ends the command; a value flag skips the next token; a token that cleans to nothing
-    is dropped; in prose a stopword ends the command; anything else is emitted.
+    A value flag goes with the token after it, whatever that is. The rest ends at the first
+    token that starts with ``#`` or ``(``; tokens that clean to nothing are dropped; in prose
+    the names end at the first stopword. Every step is one pass over the tokens.
     """
-    steps = F.transform(
-        split_ws(args), lambda t: F.struct(t.alias("tok"), clean_install_token(t).alias("c"))
-    )
-    init = F.struct(
-        F.lit(False).alias("skip"),
-        F.lit(False).alias("stop"),
-        F.array().cast("array<string>").alias("out"),
-    )
-
-    def step(acc: Column, s: Column) -> Column:
-        tok, c = s["tok"], s["c"]
-
-        def state(skip, stop, out):
-            return F.struct(skip.alias("skip"), stop.alias("stop"), out.alias("out"))
-
-        return (
-            F.when(acc["stop"], acc)
-            .when(acc["skip"], state(F.lit(False), acc["stop"], acc["out"]))
-            .when(tok.startswith("#") | tok.startswith("("),
-                  state(acc["skip"], F.lit(True), acc["out"]))
-            .when(F.array_contains(_lit_array(V.VALUE_FLAGS), tok), state(F.lit(True), acc["stop"], acc["out"]))
-            .when(c.isNull(), acc)
-            .when(prose & F.array_contains(_lit_array(V.PROSE_STOPWORDS), F.lower(c)),
-                  state(acc["skip"], F.lit(True), acc["out"]))
-            .otherwise(state(acc["skip"], acc["stop"], F.concat(acc["out"], F.array(c))))
-        )
-
-    return F.aggregate(steps, init, step, lambda acc: acc["out"])
+    tokens = split_ws(F.regexp_replace(args, lit_re(_flag_values()), F.lit(" ")))
+    code = _let(tokens, lambda ts: _before_first(
+        ts, lambda t: t.startswith("#") | t.startswith("(")))
+    names = F.filter(F.transform(code, clean_install_token), lambda c: c.isNotNull())
+    stopword = lambda c: prose & F.array_contains(
+        _lit_array(V.PROSE_STOPWORDS), F.lower(c))
+    return _let(names, lambda ns: _before_first(ns, stopword))
 
 
 def plausible_name(name: Column) -> Column:

@@ -48,10 +48,18 @@ def classified_calls(calls: DataFrame) -> DataFrame:
     )
 
 
+# Error type of a failed attempt that names none, and error of a task without any attempt
+# within the limit.
+UNKNOWN_ERROR = "Error"
+NO_ALLOWED_ATTEMPT = "no attempt within the retry limit"
+
+
 def reduce_calls(calls: DataFrame, retries: int = 2) -> DataFrame:
     """One record per task from its attempt log (attempts numbered from 1).
 
-    Attempts after the (retries + 1)-th cannot have happened and are ignored. The deciding
+    Attempts after the (retries + 1)-th cannot have happened: they do not decide, and their
+    number is returned as ``ignored_attempts``. A task that has only such attempts is kept as
+    a violation: not ok, with an error that says so. The deciding
     attempt is the first that succeeds or fails terminally, or else the last allowed one;
     a log that stops earlier is decided by its last attempt. A failure's error text is
     ``type: message`` with the message cut to 300 characters; the latency is the deciding
@@ -65,22 +73,24 @@ def reduce_calls(calls: DataFrame, retries: int = 2) -> DataFrame:
         F.min_by(rec, F.when(deciding, F.col("attempt"))).alias("first_decisive"),
         F.max_by(rec, F.when(allowed, F.col("attempt"))).alias("last_allowed"),
         F.count_if(allowed).alias("attempts"),
+        F.count_if(~allowed).alias("ignored_attempts"),
     )
-    agg = agg.filter(F.col("attempts") > 0)
+    none_allowed = F.col("attempts") == 0
     d = F.coalesce(F.col("first_decisive"), F.col("last_allowed"))
-    ok = d["outcome"] == "ok"
-    error = F.concat(d["exc_type"], F.lit(": "),
+    ok = ~none_allowed & (d["outcome"] == "ok")
+    error = F.concat(F.coalesce(d["exc_type"], F.lit(UNKNOWN_ERROR)), F.lit(": "),
                      F.substring(F.coalesce(d["message"], F.lit("")), 1,
                                  V.CALL_ERROR_MESSAGE_CHARS))
     return agg.select(
         *TASK_KEY,
         ok.alias("ok"),
-        F.when(~ok, error).alias("error"),
+        F.when(none_allowed, F.lit(NO_ALLOWED_ATTEMPT)).when(~ok, error).alias("error"),
         F.round(d["latency_s"], 3).alias("latency_s"),
         F.when(ok, d["stop_reason"]).alias("stop_reason"),
         (ok & truncated_flag(d["provider"], d["stop_reason"])).alias("truncated"),
         d["attempt"].alias("deciding_attempt"),
         "attempts",
+        "ignored_attempts",
     )
 
 

@@ -156,7 +156,8 @@ def js_code_cands(body: Column) -> Column:
 
 # JSON text as tokens: string literals whole, stand-alone non-finite literals (which
 # Python's json module accepts and Spark's parser does not), other runs, any character.
-_JSON_TOKENS = (r'(?s)"(?:[^"\\\n]|\\.)*"'
+# Possessive, so that a long literal is matched without recursion.
+_JSON_TOKENS = (r'(?s)"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
                 r"|(?<![\w.+-])(?:-?Infinity|NaN)(?![\w.])"
                 r'|[^"NI-]+|.')
 _NON_FINITE = ("NaN", "Infinity", "-Infinity")

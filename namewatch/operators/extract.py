@@ -1,18 +1,19 @@
 """Stage 3 of extraction: candidates -> mentions and the filtered audit.
 
 Vocabulary membership (standard library, Node built-ins, import aliases) is a left join
-against small dimension tables that are broadcast only after their row count is checked
-(``small_dimension``); beyond the bound they are joined by shuffle instead. The
+against dimension tables, broadcast or shuffled as their measured size demands. The
 declared-modules array travels with each candidate, so no join back to the response is
-needed. Up to here the whole extraction is narrow: text in, rows out, no shuffle.
+needed.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from namewatch import fixed_values as V
 from namewatch import schemas
@@ -20,64 +21,43 @@ from namewatch.functions import text as TX
 from namewatch.operators.candidates import candidates
 from namewatch.operators.segment import units
 
-# A dimension above this many rows is joined by shuffle rather than broadcast.
-MAX_BROADCAST_ROWS = 2_000_000
-
 POS = ["eco_ord", "section", "block_idx", "rule", "match_idx", "item_idx"]
 
-_DEFAULTS: dict[tuple, "Vocabulary"] = {}
-
-
-def small_dimension(df: DataFrame, known_rows: int | None = None,
-                    max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a dimension whose size is checked first (a count of a small
-    table, or a size known from how it was built); beyond ``max_rows`` the table is
-    returned as is and the join shuffles."""
-    n = known_rows if known_rows is not None else df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 @dataclass
 class Vocabulary:
-    """Dimension tables the extraction filters against."""
+    """Dimension tables the extraction filters against. Keys are unique (``of`` sees to it)."""
 
     module_names: DataFrame  # (language, name): python stdlib and javascript built-ins
     aliases: DataFrame  # (import_name, dist_name)
-    module_rows: int | None = None
-    alias_rows: int | None = None
-    unique: bool = False  # keys already unique (no dedupe needed before broadcasting)
 
     @classmethod
-    def default(cls, spark: SparkSession) -> "Vocabulary":
-        """The interpreter's standard-library names, the fixed Node built-ins and the fixed
-        import-alias table (built once per session)."""
-        key = (id(spark), id(spark.sparkContext._jsc))
-        if key not in _DEFAULTS:
-            mods = [("python", n) for n in V.python_stdlib_names()] + [
-                ("javascript", n) for n in V.NODE_BUILTINS
-            ]
-            al = list(V.PYTHON_IMPORT_ALIASES.items())
-            _DEFAULTS[key] = cls(
-                spark.createDataFrame(mods, schemas.MODULE_NAMES),
-                spark.createDataFrame(al, schemas.ALIASES),
-                len(mods),
-                len(al),
-                unique=True,
-            )
-        return _DEFAULTS[key]
+    def of(cls, python: DataFrame, javascript: DataFrame, aliases: DataFrame) -> Vocabulary:
+        """From word lists ``(word)`` and an alias table, as the loaders return them."""
+        names = python.select(F.lit("python").alias("language"), F.col("word").alias("name")) \
+            .unionByName(javascript.select(F.lit("javascript").alias("language"),
+                                           F.col("word").alias("name")))
+        return cls(names.distinct(), aliases.select("import_name", "dist_name"))
+
+    @classmethod
+    def default(cls, spark: SparkSession) -> Vocabulary:
+        """The fixed standard-library names, Node built-ins and import aliases."""
+        return cls.small(spark, set(V.python_stdlib_names()), set(V.NODE_BUILTINS),
+                         V.PYTHON_IMPORT_ALIASES)
 
     @classmethod
     def small(cls, spark: SparkSession, python: set[str], javascript: set[str],
-              aliases: dict[str, str]) -> "Vocabulary":
+              aliases: dict[str, str]) -> Vocabulary:
         mods = [("python", n) for n in sorted(python)] + [
             ("javascript", n) for n in sorted(javascript)
         ]
-        return cls(
-            spark.createDataFrame(mods, schemas.MODULE_NAMES),
-            spark.createDataFrame(list(aliases.items()), schemas.ALIASES),
-            len(mods),
-            len(aliases),
-        )
+        return cls(_local(spark, mods, schemas.MODULE_NAMES),
+                   _local(spark, list(aliases.items()), schemas.ALIASES))
+
+
+def _local(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
+    """Rows as a relation whose size the optimiser knows."""
+    return spark.createDataFrame(pd.DataFrame(rows, columns=schema.names, dtype=object), schema)
 
 
 def resolve(cands: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -106,11 +86,6 @@ def resolve(cands: DataFrame, vocab: Vocabulary) -> DataFrame:
         F.col("language").alias("v_lang"), F.col("name").alias("v_name"))
     al = vocab.aliases.select(
         F.col("import_name").alias("a_import"), F.col("dist_name").alias("a_dist"))
-    if not vocab.unique:
-        mods = mods.distinct()
-        al = al.dropDuplicates(["a_import"])
-    mods = small_dimension(mods, vocab.module_rows)
-    al = small_dimension(al, vocab.alias_rows)
     joined = keyed.join(
         mods, (F.col("v_lang") == eco) & (F.col("v_name") == F.col("vocab_key")), "left"
     ).join(al, py & is_import & (F.col("a_import") == F.col("py_raw")), "left")
@@ -210,17 +185,13 @@ def response_names(mentions: DataFrame, ecosystem: str | None = None) -> DataFra
     )
 
 
-PROSE_NOTE = ("Some packages were found in prose rather than fenced code blocks; "
-              "these are lower confidence and tagged origin='prose'.")
-
-
 def prose_note(mentions: DataFrame) -> DataFrame:
     """Responses with at least one prose mention get the note."""
     return (
         mentions.groupBy("response_id")
         .agg(F.bool_or(F.col("origin") == "prose").alias("has_prose"))
         .filter("has_prose")
-        .select("response_id", F.lit(PROSE_NOTE).alias("note"))
+        .select("response_id", F.lit(V.PROSE_NOTE).alias("note"))
     )
 
 

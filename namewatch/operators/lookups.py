@@ -80,10 +80,13 @@ def latest_status(entries: DataFrame, order: list[str] | None = None) -> DataFra
 
 
 def cache_put(cache: DataFrame, results: DataFrame) -> DataFrame:
-    """Definitive results overwrite their keys; errors are never written."""
+    """Definitive results overwrite their keys, whatever their check times; errors are
+    never written. Several results for one key: the latest check wins."""
     cols = ["ecosystem", "name", "status", "http_status", "detail", "checked_at"]
     new = results.filter(is_definitive(F.col("status"))).select(*cols)
-    return latest_status(cache.select(*cols).unionByName(new))
+    both = cache.select(*cols, F.lit(0).alias("put")).unionByName(
+        new.select("*", F.lit(1).alias("put")))
+    return latest_status(both, ["put", "checked_at", "status"]).select(*cols)
 
 
 def cache_split(names: DataFrame, cache: DataFrame, as_of: Column, refresh: bool = False,
@@ -91,13 +94,16 @@ def cache_split(names: DataFrame, cache: DataFrame, as_of: Column, refresh: bool
     """Each distinct name to check, with ``from_cache`` true when a fresh definitive
     cache entry answers it (``refresh`` ignores the cache); the rest are to fetch."""
     n = names.select(*KEY).distinct()
+    answer = ["status", "http_status", "detail", "checked_at"]
     if refresh:
         return n.select(*KEY, F.lit(False).alias("from_cache"),
                         F.lit(None).cast("string").alias("status"),
+                        F.lit(None).cast("int").alias("http_status"),
+                        F.lit(None).cast("string").alias("detail"),
                         F.lit(None).cast("timestamp").alias("checked_at"))
-    c = cache.select(*KEY, "status", "checked_at").filter(cache_fresh(cache, as_of, max_age_days))
+    c = cache.select(*KEY, *answer).filter(cache_fresh(cache, as_of, max_age_days))
     j = n.join(c, KEY, "left")
-    return j.select(*KEY, F.col("status").isNotNull().alias("from_cache"), "status", "checked_at")
+    return j.select(*KEY, F.col("status").isNotNull().alias("from_cache"), *answer)
 
 
 def cache_stats(split: DataFrame) -> DataFrame:

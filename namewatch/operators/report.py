@@ -324,39 +324,6 @@ def write_recurrence_csv(rec: DataFrame, path: str) -> None:
     ).csv(path)
 
 
-# ------------------------------------------------------------------ joins under skew
-def hot_keys(big: DataFrame, keys: list[str], share: float = 0.01,
-             max_keys: int = 1000) -> DataFrame:
-    """Keys holding at least ``share`` of ``big``'s rows, at most ``max_keys`` of them (the
-    bound that makes the result safe to broadcast). Counting is a partial aggregate, so
-    a key with a third of all rows costs one row per task before the shuffle."""
-    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    return (counts.filter(F.col("n") >= total * share)
-            .orderBy(F.col("n").desc()).limit(max_keys).select(*keys))
-
-
-def skew_split_left_join(big: DataFrame, small: DataFrame, keys: list[str],
-                         share: float = 0.01, max_keys: int = 1000) -> DataFrame:
-    """LEFT JOIN that splits hot keys off: rows of hot keys join a broadcast of the small
-    side's matching rows (at most ``max_keys`` keys, one row each), the rest join by
-    shuffle. The hot key never lands in one shuffle partition. For use where AQE's
-    runtime skew split is unavailable; ``small`` must be unique on ``keys``. ``big`` is
-    read by the key count and by both halves, so pass a materialised table."""
-    hot = F.broadcast(hot_keys(big, keys, share, max_keys))
-    small_hot = F.broadcast(small.join(hot, keys, "left_semi"))
-    hot_part = big.join(hot, keys, "left_semi").join(small_hot, keys, "left")
-    cold_part = big.join(hot, keys, "left_anti").join(small, keys, "left")
-    return hot_part.unionByName(cold_part)
-
-
-def mention_status_split(mentions: DataFrame, registry: DataFrame, share: float = 0.01,
-                         max_keys: int = 1000) -> DataFrame:
-    """J1 with explicit hot-name splitting (see ``skew_split_left_join``)."""
-    reg = registry.select("ecosystem", "name", "status")
-    return skew_split_left_join(mentions, reg, ["ecosystem", "name"], share, max_keys)
-
-
 # ------------------------------------------------------------------ the report as a whole
 REPORT_SECTIONS = ("totals", "per_model", "by_specificity", "by_ecosystem", "recurrence",
                    "recurrence_summary", "needs_review", "caveats", "top_recurring")

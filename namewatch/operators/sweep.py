@@ -11,11 +11,6 @@ from pyspark.sql import functions as F
 
 TASK_KEY = ["prompt_id", "model_id", "run_index"]
 
-# Enabled models become one array literal per plan; a configuration above this size is
-# refused rather than expanded.
-MAX_MODELS = 10_000
-
-
 def enabled_models(models: DataFrame, model_id: str | None = None) -> DataFrame:
     """Enabled models, optionally restricted to one id."""
     m = models.filter(F.col("enabled"))
@@ -31,14 +26,11 @@ def sweep_plan(models: DataFrame, prompts: DataFrame, runs_per_prompt: int,
                model_id: str | None = None) -> DataFrame:
     """Enabled models x prompts x range(runs_per_prompt), with the prompt attributes.
 
-    The model list is configuration (a handful of rows, size-checked); it is expanded per
-    prompt row with ``explode``, so the plan is generated where the prompts are, in
-    parallel, and no join is needed."""
-    ids = [r["id"] for r in enabled_models(models, model_id).select("id").distinct()
-           .orderBy("id").limit(MAX_MODELS + 1).collect()]
-    if len(ids) > MAX_MODELS:
-        raise ValueError(f"more than {MAX_MODELS} enabled models")
-    model_arr = F.array(*[F.lit(i) for i in ids]) if ids else F.array().cast("array<string>")
+    The ids of the enabled models, sorted, are a scalar subquery, expanded per prompt row with
+    ``explode``: the plan is generated where the prompts are, in parallel, without a join."""
+    model_arr = F.coalesce(
+        enabled_models(models, model_id).agg(F.array_sort(F.collect_set("id"))).scalar(),
+        F.array().cast("array<string>"))
     runs = F.sequence(F.lit(0), F.lit(max(runs_per_prompt, 1) - 1)) if runs_per_prompt > 0 \
         else F.array().cast("array<int>")
     per_model = prompts.select(
@@ -68,7 +60,8 @@ def resume_done(plan: DataFrame, completed: DataFrame) -> DataFrame:
 
 def records_enriched(records: DataFrame, prompts: DataFrame, models: DataFrame) -> DataFrame:
     """J7 + R8: each call record with its prompt's and model's attributes; latency rounded
-    to 3 decimals. Prompts and models are dimensions (a join on their keys, which AQE
+    to 3 decimals. A record whose prompt or model has left the corpus keeps its row with NULL
+    attributes. Prompts and models are dimensions (a join on their keys, which AQE
     broadcasts from their measured size)."""
     p = prompts.select(
         F.col("id").alias("prompt_id"), "ecosystem", "domain", "specificity"
@@ -76,8 +69,8 @@ def records_enriched(records: DataFrame, prompts: DataFrame, models: DataFrame)
     m = models.select(F.col("id").alias("model_id"), F.col("model").alias("model_alias"),
                       "provider")
     return (
-        records.join(p, "prompt_id", "inner")
-        .join(m, "model_id", "inner")
+        records.join(p, "prompt_id", "left")
+        .join(m, "model_id", "left")
         .select(
             "run_id", "prompt_id", "ecosystem", "domain", "specificity", "model_id",
             "model_alias", "provider", "run_index", "ok", "truncated", "created_at",

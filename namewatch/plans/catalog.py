@@ -69,8 +69,7 @@ REPORT: dict[str, Query] = {
     "per_model": lambda s, sf: R.per_model(FX.runs(s, sf), _m(s, sf)),
     "by_specificity": lambda s, sf: R.by_specificity(_m(s, sf)),
     "by_ecosystem": lambda s, sf: R.by_ecosystem(_m(s, sf)),
-    "mention_status_split": lambda s, sf: R.mention_status_split(
-        FX.mentions(s, sf), FX.names(s, sf)).select(
+    "mention_status_split": lambda s, sf: _m(s, sf).select(
         "model_id", "prompt_id", "run_index", "ecosystem", "name", "source", "origin",
         "alias_resolved", "status",
     ),

@@ -135,7 +135,7 @@ def reextract_diff(s, sf):
 
     FS.write_version(records(stale), base, 1)
     FS.write_version(records(current), base, 2)
-    old = s.read.parquet(base).filter(F.col("version") == 1).drop("version")
+    old = FS.read_version(s, base, 1)
     new = FS.read_current(s, base)
     j = old.alias("o").join(new.alias("n"), "response_id")
     return j.agg(

@@ -12,6 +12,7 @@ from namewatch.operators import lookups as L
 from namewatch.operators import quality as Q
 from namewatch.operators import report as R
 from namewatch.operators import sweep as SW
+from namewatch.sources import files as FS
 from namewatch.sources import fixtures as FX
 
 RUNS_PER_PROMPT = 20
@@ -50,7 +51,11 @@ def _cache(s: SparkSession, sf: str) -> DataFrame:
     """The cache after the earlier pass, then the later pass put into it."""
     cols = ["ecosystem", "name", "status", "http_status", "detail", "checked_at"]
     old = _snapshot(s, sf, "before").filter(L.is_definitive(F.col("status"))).select(*cols)
-    return L.cache_put(old, _snapshot(s, sf, "after"))
+    put = L.cache_put(old, _snapshot(s, sf, "after"))
+    # read twice by its users (its own latest check time is their instant)
+    path = FS.scratch_path(s, "cache")
+    put.write.parquet(path)
+    return s.read.schema(put.schema).parquet(path)
 
 
 def _as_of(cache: DataFrame):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from namewatch import fixed_values as V
 from namewatch.plans import oracle_extract as OX
-from namewatch.plans.oracle import BASE, CONFIRMED, REVIEW
+from namewatch.plans.oracle import BASE, CONFIRMED, REVIEW, model_rates
 from namewatch.plans.ops_queries import CUT, LATER, PROMPT_LIMIT, RUNS_PER_PROMPT
 
 
@@ -108,11 +108,11 @@ snap_after AS {reduce_sql(f"checked_at >= TIMESTAMP '{CUT}'")},
 snap_all AS {reduce_sql()},
 cache AS (
   SELECT ecosystem, name, status, http_status, detail, checked_at FROM (
-    SELECT *, row_number() OVER (PARTITION BY ecosystem, name ORDER BY checked_at DESC, status DESC) AS rn
-    FROM (SELECT ecosystem, name, status, http_status, detail, checked_at FROM snap_before
+    SELECT *, row_number() OVER (PARTITION BY ecosystem, name ORDER BY put DESC, checked_at DESC, status DESC) AS rn
+    FROM (SELECT ecosystem, name, status, http_status, detail, checked_at, 0 AS put FROM snap_before
           WHERE status IN ('exists', 'not_found')
           UNION ALL
-          SELECT ecosystem, name, status, http_status, detail, checked_at FROM snap_after
+          SELECT ecosystem, name, status, http_status, detail, checked_at, 1 AS put FROM snap_after
           WHERE status IN ('exists', 'not_found'))) WHERE rn = 1),
 fresh AS (
   SELECT *, status <> 'error' AND date_diff('second', checked_at, (SELECT max(checked_at) FROM cache))
@@ -120,7 +120,7 @@ fresh AS (
 uniq AS (SELECT DISTINCT ecosystem, name FROM mentions_f
          WHERE ecosystem IS NOT NULL AND ecosystem <> '' AND name IS NOT NULL AND name <> ''),
 split AS (
-  SELECT u.ecosystem, u.name, f.status IS NOT NULL AS from_cache, f.status, f.checked_at
+  SELECT u.ecosystem, u.name, f.status IS NOT NULL AS from_cache, f.status, f.http_status, f.detail, f.checked_at
   FROM uniq u LEFT JOIN (SELECT * FROM fresh WHERE fresh) f USING (ecosystem, name))
 """
 
@@ -145,33 +145,8 @@ def truncated_sql(provider: str, stop: str) -> str:
 
 
 def per_model_sql(runs_where: str, m_where: str) -> str:
-    return W + f"""
-, r2 AS (SELECT * FROM runs_f WHERE {runs_where}),
-m2 AS (SELECT * FROM m WHERE {m_where}),
-resp AS (SELECT model_id, count(*) AS ok_responses FROM r2 WHERE ok GROUP BY 1),
-halluc_resp AS (
-  SELECT model_id, count(*) AS n FROM (
-    SELECT model_id, run_id, prompt_id, run_index,
-           max(CASE WHEN status = 'not_found' THEN 1 ELSE 0 END) AS has_h
-    FROM m2 GROUP BY 1, 2, 3, 4) WHERE has_h = 1 GROUP BY model_id),
-agg AS (
-  SELECT model_id, count(*) AS mentions, count(DISTINCT name) AS distinct_names,
-         count(*) FILTER (WHERE status IN ('exists', 'not_found')) AS checkable,
-         count(*) FILTER (WHERE {CONFIRMED}) AS confirmed,
-         count(*) FILTER (WHERE {REVIEW}) AS review,
-         count(DISTINCT name) FILTER (WHERE {CONFIRMED}) AS distinct_confirmed
-  FROM m2 GROUP BY model_id)
-SELECT resp.model_id, resp.ok_responses,
-       COALESCE(agg.mentions, 0) AS mentions, COALESCE(agg.distinct_names, 0) AS distinct_names,
-       COALESCE(agg.checkable, 0) AS checkable, COALESCE(agg.confirmed, 0) AS confirmed,
-       COALESCE(agg.review, 0) AS needs_review,
-       COALESCE(agg.distinct_confirmed, 0) AS distinct_confirmed,
-       COALESCE(halluc_resp.n, 0) AS responses_with_halluc,
-       CASE WHEN COALESCE(agg.checkable, 0) = 0 THEN NULL
-            ELSE COALESCE(agg.confirmed, 0) / agg.checkable END AS confirmed_rate,
-       CASE WHEN resp.ok_responses = 0 THEN NULL
-            ELSE COALESCE(halluc_resp.n, 0) / resp.ok_responses END AS response_rate
-FROM resp LEFT JOIN agg USING (model_id) LEFT JOIN halluc_resp USING (model_id)"""
+    return (W + f", r2 AS (SELECT * FROM runs_f WHERE {runs_where}), "
+            f"m2 AS (SELECT * FROM m WHERE {m_where})" + model_rates("r2", "m2"))
 
 
 def rates_by_sql(key: str) -> str:
@@ -222,7 +197,7 @@ SELECT r.run_id, r.prompt_id, p.ecosystem, p.domain, p.specificity, r.model_id,
        mo.model AS model_alias, mo.provider, r.run_index, r.ok, r.truncated, r.created_at,
        round(o.o_totalprice / 7919.0, 3) AS latency_s
 FROM runs_f r JOIN orders o ON o.o_orderkey = r.response_id
-JOIN prompts p ON p.id = r.prompt_id JOIN models mo ON mo.id = r.model_id""",
+LEFT JOIN prompts p ON p.id = r.prompt_id LEFT JOIN models mo ON mo.id = r.model_id""",
         "sweep_summary": W + """
 , before AS (SELECT DISTINCT prompt_id, model_id, run_index FROM runs_f WHERE ok AND run_id = 'sweep-0'),
 pending AS (SELECT * FROM plan ANTI JOIN before USING (prompt_id, model_id, run_index)),
@@ -278,14 +253,17 @@ d AS (SELECT * FROM (
                    CASE WHEN attempt <= 3 AND (outcome <> 'transient' OR attempt = 3) THEN attempt
                         ELSE -attempt END) AS rn
         FROM c WHERE attempt <= 3) WHERE rn = 1),
-n AS (SELECT call_id, count(*) FILTER (WHERE attempt <= 3) AS attempts FROM c GROUP BY call_id)
-SELECT d.call_id, d.model_id, d.prompt_id, d.run_index, d.outcome = 'ok' AS ok,
-       CASE WHEN d.outcome <> 'ok' THEN concat(d.exc_type, ': ', substr(coalesce(d.message, ''), 1, {V.CALL_ERROR_MESSAGE_CHARS})) END AS error,
+n AS (SELECT call_id, model_id, prompt_id, run_index,
+             count(*) FILTER (WHERE attempt <= 3) AS attempts,
+             count(*) FILTER (WHERE attempt > 3) AS ignored_attempts FROM c GROUP BY ALL)
+SELECT n.call_id, n.model_id, n.prompt_id, n.run_index, coalesce(d.outcome = 'ok', false) AS ok,
+       CASE WHEN n.attempts = 0 THEN 'no attempt within the retry limit'
+            WHEN d.outcome <> 'ok' THEN concat(coalesce(d.exc_type, 'Error'), ': ', substr(coalesce(d.message, ''), 1, {V.CALL_ERROR_MESSAGE_CHARS})) END AS error,
        round(d.latency_s, 3) AS latency_s,
        CASE WHEN d.outcome = 'ok' THEN d.stop_reason END AS stop_reason,
-       d.outcome = 'ok' AND {truncated_sql('d.provider', 'd.stop_reason')} AS truncated,
-       d.attempt AS deciding_attempt, n.attempts
-FROM d JOIN n USING (call_id)""",
+       coalesce(d.outcome = 'ok', false) AND {truncated_sql('d.provider', 'd.stop_reason')} AS truncated,
+       d.attempt AS deciding_attempt, n.attempts, n.ignored_attempts
+FROM n LEFT JOIN d USING (call_id)""",
         "truncated_flag": W + f"SELECT provider, stop_reason, {truncated_sql('provider', 'stop_reason')} "
         "AS truncated, count(*) AS n FROM calls WHERE status_code IS NULL GROUP BY ALL",
         "response_assemble": W + """

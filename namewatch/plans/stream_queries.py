@@ -1,5 +1,5 @@
-"""Registered streaming queries: each streams table-derived JSON files (several files,
-one per trigger) through the operator with ``availableNow``, then returns the sink's
+"""Registered streaming queries: each streams table-derived JSON files (as many as the
+writer makes) through the operator with ``availableNow``, then returns the sink's
 contents, which must equal the batch result."""
 
 from __future__ import annotations
@@ -17,19 +17,16 @@ from namewatch.sources import files as FS
 from namewatch.sources import fixtures as FX
 from namewatch.streaming import streams as ST
 
-INPUT_FILES = 4
-
 
 def _responses_dir(s: SparkSession, sf: str) -> str:
     path = FS.scratch_path(s, "stream-responses")
-    FX.responses(s, sf).repartition(INPUT_FILES).write.json(path)
+    FX.responses(s, sf).write.json(path)
     return path
 
 
 def _runs_dir(s: SparkSession, sf: str) -> str:
     path = FS.scratch_path(s, "stream-runs")
-    _records(s, sf).select("response_id", *RUN_COLS, "packages").repartition(INPUT_FILES) \
-        .write.json(path)
+    _records(s, sf).select("response_id", *RUN_COLS, "packages").write.json(path)
     return path
 
 

@@ -49,26 +49,31 @@ def build_session(
 
 
 def apply_engine_conf(spark: SparkSession) -> SparkSession:
-    """Set the runtime SQL settings the plans rely on (idempotent)."""
+    """Set the runtime SQL settings the plans rely on, and see that they took effect
+    (idempotent). Settings that a running session cannot change must already be right."""
     for key, value in ENGINE_CONF.items():
-        try:
+        if spark.conf.isModifiable(key):
             spark.conf.set(key, value)
-        except Exception:  # noqa: BLE001 - static confs cannot be set at runtime
-            pass
+    strict = spark.conf.get("spark.sql.variant.allowDuplicateKeys")
+    if strict != ENGINE_CONF["spark.sql.variant.allowDuplicateKeys"]:
+        raise RuntimeError("spark.sql.variant.allowDuplicateKeys must be true")
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and intermediate tables.
+    """The shared folder for checkpoints and intermediate tables, from ``spark.checkpoint.dir``.
 
-    Read from ``spark.checkpoint.dir`` as the cluster configures it. Only when it is unset
-    (local tests) is a fresh scratch folder created and registered.
+    Where it is unset, a local master (one machine: tests, benches) gets a folder of its own;
+    on a cluster that is an error, as executors would not see each other's files.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     scratch = tempfile.mkdtemp(prefix="namewatch-ckpt-")
     spark.conf.set("spark.checkpoint.dir", scratch)
     spark.sparkContext.setCheckpointDir(scratch)

@@ -112,22 +112,29 @@ def load_wordlist(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_aliases(spark: SparkSession, path: str) -> DataFrame:
-    """Import name -> distribution name (CSV with a header)."""
+    """Import name -> distribution name (CSV with a header); the last entry of a name
+    wins."""
     df = spark.read.schema(schemas.ALIASES).option("header", True).csv(path)
-    return df.filter(F.col("import_name").isNotNull()).dropDuplicates(["import_name"])
+    rows = df.filter(F.col("import_name").isNotNull()).select(
+        "import_name", "dist_name", F.monotonically_increasing_id().alias("place"))
+    return rows.groupBy("import_name").agg(F.max_by("dist_name", "place").alias("dist_name"))
 
 
 # ------------------------------------------------------------------ versioned rewrite
 def write_version(df: DataFrame, base: str, version: int) -> None:
-    """Write a new version of a table next to the old ones (never over the path
-    being read); readers switch when the commit lands."""
-    df.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version") \
-        .parquet(base)
+    """Write a new version of a table next to the old ones (never over the path being
+    read), then commit it. Readers follow commits, so they never see a version that is still
+    being written; writing a version again replaces it."""
+    df.write.mode("overwrite").parquet(f"{base}/version={version}")
+    df.sparkSession.range(1).select(F.lit(version).alias("version")).write.mode("append") \
+        .parquet(f"{base}/_commits")
+
+
+def read_version(spark: SparkSession, base: str, version: int) -> DataFrame:
+    return spark.read.parquet(f"{base}/version={version}")
 
 
 def read_current(spark: SparkSession, base: str) -> DataFrame:
-    """The latest committed version of a versioned table (partition filter on the
-    maximum version, a scalar subquery)."""
-    all_versions = spark.read.parquet(base)
-    latest = all_versions.select("version").agg(F.max("version")).scalar()
-    return all_versions.filter(F.col("version") == latest).drop("version")
+    """The latest committed version of a versioned table."""
+    latest = spark.read.parquet(f"{base}/_commits").agg(F.max("version")).first()[0]
+    return read_version(spark, base, latest)

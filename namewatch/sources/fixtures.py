@@ -2,8 +2,9 @@
 
 The driver tables hold no model responses, so the engine's inputs are derived from them
 with deterministic rules (orders play responses, lineitem plays mentions, part plays the
-registry, documents carry the response prose). Every derived table grows with its source
-table: nothing here is a fixed literal input.
+registry, documents carry the response prose). Runs, mentions, attempts and responses grow
+with their source tables; names, prompts, models and run indexes are folded by a modulus, so
+those dimensions stay small at any scale.
 """
 
 from __future__ import annotations
@@ -12,29 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-_TABLES: dict[tuple, DataFrame] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table as a DataFrame; the handle (file listing, footer schema) is reused
-    within a session."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), id(spark.sparkContext._jsc), path)
-    if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(path)
-    return _TABLES[key]
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over all cores when it has fewer partitions than the default
-    parallelism (a file with one large row group is read by one task), ahead of
-    CPU-heavy per-row work. A no-op for inputs already split finer than the cluster."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    """A driver table as a DataFrame."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _padded(prefix: str, value: Column, width: int) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(value.cast("string"), width, "0"))
+    digits = value.cast("string")
+    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0")))
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +121,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model responses: a document's whole text, a newline, then one code template.
     Even doc ids are Python prompts, odd ones JavaScript. Spread over the cores, since
     extraction is CPU-bound per response."""
-    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     doc_id = F.col("doc_id")
     tail = F.lit("")
     for k in sorted(_TEMPLATES, reverse=True):

@@ -40,12 +40,12 @@ RUN_RECORDS = StructType([*schemas.RUNS.fields, StructField("response_id", LongT
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType,
-                max_files_per_trigger: int = 1) -> DataFrame:
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .json(path)
-    )
+                max_files_per_trigger: int | None = None) -> DataFrame:
+    """A stream of JSON files; Spark's own number of files per trigger unless given."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.json(path)
 
 
 # ------------------------------------------------------------------ operators

@@ -3,7 +3,7 @@ ours, built on the same mention table ``m``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from namewatch.operators import report as R
@@ -56,20 +56,14 @@ def untruncated_rates(runs: DataFrame, m: DataFrame) -> DataFrame:
     return R.per_model(runs.filter(keep), m.filter(keep))
 
 
-def recurrence_redacted(rec: DataFrame) -> DataFrame:
-    """Aggregate-only publication: the name replaced by its SHA-256."""
+def recurrence_redacted(rec: DataFrame, key: str) -> DataFrame:
+    """Aggregate-only publication: the name replaced by a keyed hash."""
     return rec.select(
-        "model_id", "prompt_id", "ecosystem", F.sha2(F.col("name"), 256).alias("name_sha256"),
+        "model_id", "prompt_id", "ecosystem", R.redacted_name(key).alias("name_sha256"),
         "appearances", "runs", "recurrence_rate", "status",
     )
 
 
-def resolved_model_of(model_id: Column, created_at: Column) -> Column:
-    """The version string a provider reports back for a call (derived inputs: the model
-    alias and the call's year)."""
-    return F.concat(model_id, F.lit("-"), F.date_format(created_at, "yyyy"))
-
-
 def by_resolved_model(m: DataFrame) -> DataFrame:
     """Rates by (model_id, resolved_model)."""
     return (

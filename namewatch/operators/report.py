@@ -144,25 +144,29 @@ def ok_by_model(runs: DataFrame) -> DataFrame:
 
 def halluc_responses(m: DataFrame) -> DataFrame:
     """A4: responses with at least one not_found mention (review names included)."""
-    per_response = m.groupBy("model_id", "run_id", "prompt_id", "run_index").agg(
-        F.max(F.when(F.col("status") == "not_found", 1).otherwise(0)).alias("has_h")
-    )
     return (
-        per_response.filter(F.col("has_h") == 1)
-        .groupBy("model_id")
-        .agg(F.count(F.lit(1)).alias("responses_with_halluc"))
+        m.filter(F.col("status") == "not_found")
+        .select("model_id", "run_id", "prompt_id", "run_index").distinct()
+        .groupBy("model_id").agg(F.count(F.lit(1)).alias("responses_with_halluc"))
     )
 
 
 def model_mentions(m: DataFrame) -> DataFrame:
-    """A5: per-model mention counts."""
-    return m.groupBy("model_id").agg(
+    """A5: per-model mention counts. Mentions are first added up by name, so the distinct
+    counts are plain counts of those sums."""
+    by_name = m.groupBy("model_id", "name").agg(
         F.count(F.lit(1)).alias("mentions"),
-        F.count_distinct("name").alias("distinct_names"),
         F.count_if(is_checkable()).alias("checkable"),
         F.count_if(is_confirmed()).alias("confirmed"),
         F.count_if(is_review()).alias("needs_review"),
-        F.count_distinct(F.when(is_confirmed(), F.col("name"))).alias("distinct_confirmed"),
+    )
+    return by_name.groupBy("model_id").agg(
+        F.sum("mentions").alias("mentions"),
+        F.count("name").alias("distinct_names"),
+        F.sum("checkable").alias("checkable"),
+        F.sum("confirmed").alias("confirmed"),
+        F.sum("needs_review").alias("needs_review"),
+        F.count(F.when(F.col("confirmed") > 0, F.col("name"))).alias("distinct_confirmed"),
     )
 
 
@@ -317,11 +321,18 @@ def recurrence_csv_rows(rec: DataFrame) -> DataFrame:
     )
 
 
-def write_recurrence_csv(rec: DataFrame, path: str) -> None:
-    """S11 sink: header + rows, through Spark's committer (one folder of part files)."""
-    recurrence_csv_rows(rec).write.mode("overwrite").option("header", True).option(
-        "emptyValue", ""
-    ).csv(path)
+def redacted_name(key: str) -> Column:
+    """The name as a hash that only holders of ``key`` can check against a name list."""
+    return F.sha2(F.concat(F.lit(f"{key}:"), F.col("name")), 256)
+
+
+def write_recurrence_csv(rec: DataFrame, path: str, redaction_key: str | None = None) -> None:
+    """S11 sink: header + rows, through Spark's committer (one folder of part files). With a
+    ``redaction_key`` the names are written as keyed hashes."""
+    rows = recurrence_csv_rows(rec)
+    if redaction_key is not None:
+        rows = rows.withColumn("name", redacted_name(redaction_key))
+    rows.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
 # ------------------------------------------------------------------ the report as a whole

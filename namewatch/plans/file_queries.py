@@ -84,6 +84,23 @@ def snapshot_write(s, sf):
     return snaps.groupBy("snapshot_id", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def scan_strict(s, sf):
+    """S6, strict half: sound run records read so that a damaged line would fail the job."""
+    r = FS.scan_tolerant(s, _runs_json(s, sf), strict=True)
+    return r.select(*RUN_COLS, F.size("packages").alias("n_packages"))
+
+
+def snapshot_mention_status(s, sf):
+    """Mentions by status under the latest snapshot of each name."""
+    path = FS.scratch_path(s, "snapshots")
+    cols = ["ecosystem", "name", "status", "http_status", "checked_at"]
+    FS.write_snapshot(_snapshot(s, sf, "before").select(*cols), CUT, path)
+    FS.write_snapshot(_snapshot(s, sf, "after").select(*cols), LATER, path)
+    m = R.mention_status(FX.mentions(s, sf), FS.current_registry(s, path))
+    return m.groupBy(F.coalesce("status", F.lit("unchecked")).alias("status")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 def wordlist_load(s, sf):
     """A word list (nation names, each twice, padded) with comment and blank lines."""
     path = FS.scratch_path(s, "wordlist")
@@ -112,8 +129,8 @@ def alias_load(s, sf):
 def recurrence_csv_write(s, sf):
     """The recurrence CSV written and read back as text columns."""
     path = FS.scratch_path(s, "recurrence-csv")
-    rec = R.recurrence(R.mention_status(FX.mentions(s, sf), FX.names(s, sf)),
-                       R.cell_runs(FX.runs(s, sf)), ordered=False)
+    rec = R.recurrence_preaggregated(FX.mentions(s, sf), FX.names(s, sf),
+                                     R.cell_runs(FX.runs(s, sf)), ordered=False)
     R.write_recurrence_csv(rec, path)
     return s.read.option("header", True).csv(path)
 
@@ -161,8 +178,10 @@ QUERIES = {
     "scan_mentions": scan_mentions,
     "scan_registry": scan_registry,
     "scan_tolerant": scan_tolerant,
+    "scan_strict": scan_strict,
     "append_runs": append_runs,
     "snapshot_write": snapshot_write,
+    "snapshot_mention_status": snapshot_mention_status,
     "wordlist_load": wordlist_load,
     "alias_load": alias_load,
     "recurrence_csv_write": recurrence_csv_write,

@@ -16,6 +16,8 @@ from namewatch.sources import files as FS
 from namewatch.sources import fixtures as FX
 
 RUNS_PER_PROMPT = 20
+# Key of the redacted recurrence table here; a publisher keeps its own secret.
+REDACTION_KEY = "example-key"
 PROMPT_LIMIT = 10
 # History before this instant is the "previous" lookup pass in the derived attempt log.
 CUT = "1998-06-01 00:00:00"
@@ -143,11 +145,12 @@ QUERIES = {
     "rates_grouping_sets": lambda s, sf: E.rates_grouping_sets(_m(s, sf)),
     "strict_rates": lambda s, sf: E.strict_rates(FX.runs(s, sf), _m(s, sf)),
     "untruncated_rates": lambda s, sf: E.untruncated_rates(FX.runs(s, sf), _m(s, sf)),
-    "recurrence_redacted": lambda s, sf: E.recurrence_redacted(
-        R.recurrence(_m(s, sf), R.cell_runs(FX.runs(s, sf)), ordered=False)),
+    "recurrence_redacted": lambda s, sf: E.recurrence_redacted(R.recurrence_preaggregated(
+        FX.mentions(s, sf), FX.names(s, sf), R.cell_runs(FX.runs(s, sf)), ordered=False),
+        REDACTION_KEY),
     "by_resolved_model": lambda s, sf: E.by_resolved_model(
         R.mention_status(
-            FX.mentions(s, sf).withColumn("resolved_model", E.resolved_model_of(
+            FX.mentions(s, sf).withColumn("resolved_model", FX.resolved_model_of(
                 F.col("model_id"), F.col("created_at"))),
             FX.names(s, sf))),
 }

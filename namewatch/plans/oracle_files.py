@@ -46,6 +46,16 @@ LEFT JOIN (SELECT response_id, count(*) AS n FROM mentions_f GROUP BY 1) m USING
         "scan_registry": BASE + "SELECT ecosystem, name, status FROM names_f",
         "scan_tolerant": BASE + "SELECT DISTINCT prompt_id, model_id, run_index FROM runs_f "
         "WHERE ok AND response_id % 13 <> 0",
+        "scan_strict": BASE + f"""
+SELECT {RUN_COLS}, CAST(coalesce(n, 0) AS INTEGER) AS n_packages FROM runs_f r
+LEFT JOIN (SELECT response_id, count(*) AS n FROM mentions_f GROUP BY 1) m USING (response_id)""",
+        "snapshot_mention_status": W + """
+, newest AS (
+  SELECT ecosystem, name, coalesce(a.status, b.status) AS status
+  FROM snap_before b FULL JOIN snap_after a USING (ecosystem, name))
+SELECT coalesce(status, 'unchecked') AS status, count(*) AS n
+FROM (SELECT ecosystem, name FROM mentions_f) LEFT JOIN newest USING (ecosystem, name)
+GROUP BY 1""",
         "append_runs": BASE + "SELECT run_id, count(*) AS records, count(*) FILTER (WHERE ok) AS ok "
         "FROM runs_f GROUP BY run_id",
         "snapshot_write": W + f"""

@@ -292,7 +292,7 @@ FROM m WHERE status = 'not_found' GROUP BY ecosystem, name""",
         "strict_rates": per_model_sql("TRUE", "origin = 'code_block'"),
         "untruncated_rates": per_model_sql("NOT coalesce(truncated, false)",
                                            "NOT coalesce(truncated, false)"),
-        "recurrence_redacted": W + "SELECT model_id, prompt_id, ecosystem, sha256(name) AS name_sha256, "
+        "recurrence_redacted": W + "SELECT model_id, prompt_id, ecosystem, sha256(concat('example-key:', name)) AS name_sha256, "
         "appearances, runs, recurrence_rate, status FROM rec",
         "by_resolved_model": W + f"""
 SELECT model_id, concat(model_id, '-', strftime(created_at, '%Y')) AS resolved_model, count(*) AS mentions,

@@ -15,6 +15,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from namewatch import schemas
 from namewatch.functions.text import ustrip
+from namewatch.operators.lookups import latest_status
 from namewatch.session import checkpoint_dir
 
 CORRUPT = "_corrupt_record"
@@ -91,6 +92,13 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def current_registry(spark: SparkSession, path: str) -> DataFrame:
+    """One row ``(ecosystem, name, status)`` per name: its entry in the latest snapshot that
+    has it, ready for the join with mentions."""
+    latest = latest_status(read_snapshots(spark, path), ["snapshot_at", "checked_at", "status"])
+    return latest.select("ecosystem", "name", "status")
+
+
 # ------------------------------------------------------------------ prompt corpus
 def write_prompt_corpus(corpus: DataFrame, path: str) -> None:
     """A prompt corpus as files, one folder per source file name."""

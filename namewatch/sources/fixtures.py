@@ -288,3 +288,9 @@ def content_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("role") == "assistant", "text").otherwise("thinking").alias("type"),
         F.col("text"),
     )
+
+
+def resolved_model_of(model_id: Column, created_at: Column) -> Column:
+    """The version string that a provider reports back for a call, derived from the model
+    alias and the call's year."""
+    return F.concat(model_id, F.lit("-"), F.date_format(created_at, "yyyy"))

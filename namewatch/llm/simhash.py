@@ -193,11 +193,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
                          shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id (of rows
     that repeat this id and fingerprint, one)."""
-    fp, cid, kfp = fresh(docs.columns, "nw_fp", "nw_id", "nw_keep")
-    marked = materialise(docs.withColumn(fp, fingerprint_column(text_col, shingle)),
-                         "simhash-docs")
-    found = groups(marked.select(F.col(id_col).alias("id"), F.col(fp).alias("fp")), max_bits)
-    keep = found.select(F.col("component_id").alias(cid), F.col("keep_fp").alias(kfp)).distinct()
-    kept = marked.join(keep, marked[id_col].eqNullSafe(keep[cid]) & (marked[fp] == keep[kfp]),
-                       "left_semi")
-    return kept.dropDuplicates([id_col, fp]).select(*docs.columns)
+    fp, rid = fresh(docs.columns, "nw_fp", "nw_rid")
+    marked = materialise(docs.withColumns({
+        fp: fingerprint_column(text_col, shingle), rid: F.monotonically_increasing_id()}),
+        "simhash-docs")
+    slim = marked.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"),
+                         F.col(rid).alias("row"))
+    keep = groups(slim, max_bits).select(
+        F.col("component_id").alias("kid"), F.col("keep_fp").alias("kfp")).distinct()
+    # only row numbers meet the documents, so their texts move once
+    chosen = slim.join(keep, slim["id"].eqNullSafe(keep["kid"]) & (slim["fp"] == keep["kfp"])) \
+        .groupBy("kid", "kfp").agg(F.min("row").alias(rid)).select(rid)
+    return marked.join(chosen, rid, "left_semi").select(*docs.columns)

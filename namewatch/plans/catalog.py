@@ -83,6 +83,7 @@ def all_queries() -> dict[str, Query]:
     from namewatch.plans.extraction_queries import QUERIES as EXTRACTION
     from namewatch.plans.file_queries import QUERIES as FILES
     from namewatch.plans.ops_queries import QUERIES as OPS
+    from namewatch.plans.record_queries import QUERIES as RECORDS
     from namewatch.plans.stream_queries import QUERIES as STREAMS
 
     out: dict[str, Query] = {}
@@ -90,6 +91,7 @@ def all_queries() -> dict[str, Query]:
     out.update(EXTRACTION)
     out.update(OPS)
     out.update(FILES)
+    out.update(RECORDS)
     out.update(STREAMS)
     return out
 

@@ -294,3 +294,30 @@ def resolved_model_of(model_id: Column, created_at: Column) -> Column:
     """The version string that a provider reports back for a call, derived from the model
     alias and the call's year."""
     return F.concat(model_id, F.lit("-"), F.date_format(created_at, "yyyy"))
+
+
+def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model calls, one per document: the cell and outcome from its id, the response text
+    where the call succeeded (every seventh fails)."""
+    r = responses(spark, sf_dir)
+    i = F.col("response_id")
+    ok, long = i % 7 != 0, i % 9 == 0
+    model_id = F.concat(F.lit("model-"), (i % 4).cast("string"))
+    return r.select(
+        "response_id",
+        F.concat(F.lit("sweep-"), (i % 3).cast("string")).alias("run_id"),
+        _padded("prompt-", i % 50, 2).alias("prompt_id"),
+        model_id.alias("model_id"),
+        F.concat(model_id, F.lit("-2024")).alias("resolved_model"),
+        (i % 20).alias("run_index"),
+        ok.alias("ok"),
+        F.when(~ok, F.lit("Timeout: no answer")).alias("error"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"),
+        ((i % 1000) / 7.0).alias("latency_s"),
+        (i % 500).alias("input_tokens"),
+        F.when(ok, F.length("response_text").cast("long")).alias("output_tokens"),
+        F.when(ok, F.when(long, "max_tokens").otherwise("end_turn")).alias("stop_reason"),
+        (ok & long).alias("truncated"),
+        F.lit('{"max_tokens": 8192}').alias("params_sent"),
+        F.when(ok, F.col("response_text")).alias("response_text"),
+    )

@@ -12,11 +12,15 @@ from namewatch.operators import report as R
 def cross_recurrence(m: DataFrame) -> DataFrame:
     """Recurrence across prompts and models: per not-found (ecosystem, name), the
     distinct prompts, models and (model, prompt, run) triples it appeared in."""
-    nf = m.filter(F.col("status") == "not_found")
+    nf = m.filter(F.col("status") == "not_found").select(
+        "ecosystem", "name", "model_id", "prompt_id", "run_index").distinct()
+    known = F.col("model_id").isNotNull() & F.col("prompt_id").isNotNull() & \
+        F.col("run_index").isNotNull()
+    # sets of prompts and models are as long as the corpus and the model list
     return nf.groupBy("ecosystem", "name").agg(
-        F.count_distinct("prompt_id").alias("prompts"),
-        F.count_distinct("model_id").alias("models"),
-        F.count_distinct("model_id", "prompt_id", "run_index").alias("runs"),
+        F.size(F.collect_set("prompt_id")).cast("long").alias("prompts"),
+        F.size(F.collect_set("model_id")).cast("long").alias("models"),
+        F.count_if(known).alias("runs"),
     )
 
 

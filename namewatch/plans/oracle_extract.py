@@ -51,7 +51,7 @@ def responses_sql() -> str:
     return (
         "SELECT doc_id AS response_id, "
         "CASE WHEN doc_id % 2 = 0 THEN 'python' ELSE 'javascript' END AS scope, "
-        f"concat(text, chr(10), CASE doc_id % 10 {cases} ELSE '' END) AS response_text "
+        f"concat(text, chr(10), CASE doc_id % 20 {cases} ELSE '' END) AS response_text "
         "FROM documents"
     )
 

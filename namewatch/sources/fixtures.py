@@ -87,7 +87,7 @@ def names(spark: SparkSession, sf_dir: str, name_modulus: int = 400) -> DataFram
     )
 
 
-# Template fragments of the derived response texts (one per doc_id % 10). These are test
+# Template fragments of the derived response texts (one per doc_id % 20). These are test
 # content, not vocabulary: each exercises one extraction rule.
 _FENCE = "```"
 _TEMPLATES: dict[int, list] = {
@@ -109,6 +109,26 @@ _TEMPLATES: dict[int, list] = {
         "from helpers import x\n", "import yaml\n", _FENCE, "\n"],
     7: [_FENCE, "\n", "npm i express@4.18.2 ./local -D typescript (or yarn)\n", _FENCE, "\n"],
     8: ["First pip install rich to get started.\n", _FENCE, "python\n", "import unclosed\n"],
+    10: [_FENCE, "txt\n", "daisy==1.0\n", "fern\n", _FENCE, "\n", "# file: src/garden.py\n",
+         _FENCE, "py\n", "import garden, orchid, _\n", _FENCE, "\n"],
+    11: [_FENCE, "mjs\n", "import 'lichen';\n", "const m = await import('@peat/bog/deep');\n",
+         "export { a } from 'sedge';\n", "require('./own'); require('-');\n", _FENCE, "\n"],
+    12: [_FENCE, "sh\n", "uv add rose5\n", "poetry add rose6\n", "conda install rose8\n",
+         "pip install list.txt your-package 123 -c pins rose9 (soon)\n", _FENCE, "\n"],
+    13: [_FENCE, "sh\n", "npm i @peat/bog@1.2 @fen\n", "yarn add oak4\n", "pnpm add oak5\n",
+         "bun add oak7\n", _FENCE, "\n"],
+    14: [_FENCE, "\n", "\n", "import orchid\n", "def grow(x):\n", _FENCE, "\n"],
+    15: [_FENCE, "\n", "const a = require('moss')\n", "let b = () => 1\n", _FENCE, "\n"],
+    16: [_FENCE, "py\n", "import os, sys, re, json\n", "from .a import b\n",
+         "from ..c import d\n", "import os\n", "import lily as l\n", _FENCE, "\n"],
+    17: [_FENCE, "json\n",
+         '{"peerDependencies":{"box":"3"},"optionalDependencies":{"fir":"4"},"name":"x"}\n',
+         _FENCE, "\n"],
+    18: [_FENCE, "rust\n", "pip install unseen\n", _FENCE, "\n",
+         "Then pip install lily and pray.\n"],
+    19: [_FENCE, "js\n", "const f = require('fs'), p = require('node:path');\n",
+         "require('../x'); require('https://x.example/y');\n",
+         "import z from 'moss/leaf/deep';\n", _FENCE, "\n"],
 }
 
 
@@ -119,13 +139,12 @@ def _template(parts: list, doc_id: Column) -> Column:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model responses: a document's whole text, a newline, then one code template.
-    Even doc ids are Python prompts, odd ones JavaScript. Spread over the cores, since
-    extraction is CPU-bound per response."""
+    Even doc ids are Python prompts, odd ones JavaScript."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     doc_id = F.col("doc_id")
     tail = F.lit("")
     for k in sorted(_TEMPLATES, reverse=True):
-        tail = F.when(doc_id % 10 == k, _template(_TEMPLATES[k], doc_id)).otherwise(tail)
+        tail = F.when(doc_id % 20 == k, _template(_TEMPLATES[k], doc_id)).otherwise(tail)
     return d.select(
         doc_id.alias("response_id"),
         F.when(doc_id % 2 == 0, "python").otherwise("javascript").alias("ecosystem"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namewatch.llm import (
@@ -26,12 +26,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def _is(condition: Column) -> Column:
+    """The condition, false where it is null (a document without an id)."""
+    return F.coalesce(condition, F.lit(False))
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     labels = _table(spark, sf_dir, "labels", "doc_id", "toxic")
     model = toxicity.fit(toxicity.training_rows(docs, labels))
     return toxicity.score(docs, model).select(
-        "doc_id", (toxicity.fold("doc_id") == 0).alias("held_out"), "score", "predicted")
+        "doc_id", _is(toxicity.fold("doc_id") == 0).alias("held_out"), "score", "predicted")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +46,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    model = langid.train(docs.where(F.coalesce(~held, F.lit(True))))
+    held = _is(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
+    model = langid.train(docs.where(~held))
     return langid.predict(docs, model).select(
         "doc_id", held.alias("held_out"), "lang_pred", "score")
 

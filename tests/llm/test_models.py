@@ -370,6 +370,12 @@ def test_pipeline_on_hostile_documents(spark, hostile_docs, tmp_path):
             f"{tmp_path}/{name}.parquet")
     got = rows_of(corpus_pipeline.run(spark, str(tmp_path)), "shard", "slot")
     assert got and len(set(got)) == len(got)
+    n = hostile_docs.count()
+    for name, query in catalog.QUERIES.items():
+        out = query(spark, str(tmp_path))
+        assert out.count() == n, name
+        if "held_out" in out.columns:
+            assert out.where("held_out IS NULL").count() == 0
     empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
     empty.write.parquet(f"{tmp_path}/none/documents.parquet")
     for name in ("labels", "benchmark"):

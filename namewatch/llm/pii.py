@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from namewatch.llm.common import materialise, text_of
+from namewatch.llm.common import SPACES, materialise, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns, in Java syntax. Possessive forms match what the plain ones do, without
@@ -39,15 +39,15 @@ _OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _IP = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 # Every pattern needs one of these characters, so other texts are passed over.
 _NEEDED = "[0-9@]"
-# A candidate from its first digit or at sign on. What stands before it is read from the end
-# of the piece of text before the match, _TAIL characters long.
+# A candidate from its first digit or at sign on. What stands before it, the rest of the
+# token and the word before, ends the piece of text before the match. The piece is read
+# backwards from there, so no length of either or of the gap matters.
 _FROM_DIGIT = r"[0-9@][^\x20\x09-\x0D]*+"
-_TAIL = 128
-_PREFIX = r"([^\x20\x09-\x0D]*)\z"
-_BEFORE = r"([^\x20\x09-\x0D0-9@]+)[\x20\x09-\x0D]+[^\x20\x09-\x0D]*\z"
-MAX_PREFIX = 64         # characters of a candidate before its first digit or at sign
-MAX_CONTEXT = 40        # last characters of the word before it
+_BEFORE = r"^[^\x20\x09-\x0D]*+[\x20\x09-\x0D]*+[^\x20\x09-\x0D]*+"
+MAX_CONTEXT = 40        # last characters of the word before it, trimmed
 _EDGE = r"[\"'(),.;:<>\[\]{}!?]"
+# Edges of a token; a run of them inside it is looked at once.
+_TRIM = rf"^{_EDGE}++|(?<!{_EDGE}){_EDGE}++\z"
 
 ROUNDS = 3
 DAMPING = 2.0           # instances of score zero that every context is given
@@ -90,7 +90,8 @@ def _shape(kind: str, token: Column) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The one pass over the texts: row number, id, and for each pattern the matches and the
-    lengths of the pieces between them."""
+    lengths of the pieces between them; for each candidate what stands before it in its token
+    and, after a space, the word before, both backwards."""
     text, needed = text_of(text_col), text_of(text_col).rlike(_NEEDED)
     out = {}
     for kind, pattern in {**PATTERNS, "near": _FROM_DIGIT}.items():
@@ -100,7 +101,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(F.col(id_col).alias("id"), *(c.alias(n) for n, c in out.items()))
     rows = rows.withColumns({
         **{f"{k}_g": F.transform(f"{k}_p", lambda g: F.length(g)) for k in (*KINDS, "near")},
-        "near_tail": F.transform("near_p", lambda g: F.right(g, F.lit(_TAIL)))})
+        "near_back": F.transform("near_p", lambda g: F.regexp_replace(
+            F.regexp_extract(F.reverse(g), _BEFORE, 0), SPACES, " "))})
     return materialise(rows.drop(*(f"{k}_p" for k in (*KINDS, "near"))).withColumn(
         "rid", F.monotonically_increasing_id()), "pii-scan")
 
@@ -135,15 +137,15 @@ def candidates(rows: DataFrame) -> DataFrame:
     """``(rid, ctx, token, start, stop)``: tokens with a digit or an at sign, and the word
     without one before them, both trimmed of punctuation (the word keeps a final colon or
     equals sign)."""
-    flat = _placed(rows, "near", "tail").select(
-        "rid", "m", "start", "stop", F.regexp_extract("tail", _PREFIX, 1).alias("prefix"),
-        F.regexp_extract("tail", _BEFORE, 1).alias("w")).where(
-        (F.length("prefix") <= MAX_PREFIX) & (F.col("w") != ""))
-    flat = flat.select("rid", "w", "stop", F.concat("prefix", "m").alias("t"))
-    lead = F.length("t") - F.length(F.regexp_replace("t", f"^{_EDGE}+", ""))
-    token = F.regexp_replace("t", f"^{_EDGE}+|{_EDGE}+$", "")
+    flat = _placed(rows, "near", "back").select(
+        "rid", "stop", F.split_part("back", F.lit(" "), F.lit(2)).alias("w"),
+        F.concat(F.reverse(F.split_part("back", F.lit(" "), F.lit(1))), "m").alias("t")).where(
+        "w <> ''")
+    lead = F.length("t") - F.length(F.regexp_replace("t", f"^{_EDGE}++", ""))
+    token = F.regexp_replace("t", _TRIM, "")
     start = F.col("stop") - F.length("t") + lead
-    ctx = F.lower(F.regexp_replace(F.right("w", F.lit(MAX_CONTEXT)), r"[^\p{L}\p{N}_:=]+$", ""))
+    ctx = F.lower(F.reverse(F.left(F.regexp_replace("w", r"^[^\p{L}\p{N}_:=]++", ""),
+                                   F.lit(MAX_CONTEXT))))
     return flat.select("rid", ctx.alias("ctx"), token.alias("token"), start.alias("start"),
                        (start + F.length(token)).alias("stop")).where("token <> '' AND ctx <> ''")
 

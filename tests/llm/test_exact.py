@@ -220,6 +220,20 @@ def test_pii_discovers_from_context(spark):
     assert spans[3] == "phone:13:27"
 
 
+def test_pii_reads_what_stands_before_whole(spark):
+    """Neither a long run before the first digit, nor a long gap, nor punctuation after the
+    context word hides a number; none of them takes long."""
+    docs = [(i, f"bitte Anruf: +49 30 55{i:05d} und weiter") for i in range(30)]
+    docs += [(100, "Anruf: " + "." * 70 + "030-1234567"), (101, "Anruf:" + " " * 200 + "030-1234568"),
+             (102, "Anruf:" + "\n " * 62 + "030-1234569"), (103, "Anruf:" + "." * 70 + " 030-1234560"),
+             (104, "Anruf: " + "." * 200_000 + "030-1234561"),
+             (105, "x" * 200_000 + " Anruf: x" + "." * 200_000 + "y1")]
+    got = pii.digest(pii.find(spark.createDataFrame(docs, "doc_id long, text string")))
+    spans = dict(rows_of(got, "doc_id", "spans"))
+    assert [spans[i] for i in range(100, 106)] == [
+        "phone:77:88", "phone:206:217", "phone:130:141", "phone:77:88", "phone:200007:200018", ""]
+
+
 # -- simhash ---------------------------------------------------------------------------------
 
 SIMHASH = ("doc_id", "fingerprint", "component_id")

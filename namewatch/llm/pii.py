@@ -1,8 +1,8 @@
 """Personal data by bootstrapped contextual extraction, with built-in functions only.
 
 1. Base rules find e-mail addresses, IP addresses, payment cards and phone numbers. They are
-   the seeds. The same scan collects candidates: tokens with a digit or an at sign, with the
-   word before them. This is the only pass over the texts.
+   the seeds. The same scan collects candidates: tokens with a digit or an at sign (groups of
+   digits with single spaces between them also as one), with the word before them. This is the only pass over the texts.
 2. Seeds and candidates make a graph between contexts (the word before) and instances (the
    token). Scores go back and forth: a context's confidence in a kind is the mean score of its
    distinct instances, damped for rare ones; an unseen instance of the kind's general shape
@@ -41,18 +41,20 @@ _IP = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 _NEEDED = "[0-9@]"
 # A candidate from its first digit or at sign on. What stands before it, the rest of the
 # token and the word before, ends the piece of text before the match. The piece is read
-# backwards from there, so no length of either or of the gap matters.
-_FROM_DIGIT = r"[0-9@][^\x20\x09-\x0D]*+"
+# backwards from there, so no length of either or of the gap matters. A token of digits goes on
+# over single spaces as long as whole groups of digits follow.
+_EDGE = r"[\"'(),.;:<>\[\]{}!?]"
+_FROM_DIGIT = (r"[0-9@][0-9().-]*+(?:(?<=[0-9)])\x20\(?[0-9][0-9().-]*+"
+               rf"(?={_EDGE}*+(?:[\x20\x09-\x0D]|\z)))*+[^\x20\x09-\x0D]*+")
+_FIRST = r"^[^\x20]*+"
 _BEFORE = r"^[^\x20\x09-\x0D]*+[\x20\x09-\x0D]*+[^\x20\x09-\x0D]*+"
 MAX_CONTEXT = 40        # last characters of the word before it, trimmed
-_EDGE = r"[\"'(),.;:<>\[\]{}!?]"
 # Edges of a token; a run of them inside it is looked at once.
 _TRIM = rf"^{_EDGE}++|(?<!{_EDGE}){_EDGE}++\z"
 
 ROUNDS = 3
 DAMPING = 2.0           # instances of score zero that every context is given
 CONFIDENCE = 0.6
-PASSED_ON = 0.05        # least belief that a context passes on to unseen instances
 MIN_INSTANCES = 5       # distinct instances of a confident context
 
 
@@ -81,10 +83,10 @@ def _shape(kind: str, token: Column) -> Column:
     """Whether a token could be an instance of a kind that the base rule does not know."""
     digits = F.length(F.regexp_replace(token, "[^0-9]", ""))
     return {
-        "email": token.contains("@") & (F.length(token) > 4),
+        "email": token.contains("@") & (F.length(token) > 4) & ~token.contains(" "),
         "ip": (digits >= 4) & token.rlike(r"^[0-9A-Fa-f:.]+$") & token.rlike("[.:]"),
-        "card": (digits >= 12) & token.rlike(r"^[0-9-]+$"),
-        "phone": (digits >= 7) & token.rlike(r"^\+?[0-9().-]+$"),
+        "card": (digits >= 12) & token.rlike(r"^[0-9\x20-]+$"),
+        "phone": (digits >= 7) & token.rlike(r"^\+?[0-9().\x20-]+$"),
     }[kind]
 
 
@@ -134,25 +136,34 @@ def base_spans(rows: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """``(rid, ctx, token, start, stop)``: tokens with a digit or an at sign, and the word
-    without one before them, both trimmed of punctuation (the word keeps a final colon or
-    equals sign)."""
+    """``(rid, ctx, token, start, stop, run, run_stop)``: tokens with a digit or an at sign, and
+    the word without one before them, both trimmed of punctuation (the word keeps a final colon
+    or equals sign). ``run`` is the token with the groups of digits after it, if together they
+    have the shape of a kind that the token alone has not."""
     flat = _placed(rows, "near", "back").select(
         "rid", "stop", F.split_part("back", F.lit(" "), F.lit(2)).alias("w"),
         F.concat(F.reverse(F.split_part("back", F.lit(" "), F.lit(1))), "m").alias("t")).where(
         "w <> ''")
     lead = F.length("t") - F.length(F.regexp_replace("t", f"^{_EDGE}++", ""))
-    token = F.regexp_replace("t", _TRIM, "")
+    token = F.regexp_replace(F.regexp_extract("t", _FIRST, 0), _TRIM, "")
+    run = F.regexp_replace("t", _TRIM, "")
     start = F.col("stop") - F.length("t") + lead
     ctx = F.lower(F.reverse(F.left(F.regexp_replace("w", r"^[^\p{L}\p{N}_:=]++", ""),
                                    F.lit(MAX_CONTEXT))))
-    return flat.select("rid", ctx.alias("ctx"), token.alias("token"), start.alias("start"),
-                       (start + F.length(token)).alias("stop")).where("token <> '' AND ctx <> ''")
+    flat = flat.select("rid", ctx.alias("ctx"), token.alias("token"), start.alias("start"),
+                       (start + F.length(token)).alias("stop"),
+                       F.when(F.col("t").contains(" "), run).alias("run"))
+    grown = F.lit(False)
+    for kind in KINDS:
+        grown = grown | (_shape(kind, F.col("run")) & ~_shape(kind, F.col("token")))
+    return flat.where("token <> '' AND ctx <> ''").withColumn("run", F.when(
+        grown, F.col("run"))).withColumn("run_stop", F.col("start") + F.length("run"))
 
 
 def _instances(found: DataFrame, spans: DataFrame) -> DataFrame:
     """``found`` with the base span that a candidate overlaps, if any: ``kind`` (null: unseen),
-    and its value as token.
+    and its value as token. A run that no base span touches is an instance, also in place of
+    its first token if that alone has no kind's shape.
 
     One sort of each text's spans and candidates by start: the span that reaches furthest of
     those before, and the first one after.
@@ -160,7 +171,8 @@ def _instances(found: DataFrame, spans: DataFrame) -> DataFrame:
     events = found.withColumns({"kind": F.lit(None).cast("string"), "rank": F.lit(1)}) \
         .unionByName(spans.select(
             "rid", F.lit(None).cast("string").alias("ctx"), F.col("value").alias("token"),
-            "start", "stop", "kind", F.lit(0).alias("rank")))
+            "start", "stop", F.lit(None).cast("string").alias("run"),
+            F.lit(None).cast("int").alias("run_stop"), "kind", F.lit(0).alias("rank")))
     span = F.when(F.col("rank") == 0, F.struct("stop", "kind", "token"))
     up = Window.partitionBy("rid").orderBy("start", "rank")
     down = Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("rank"))
@@ -171,8 +183,18 @@ def _instances(found: DataFrame, spans: DataFrame) -> DataFrame:
     inside, ahead = F.col("prev.stop") > F.col("start"), F.col("next.start") < F.col("stop")
     pick = lambda f, other: F.when(inside, F.col(f"prev.{f}")).when(
         ahead, F.col(f"next.{f}")).otherwise(other)
-    return rows.select("rid", "ctx", pick("token", F.col("token")).alias("token"), "start",
-                       "stop", pick("kind", F.lit(None)).alias("kind"))
+    free = F.col("run").isNotNull() & ~F.coalesce(inside, F.lit(False)) \
+        & ~F.coalesce(F.col("next.start") < F.col("run_stop"), F.lit(False))
+    one = F.struct(pick("token", F.col("token")).alias("token"), F.col("stop").alias("stop"),
+                   pick("kind", F.lit(None)).alias("kind"))
+    run = F.struct(F.col("run").alias("token"), F.col("run_stop").alias("stop"),
+                   F.lit(None).cast("string").alias("kind"))
+    fits = F.lit(False)
+    for kind in KINDS:
+        fits = fits | _shape(kind, F.col("token"))
+    return rows.select("rid", "ctx", "start", F.explode(
+        F.when(free & fits, F.array(one, run)).when(free, F.array(run)).otherwise(
+            F.array(one))).alias("x")).select("rid", "ctx", "x.token", "start", "x.stop", "x.kind")
 
 
 def confident_contexts(seen: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE,
@@ -195,8 +217,7 @@ def confident_contexts(seen: DataFrame, rounds: int = ROUNDS, confidence: float
         belief = materialise(belief, "pii-belief")
         if turn == rounds - 1:
             break
-        telling = belief.where(F.col("belief") >= PASSED_ON)
-        unseen = edges.where("seed IS NULL").join(telling, "ctx").where(_any_shape())
+        unseen = edges.where("seed IS NULL").join(belief, "ctx").where(_any_shape())
         wrong = F.sum(F.log1p(-F.least(F.col("belief"), F.lit(0.999999))))
         unseen = unseen.groupBy("token", "kind").agg((1 - F.exp(wrong)).alias("score"))
         back = edges.where("seed IS NULL").join(unseen, "token").select(
@@ -217,12 +238,12 @@ def _any_shape() -> Column:
 
 def discovered(seen: DataFrame, contexts: DataFrame) -> DataFrame:
     """``(rid, kind, start, stop, value)``: unseen candidates of fitting shape in confident
-    contexts; the first kind of several."""
+    contexts; of several at one place the first kind, and the token alone before its run."""
     rank = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))
     hits = seen.where("kind IS NULL").drop("kind").join(contexts, "ctx").where(_any_shape())
-    return hits.groupBy("rid", "start", "stop").agg(
-        F.min_by("kind", rank).alias("kind"), F.first("token").alias("value")).select(
-        "rid", "kind", "start", "stop", "value")
+    return hits.groupBy("rid", "start").agg(
+        F.min(F.struct(rank.alias("rank"), "stop", "kind", "token")).alias("x")).select(
+        "rid", "x.kind", "start", "x.stop", F.col("x.token").alias("value"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

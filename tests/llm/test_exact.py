@@ -234,6 +234,41 @@ def test_pii_reads_what_stands_before_whole(spark):
         "phone:77:88", "phone:206:217", "phone:130:141", "phone:77:88", "phone:200007:200018", ""]
 
 
+def test_pii_reads_numbers_in_groups(spark):
+    """Groups of digits are one candidate; a token that fits alone stays as it is."""
+    docs = [(i, f"bitte Anruf: +49 30 55{i:05d} und weiter") for i in range(30)]
+    docs += [(200, "Anruf: 030 123 4567, bitte"), (201, "Anruf: (030) 123 4568"),
+             (202, "Anruf: 030-1234567 12 Uhr"), (203, "Anruf: 030 12 3x"),
+             (204, "so 030 123 4567"), (205, "Anruf: 030  123 4567"),
+             (206, "Anruf: 030 123. 4567890"), (207, "Anruf: 12 +49 30 5500001"),
+             (208, "Anruf: " + "1 " * 100_000)]
+    got = pii.digest(pii.find(spark.createDataFrame(docs, "doc_id long, text string")))
+    spans = dict(rows_of(got, "doc_id", "spans"))
+    assert [spans[i] for i in range(200, 209)] == [
+        "phone:7:19", "phone:8:21", "phone:7:18", "", "", "", "", "phone:10:24",
+        "phone:7:200006"]
+
+
+def test_pii_spaced_card_failing_luhn(spark):
+    valid = ["".join(f"{n:016d}"[j:j + 4] + " " for j in (0, 4, 8, 12)).strip() for n in
+             (4111111111111111, 5500000000000004, 4012888888881881, 5555555555554444,
+              5105105105105100, 4222222222222220, 6011111111111117, 6011000990139424,
+              3530111333300000, 3566002020360505)]
+    docs = [(i, f"Karte: {v}") for i, v in enumerate(valid)] + [(100, "Karte: 4111 1111 1111 1112")]
+    got = pii.digest(pii.find(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert dict(rows_of(got, "doc_id", "spans"))[100] == "card:7:26"
+
+
+def test_pii_small_beliefs_add_up(spark):
+    """An instance in many contexts of little belief each tells the context that has only such."""
+    told = [f"55500{j:02d}" for j in range(10)]
+    seen = [(f"c{i}", f"+49 30 {i:07d}", "phone") for i in range(40)]
+    seen += [(f"c{i}", f"x{i}y{j}", None) for i in range(40) for j in range(30)]
+    seen += [(c, t, None) for c in [f"c{i}" for i in range(40)] + ["all"] for t in told]
+    got = pii.confident_contexts(spark.createDataFrame(seen, "ctx string, token string, kind string"))
+    assert rows_of(got, "ctx", "kind") == [("all", "phone")]
+
+
 # -- simhash ---------------------------------------------------------------------------------
 
 SIMHASH = ("doc_id", "fingerprint", "component_id")

@@ -131,9 +131,10 @@ def allocate(lengths: list[int], counts: list[int], budget: int,
 
 
 def plan(units: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """``(source, size, source_size, target, passes, last)`` for each source and length of
-    ``units (source, size, h)``. A document takes part ``passes`` times, and once more if its
-    hash ``h`` is at most ``last`` (null: none).
+    """``(source, size, source_size, target, passes, last, need)`` for each source and length
+    of ``units (source, size, h)``. A document takes part ``passes`` times, and once more if its
+    hash ``h`` is at most ``last`` (null: none). Of the rows that have the hash ``last``, only
+    ``need`` take part once more (null: all).
 
     A source's lengths are few (n different lengths need at least n * n / 2 words), and the
     sources are a list of names; documents are never gathered.
@@ -159,15 +160,17 @@ def plan(units: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     fields = "source string, size long, n long, source_size long, target double, budget long"
     fitted = materialise(joined.groupBy("source").applyInPandas(
         fit, f"{fields}, passes long, extra long"), "mix-plan")
-    return _last_hashes(units, fitted)
+    return materialise(_last_hashes(units, fitted), "mix-last")
 
 
 def _last_hashes(units: DataFrame, fitted: DataFrame) -> DataFrame:
-    """Adds ``last``: the hash of the extra-th document of each source and length.
+    """Adds ``last``, the hash of the extra-th document of each source and length, and ``need``,
+    how many of the rows with this hash belong to the first ``extra`` (null: all).
 
     Documents are counted by ``PARTS`` ranges of the hash; the counts show the range that
-    holds the extra-th document, and only that range's documents are put in order. So a
-    length that most of a source has is spread like any other.
+    holds the extra-th document, and only that range's hashes, with their counts, are put in
+    order. So a length that most of a source has is spread like any other, and rows that
+    repeat id and text are one entry.
     """
     part = F.floor(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) * PARTS).cast("long")
     placed = units.withColumn("part", part)
@@ -183,12 +186,42 @@ def _last_hashes(units: DataFrame, fitted: DataFrame) -> DataFrame:
         "s", "l", "p", F.expr("extra - upto + m").alias("rank"))
     inside = placed.join(edge, F.col("source").eqNullSafe(F.col("s"))
                          & (F.col("size") == F.col("l")) & (F.col("part") == F.col("p")))
-    order = Window.partitionBy("source", "size", "part").orderBy(_unsigned("h"))
-    last = inside.withColumn("at", F.row_number().over(order)).where("at = rank").select(
-        "s", "l", F.col("h").alias("last"))
+    inside = inside.groupBy("s", "l", "rank", "h").agg(F.count(F.lit(1)).alias("m"))
+    order = Window.partitionBy("s", "l").orderBy(_unsigned("h")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    last = inside.withColumn("upto", F.sum("m").over(order)).where(
+        "upto >= rank AND upto - m < rank").select(
+        "s", "l", F.col("h").alias("last"),
+        F.expr("CASE WHEN upto > rank THEN rank - upto + m END").alias("need"))
     return fitted.join(last, fitted["source"].eqNullSafe(last["s"])
                        & (fitted["size"] == last["l"]), "left").select(
-        "source", "size", "source_size", "target", "passes", "last")
+        "source", "size", "source_size", "target", "passes", "last", "need")
+
+
+def _last_rows(tied: DataFrame) -> DataFrame:
+    """``(s, l, last_row)``: the need-th of the row numbers of each source and length of
+    ``tied (s, l, need, row)``.
+
+    Row numbers are counted by the partition that wrote them, which is in their upper bits;
+    only the rows of the one that holds the need-th are put in order.
+    """
+    placed = tied.withColumn("part", F.shiftright("row", 33))
+    upto = Window.partitionBy("s", "l").orderBy("part").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    edge = placed.groupBy("s", "l", "need", "part").agg(F.count(F.lit(1)).alias("m")).withColumn(
+        "upto", F.sum("m").over(upto)).where("upto >= need AND upto - m < need").select(
+        F.col("s").alias("es"), F.col("l").alias("el"), F.col("part").alias("ep"),
+        F.expr("need - upto + m").alias("rank"))
+    inside = placed.join(edge, F.col("s").eqNullSafe(F.col("es")) & (F.col("l") == F.col("el"))
+                         & (F.col("part") == F.col("ep")))
+    at = F.row_number().over(Window.partitionBy("s", "l").orderBy("row"))
+    return inside.withColumn("at", at).where("at = rank").select(
+        "s", "l", F.col("row").alias("last_row"))
+
+
+def _tied(chosen: DataFrame, need: str) -> bool:
+    """Whether any source and length takes only some of the rows with one hash."""
+    return not chosen.where(F.col(need).isNotNull()).isEmpty()
 
 
 def _unsigned(h: str) -> Column:
@@ -201,30 +234,33 @@ def _unit_columns(id_col: str, text_col: str, source_col: str, seed: int) -> dic
             "h": F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), text_of(text_col))}
 
 
-def _copies() -> Column:
-    more = F.col("last").isNotNull() & (_unsigned("h") <= _unsigned("last"))
-    return F.col("passes") + more.cast("long")
-
-
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", weights: tuple[int, ...] = WEIGHTS,
         max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """One row per document: ``(id, size, source_size, target, taken)``.
 
     Null sources are a source of their own, last in order. A text without words has size zero
-    and takes nothing. Rows that repeat id and text have one place in the order: they are
-    taken or left together, so a source made of such repeats may pass its target by them. An
-    empty table gives no rows. The choice depends on ids, texts and the seed alone.
+    and takes nothing. Rows that repeat id and text have one place in the order; if only some
+    of them fit, a written row number tells which. An empty table gives no rows. How often an
+    id and text is taken depends on ids, texts and the seed alone.
     """
     columns = _unit_columns(id_col, text_col, source_col, seed)
     units = materialise(docs.select(F.col(id_col).alias("id"),
-                                    *(c.alias(n) for n, c in columns.items())), "mix-units")
+                                    *(c.alias(n) for n, c in columns.items()),
+                                    F.monotonically_increasing_id().alias("row")), "mix-units")
     chosen = plan(units.select("source", "size", "h"), weights, max_epochs)
     chosen = chosen.withColumnsRenamed({"source": "s", "size": "l"})
     rows = units.join(chosen, units["source"].eqNullSafe(chosen["s"])
                       & (units["size"] == chosen["l"]))
+    more = F.col("last").isNotNull() & (_unsigned("h") <= _unsigned("last"))
+    if _tied(chosen, "need"):
+        ends = _last_rows(rows.where("need IS NOT NULL AND h = last").select(
+            "s", "l", "need", "row")).withColumnsRenamed({"s": "es", "l": "el"})
+        rows = rows.join(ends, rows["s"].eqNullSafe(ends["es"]) & (rows["l"] == ends["el"]), "left")
+        more = more & ((F.col("h") != F.col("last")) | F.col("need").isNull()
+                       | (F.col("row") <= F.col("last_row")))
     return rows.select(F.col("id").alias(id_col), "size", "source_size", "target",
-                       (F.col("size") * _copies()).alias("taken"))
+                       (F.col("size") * (F.col("passes") + more.cast("long"))).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -240,14 +276,29 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     units = materialise(marked.select(*(F.col(v).alias(k) for k, v in names.items())),
                         "mix-units")
     plan_names = fresh([*docs.columns, *names.values(), copy],
-                       "nw_s", "nw_l", "nw_passes", "nw_last")
-    s, length, passes, last = plan_names
+                       "nw_s", "nw_l", "nw_passes", "nw_last", "nw_need", "nw_more", "nw_row",
+                       "nw_end_s", "nw_end_l", "nw_end")
+    s, length, passes, last, need, more, row, *end = plan_names
     chosen = plan(units, weights, max_epochs).select(
         F.col("source").alias(s), F.col("size").alias(length), F.col("passes").alias(passes),
-        F.col("last").alias(last)).where(F.col(length) > 0)
+        F.col("last").alias(last), F.col("need").alias(need)).where(F.col(length) > 0)
     rows = marked.join(chosen, F.col(names["source"]).eqNullSafe(F.col(s))
                        & (F.col(names["size"]) == F.col(length)))
-    more = F.col(last).isNotNull() & (_unsigned(names["h"]) <= _unsigned(last))
-    n = F.col(passes) + more.cast("long")
-    return rows.where(n > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), n.cast("int")))) \
+    upto = F.col(last).isNotNull() & (_unsigned(names["h"]) <= _unsigned(last))
+    out = rows.withColumn(more, upto)
+    if _tied(chosen, need):
+        # only these rows need numbers, so only they are written
+        tie = F.col(need).isNotNull() & (F.col(names["h"]) == F.col(last))
+        tied = materialise(rows.where(tie).withColumn(row, F.monotonically_increasing_id()),
+                           "mix-tied")
+        ends = _last_rows(tied.select(F.col(s).alias("s"), F.col(length).alias("l"),
+                                      F.col(need).alias("need"), F.col(row).alias("row")))
+        ends = ends.withColumnsRenamed(dict(zip(("s", "l", "last_row"), end)))
+        tied = tied.join(ends, F.col(s).eqNullSafe(F.col(end[0]))
+                         & (F.col(length) == F.col(end[1])))
+        tied = tied.withColumn(more, F.col(row) <= F.col(end[2]))
+        out = out.where(~tie).select(*docs.columns, passes, more).unionByName(
+            tied.select(*docs.columns, passes, more))
+    n = F.col(passes) + F.col(more).cast("long")
+    return out.where(n > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), n.cast("int")))) \
         .select(*docs.columns)

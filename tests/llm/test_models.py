@@ -118,6 +118,24 @@ def test_mix_hot_length(spark):
     assert all(0 <= r["g"] - r["t"] < 4.5 for r in total.collect())
 
 
+def test_mix_takes_some_of_equal_rows(spark):
+    """Rows that repeat id and text are taken as often as the target needs, not all or none."""
+    rows = [(None, "w x y z", "a", i) for i in range(300)]
+    rows += [(7, "v w x", None, i) for i in range(200)] + [(i, f"w x {i}", "b", i) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, l long")
+    goal = mixing.targets({"a": 1200, "b": 900, None: 600})
+    for table in (docs.repartition(7), docs.coalesce(1)):
+        got = mixing.mix(table)
+        assert got.count() == 800
+        sums = dict(rows_of(got.groupBy("source_size").agg(F.sum("taken").alias("t")),
+                            "source_size", "t"))
+        out = mixing.apply_mix(table)
+        assert out.columns == docs.columns
+        words = Counter(r[0] for r in rows_of(out, "source"))
+        for name, size, n in (("a", 1200, 4), ("b", 900, 3), (None, 600, 3)):
+            assert abs(sums[size] - goal[name]) <= n / 2 and words[name] * n == sums[size]
+
+
 def test_applied_mix_repeats_documents(hostile_docs, no_docs):
     by_row = hostile_docs.withColumn("doc_id", F.col("n_chars"))
     took = {r[0]: r[2] // r[1] for r in rows_of(mixing.mix(by_row), "doc_id", "size", "taken")

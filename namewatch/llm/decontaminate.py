@@ -298,8 +298,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text",
-                 min_span: int = WINDOW, **options) -> DataFrame:
-    """``docs`` with every hit range of ``min_span`` or more words cut out of the text.
+                 min_span: int = 1, **options) -> DataFrame:
+    """``docs`` with every hit range of ``min_span`` or more words cut out of the text. Ranges
+    shorter than the window are whole items of fewer words.
 
     The text between the cuts is kept as written; a cut becomes one space.
     """

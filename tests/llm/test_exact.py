@@ -89,6 +89,14 @@ def test_span_removal(spark):
     assert got == {1: "Start, here: end.", 2: None, 3: "alpha beta"}
 
 
+def test_span_removal_cuts_whole_short_items(spark):
+    docs = spark.createDataFrame([(1, "Start, here: alpha BETA gamma; delta end.")],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
+    got = decontaminate.remove_spans(docs, items)
+    assert rows_of(got, "doc_id", "text") == [(1, "Start, here: end.")]
+
+
 # -- substring dedup -------------------------------------------------------------------------
 
 SUBSTRING = ("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -16,12 +16,19 @@ def cross_recurrence(m: DataFrame) -> DataFrame:
         "ecosystem", "name", "model_id", "prompt_id", "run_index").distinct()
     known = F.col("model_id").isNotNull() & F.col("prompt_id").isNotNull() & \
         F.col("run_index").isNotNull()
-    # sets of prompts and models are as long as the corpus and the model list
-    return nf.groupBy("ecosystem", "name").agg(
-        F.size(F.collect_set("prompt_id")).cast("long").alias("prompts"),
-        F.size(F.collect_set("model_id")).cast("long").alias("models"),
-        F.count_if(known).alias("runs"),
-    )
+    # two levels, first one row per name and prompt and per name and model, so that no name's
+    # prompts are in one buffer; both from one pass over the mentions
+    either = F.explode(F.array(
+        F.struct(F.lit(True).alias("prompt"), F.col("prompt_id").cast("string").alias("value"),
+                 known.alias("known")),
+        F.struct(F.lit(False).alias("prompt"), F.col("model_id").cast("string").alias("value"),
+                 F.lit(False).alias("known"))))
+    values = nf.select("ecosystem", "name", either.alias("x")).groupBy(
+        "ecosystem", "name", "x.prompt", "x.value").agg(F.count_if("x.known").alias("runs"))
+    has = F.col("value").isNotNull()
+    return values.groupBy("ecosystem", "name").agg(
+        F.count_if(has & F.col("prompt")).alias("prompts"),
+        F.count_if(has & ~F.col("prompt")).alias("models"), F.sum("runs").alias("runs"))
 
 
 def rates_grouping_sets(m: DataFrame) -> DataFrame:

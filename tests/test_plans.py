@@ -7,6 +7,7 @@ import io
 
 import pytest
 
+from namewatch.operators import extensions
 from namewatch.plans import catalog
 from tests.conftest import SF_SMALL
 
@@ -44,6 +45,22 @@ def test_recurrence_prunes_pushes_and_preaggregates(spark, q):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_cross_recurrence_gathers_no_sets(spark, q):
+    plan = _plan(q["cross_recurrence"](spark, SF_SMALL))
+    assert "collect_set" not in plan and "Expand" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_cross_recurrence_counts_with_nulls(spark):
+    rows = [("e", "n", "m1", "p1", 1), ("e", "n", "m1", "p1", 1), ("e", "n", "m1", "p1", 2),
+            ("e", "n", "m2", "p2", 1), ("e", "n", None, "p3", 1), ("e", "n", "m1", None, 1),
+            ("e", "n", "m2", "p2", None), ("e", None, None, None, None), (None, "n", "m1", "p1", 1)]
+    m = spark.createDataFrame([(*r, "not_found") for r in rows] + [("e", "x", "m1", "p1", 1, "found")],
+                              "ecosystem string, name string, model_id string, prompt_id string, "
+                              "run_index long, status string")
+    got = {tuple(r) for r in extensions.cross_recurrence(m).collect()}
+    assert got == {("e", "n", 3, 2, 3), ("e", None, 0, 0, 0), (None, "n", 1, 1, 1)}
+
+
 @pytest.mark.parametrize("name", ["per_model", "cache_split", "reduce_attempts", "reduce_calls",
                                   "sweep_plan", "resume_pending", "totals", "dq_prompts"])
 def test_no_cartesian_products(spark, q, name):

@@ -16,8 +16,11 @@ from namewatch.llm import (
     secrets,
     sharding,
     simhash,
+    spelling,
     substring,
+    suffixes,
     toxicity,
+    trie,
 )
 from namewatch.llm.common import materialise, ship
 
@@ -90,6 +93,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.dedup(_table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.digest(trie.nodes(
+        _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
+
+
 def _ready(query: Callable[[SparkSession, str], DataFrame]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -101,4 +117,5 @@ def _ready(query: Callable[[SparkSession, str], DataFrame]):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _ready(f) for f in (
         op1_toxicity, op2_decontamination, op3_language_id, op4_substring_dedup,
-        op5_secret_scan, op6_pii, op7_simhash, op8_quality, op9_mixing, op10_sharding)}
+        op5_secret_scan, op6_pii, op7_simhash, op8_quality, op9_mixing, op10_sharding, op11_suffix_dedup,
+        op12_spelling, op13_prefix_trie)}

@@ -173,3 +173,88 @@ def statistics(docs):
 
 def crc(value) -> int:
     return zlib.crc32(str(value).encode())
+
+
+def suffixes(docs, length=100):
+    """[(doc_id, n_bytes, n_removed, n_spans, kept_sha256)] of ``docs`` in document order."""
+    seen, out = set(), []
+    for doc_id, text in docs:
+        data = (text or "").encode()
+        gone = bytearray(len(data))
+        for i in range(len(data) - length + 1):
+            piece = data[i:i + length]
+            if piece in seen:
+                gone[i:i + length] = b"\1" * length
+            seen.add(piece)
+        runs = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        kept = bytes(b for b, g in zip(data, gone) if not g)
+        out.append((doc_id, len(data), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def spelling_words(docs):
+    """{word: n} of words of 5 or more code points with 3 or more occurrences."""
+    count = Counter()
+    for doc_id, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = lower_az(run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 97 == 0:
+                k = h % len(run)
+                run = run[:k] + run[k + 1:]
+            count[run] += 1
+    return {w: n for w, n in count.items() if len(w) >= 5 and n >= 3}
+
+
+def one_edit(a: str, b: str) -> bool:
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    return a[i + 1:] == b[i + 1:] or a[i + 1:] == b[i:] or a[i:] == b[i + 1:]
+
+
+def spelling(words):
+    """[(word, form, root, n, n_near, form_n)], every pair compared."""
+    near = {w: [o for o in words if one_edit(w, o)] for w in words}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda o: (-words[o], o), default=None)
+        form[w] = best if best is not None and words[best] >= 2 * words[w] else None
+    out = []
+    for w in words:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        f = form[w]
+        out.append((w, f, root, words[w], len(near[w]), None if f is None else words[f]))
+    return out
+
+
+def prefix_trie(rows):
+    """[(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens,
+    ends_sha256)] of ``rows (conv_id, turn, role, text)`` without ties."""
+    own: dict[int, list] = {}
+    for c, turn, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0)):
+        if c is not None:
+            own.setdefault(c, []).append((role or "", text or ""))
+    built = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        built[c] = tuple(own.get(c - c % 100, [])[:h] + turns[h:])
+    members: dict[tuple, list] = {}
+    for c, turns in built.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(turns[:d], []).append(c)
+    children: dict[tuple, int] = Counter(n[:-1] for n in members if n)
+    leaves: dict[tuple, int] = Counter()
+    saved: dict[tuple, int] = Counter()
+    for node, inside in members.items():
+        for d in range(len(node) + 1):
+            leaves[node[:d]] += not children[node]
+            saved[node[:d]] += (len(inside) - 1) * (len(node[-1][1]) if node else 0)
+    return [(min(m), len(n), min(members[n[:-1]]) if n else None, len(m), children[n],
+             leaves[n], saved[n],
+             sha(",".join(str(c) for c in sorted(m) if len(built[c]) == len(n))))
+            for n, m in members.items()]

@@ -5,7 +5,7 @@ one) is a repeat; its bytes go. Equal strings are neighbours in the suffix array
 are sorted, not compared in pairs:
 
 * **Discard.** Text that holds no repeat is not sorted. Every 100-byte string has a block that
-  its content alone chooses (the 40 bytes of the smallest fingerprint in it), so equal strings
+  its content alone chooses (the 50 bytes of the smallest fingerprint in it), so equal strings
   have equal blocks at equal places. Strings whose block occurs once are done.
 * **Sort sampled tuples.** Of what is left, suffixes at positions whose remainder modulo 57 is
   in a difference cover (8 of 57) are sampled: any two positions have a shift below 57 that
@@ -17,7 +17,8 @@ are sorted, not compared in pairs:
   but the first lose their bytes. A tuple whose occurrences have one triple is settled.
 * **Merge the remaining suffixes.** Where a tuple is followed or preceded by different text (the
   edges of matches), the suffixes between the sampled ones are put in: those whose first 100
-  bytes contain the tuple of the first occurrence of each triple.
+  bytes contain the tuple of the first occurrence of each triple and are not known to be
+  repeats (the first occurrence of a string never is, so every string keeps its witness).
 * **Compare adjacent prefixes.** They are sorted by their first 100 bytes; of equal neighbours
   the first in document order stays and the others are repeats.
 
@@ -28,7 +29,8 @@ and not 3: sorting two thirds of all byte suffixes would write 16 bytes for each
 ten times the text.
 
 A slice of text reports a name once however often it holds it, with its first place; the rest is
-known to be repeated there and does not travel by name.
+known to be repeated there and travels with its text, not by name. Whole texts that equal an
+earlier one are repeats at once; one of each is sorted.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ from pyspark.sql.window import Window
 from namewatch.llm.common import materialise, text_of
 
 LENGTH = 100            # bytes of a string
-BLOCK = 40              # bytes of the block that a string's content chooses
+BLOCK = 50              # bytes of the block that a string's content chooses
 PERIOD = 57
 COVER = (1, 2, 4, 14, 33, 37, 44, 53)   # differences give every remainder modulo 57
 TUPLE = LENGTH - PERIOD + 1
@@ -143,11 +145,6 @@ def _counts(first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _own_key(rid: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A key of its own for a row that needs to meet no other."""
-    return _mix((rid.view(np.uint64) * np.uint64(_BASE) + at.astype(np.uint64)) * _M2)
-
-
 def _long(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
@@ -205,7 +202,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
                 rid, at = rids[owner], place - texts.bounds[owner]
                 first = _firsts(name)
                 yield pa.RecordBatch.from_arrays(
-                    [_long(np.where(first, name, _own_key(rid, at))), pa.array(~first),
+                    [_long(np.where(first, name, rid.view(np.uint64))), pa.array(~first),
                      pa.array(rid), _int(at), _int(size), _int(_counts(first))],
                     names=["key", "known", "rid", "at", "size", "n"])
 
@@ -297,8 +294,9 @@ def _suffixes(docs: DataFrame) -> DataFrame:
                 several = np.repeat(np.add.reduceat(first.astype(np.int32), heads) > 1,
                                     np.diff(np.append(heads, len(name))))
                 way = np.where(first, np.where(several, BY_TRIPLE, BY_TUPLE), KNOWN)
-                key = np.choose(way, [name, _own_key(rid, at), _mix(name ^ (triple * _M2))])
-                yield _suffix_batch(key, way, triple, pa.array(rid), at)
+                key = np.choose(way, [name, rid.view(np.uint64), _mix(name ^ (triple * _M2))])
+                yield _suffix_batch(key, way, np.where(way == KNOWN, np.uint64(0), triple),
+                                    pa.array(rid), at)
                 marks = name[top & several]
                 if len(marks):
                     zero = np.zeros(len(marks), np.int64)
@@ -334,29 +332,41 @@ def repeated_triples(docs: DataFrame) -> DataFrame:
 
 # -- the remaining suffixes ------------------------------------------------------------------------
 
+class Places:
+    """Places in a batch's texts, from one list per text, in order."""
+
+    def __init__(self, texts: Texts, lists: pa.Array):
+        of = np.repeat(np.arange(len(lists)),
+                       lists.value_lengths().to_numpy(zero_copy_only=False))
+        at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.at = np.sort(at + texts.bounds[of])
+
+    def before(self, start: int, end: int) -> np.ndarray:
+        """Marks the starts in ``[start, end)`` of strings that contain the tuple at one."""
+        a, b = np.searchsorted(self.at, [start, end + REACH])
+        near = self.at[a:b]
+        change = np.zeros(end - start + 1, np.int32)
+        np.add.at(change, np.clip(near - REACH - start, 0, end - start), 1)
+        np.add.at(change, np.clip(near + 1 - start, 0, end - start), -1)
+        return np.cumsum(change[:-1]) > 0
+
+
 def _edge_strings(docs: DataFrame) -> DataFrame:
-    """Candidate strings around the ``edge`` tuples of ``docs (rid, text, runs, edge)``:
-    ``(h1, h2, known, rid, at)``; all equal ones of a slice but the first are known."""
+    """Candidate strings around the ``edge`` tuples and not around the ``sure`` ones of ``docs
+    (rid, text, runs, sure, edge)``: ``(h1, h2, known, rid, at)``; all equal ones of a slice but
+    the first are known."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = Texts(batch.column("text"))
             candidates = Candidates(texts, batch.column("runs"))
             rids = batch.column("rid").to_numpy(zero_copy_only=False)
-            lists = batch.column("edge")
-            of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(
-                zero_copy_only=False))
-            edges = np.sort(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                            + texts.bounds[of])
+            edge, sure = (Places(texts, batch.column(n)) for n in ("edge", "sure"))
             for start, end in texts.slices():
-                a, b = np.searchsorted(edges, [start, end + REACH])
-                near = edges[a:b]
-                change = np.zeros(end - start + 1, np.int32)
-                np.add.at(change, np.clip(near - REACH - start, 0, end - start), 1)
-                np.add.at(change, np.clip(near + 1 - start, 0, end - start), -1)
-                # a string that is a candidate starts and ends in one text; one before the
-                # tuple's text is only compared once more than needed
-                place = start + np.flatnonzero((np.cumsum(change[:-1]) > 0)
-                                               & candidates.marks(start, end))
+                # reaching into the text before does not matter: no whole string starts in
+                # the last REACH bytes of a text
+                marks = (candidates.marks(start, end) & edge.before(start, end)
+                         & ~sure.before(start, end))
+                place = start + np.flatnonzero(marks)
                 if not len(place):
                     continue
                 names = Names(texts.data[start:end + LENGTH])
@@ -370,11 +380,11 @@ def _edge_strings(docs: DataFrame) -> DataFrame:
                 h1, h2, rid, at = h1[order], h2[order], rid[order], at[order]
                 first = _firsts(h1, h2)
                 yield pa.RecordBatch.from_arrays(
-                    [_long(np.where(first, h1, _own_key(rid, at))),
+                    [_long(np.where(first, h1, rid.view(np.uint64))),
                      pa.array(h2.astype(np.uint32).view(np.int32)), pa.array(~first),
                      pa.array(rid), _int(at)], names=["h1", "h2", "known", "rid", "at"])
 
-    return docs.select("rid", "text", "runs", "edge").mapInArrow(
+    return docs.select("rid", "text", "runs", "sure", "edge").mapInArrow(
         run, "h1 long, h2 int, known boolean, rid long, at int")
 
 
@@ -402,14 +412,16 @@ def keep_mask(n_bytes: int, sure, starts) -> np.ndarray:
     return np.cumsum(change[:-1]) == 0
 
 
-def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(rid, id, text)`` with rid rising in document order: by id, null first; rows that
-    repeat an id by a hash of the text. Equal rows may stand in either order."""
-    keys = [F.col("id").asc_nulls_first(), F.col("tie").asc(), F.col("row").asc()]
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text")) \
-        .withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
-    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(
-        F.monotonically_increasing_id().alias("rid"), "id", "text")
+def _in_order(docs: DataFrame) -> DataFrame:
+    """``(rid, row)`` of the first of equal texts of ``docs (row, id, text)``, texts of a
+    string's length and more; rid rises in document order: by id, null first, and for rows that
+    repeat an id by a hash of the text. Only ids and digests move."""
+    first = docs.where(F.octet_length("text") >= LENGTH).select(
+        F.md5("text").alias("digest"), F.xxhash64("text").alias("tie"),
+        F.struct("id", "row").alias("first")).groupBy("digest", "tie").agg(
+        F.min("first").alias("first"))
+    return first.orderBy(F.col("first.id").asc_nulls_first(), "tie", "first.row").select(
+        F.monotonically_increasing_id().alias("rid"), F.col("first.row").alias("row"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -418,15 +430,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Null and empty texts have no bytes; texts under 100 bytes keep all. Documents are ordered by
     id, null first, and rows that repeat an id by a hash of their text; of equal rows one keeps
-    its bytes. An empty table gives no rows.
+    its bytes. A longer text that equals an earlier one is a repeat as a whole and is not
+    sorted. An empty table gives no rows.
     """
-    rows = materialise(in_order(docs, id_col, text_col), "suffix-docs")
-    blocks = materialise(repeated_blocks(rows), "suffix-blocks")
-    triples = materialise(repeated_triples(rows.join(blocks, "rid")), "suffix-triples")
-    edges = blocks.join(triples.where(F.size("edge") > 0).select("rid", "edge"), "rid")
-    strings = materialise(repeated_strings(rows.join(edges, "rid")), "suffix-strings")
-    marks = triples.where(F.size("sure") > 0).select("rid", "sure").join(
-        strings, "rid", "full_outer")
+    docs = materialise(docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
+        text_of(text_col).cast("binary").alias("text")), "suffix-docs")
+    order = materialise(_in_order(docs), "suffix-order")
+    blocks = materialise(repeated_blocks(docs.join(order, "row")), "suffix-blocks")
+    found = order.join(blocks, "rid")
+    triples = materialise(repeated_triples(docs.join(found, "row")), "suffix-triples")
+    edges = found.join(triples.where(F.size("edge") > 0).select("rid", "sure", "edge"), "rid")
+    strings = materialise(repeated_strings(docs.join(edges, "row")), "suffix-strings")
+    marks = order.join(triples.where(F.size("sure") > 0).select("rid", "sure"), "rid", "left") \
+        .join(strings, "rid", "left")
 
     @F.pandas_udf("n_removed long, n_spans long, kept binary")
     def cut(texts: pd.Series, sure: pd.Series, starts: pd.Series) -> pd.DataFrame:
@@ -439,11 +456,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                         data[stay].tobytes()))
         return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept"])
 
-    found = rows.join(marks, "rid", "left")
-    return found.select(
-        F.col("id").alias(id_col), F.octet_length("text").cast("long").alias("n_bytes"),
-        cut("text", "sure", "starts").alias("c")).select(
-        id_col, "n_bytes", "c.n_removed", "c.n_spans", "c.kept")
+    size = F.octet_length("text").cast("long")
+    sorted_ = docs.join(marks, "row").select(
+        "id", size.alias("n_bytes"), cut("text", "sure", "starts").alias("c")).select(
+        "id", "n_bytes", "c.n_removed", "c.n_spans", "c.kept")
+    short = F.col("n_bytes") < LENGTH
+    rest = docs.select("row", "id", size.alias("n_bytes"), F.when(
+        size < LENGTH, F.col("text")).alias("text")).join(order, "row", "left_anti").select(
+        "id", "n_bytes", F.when(short, F.lit(0)).otherwise(F.col("n_bytes")).alias("n_removed"),
+        F.when(short, F.lit(0)).otherwise(F.lit(1)).cast("long").alias("n_spans"),
+        F.coalesce("text", F.lit(b"")).alias("kept"))
+    return sorted_.unionByName(rest).withColumnRenamed("id", id_col)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -61,7 +61,8 @@ FEATURES = ("lex_hits", "lex_density", "lex_distinct", "stem_hits", "stem_densit
             "shout_rate", "punct_rate", "exclaim_rate", "repeat_rate", "odd_rate", "log_words")
 
 _WORD = re.compile(r"[^\W\d_]+")
-_ODD = re.compile(r"[^\W\d_]\w*[\d@$!*]+\w*[^\W\d_]")
+# What stands between two letters of one word written with digits or signs.
+_GAP = re.compile(r"(?<=[^\W\d_])[\d_@$!*]++(?=[^\W\d_])")
 _ENDS = ".,;:!?()\"'"
 _SIGNS = b"0123456789@$!*"
 _CAPITALS = string.ascii_uppercase.encode()
@@ -132,6 +133,20 @@ def induce(train: DataFrame) -> Lexicon:
     return Lexicon(words, stems)
 
 
+def is_odd(text: str) -> bool:
+    """Whether two letters stand around digits or signs (digits and underscores may stand on
+    either side of the signs). One pass, however the characters repeat."""
+    for m in _GAP.finditer(text):
+        gap = m.group()
+        first = min((k for c in "@$!*" if (k := gap.find(c)) >= 0), default=-1)
+        if first < 0:
+            if gap.strip("_"):
+                return True
+        elif "_" not in gap[first:max(gap.rfind(c) for c in "@$!*")]:
+            return True
+    return False
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """The dense features of one text, in the order of ``FEATURES``; all zero if null."""
     text = text or ""
@@ -149,8 +164,8 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     near = sum(_is_near(you, i) for i in {*lex, *stem}) if you else 0
     raw = text.encode("utf-8", "replace")
     signs = len(raw) - len(raw.translate(None, _SIGNS))
-    odd = [t for t in lower.split() if _ODD.search(t.strip(_ENDS))] \
-        if signs and _ODD.search(lower) else []
+    odd = [t for t in lower.split() if is_odd(t.strip(_ENDS))] \
+        if signs and is_odd(lower) else []
     hidden = sum(any(w in lexicon.words for w in _plain(t)) for t in odd)
     tokens = text.split()
     size = max(1, len(raw))
@@ -226,25 +241,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def fit(rows: DataFrame) -> Model:
     """Fit on rows ``(id, text, label 0 or 1)``, as :func:`training_rows` gives them.
 
-    Folds 1 to 3 of the hashed id train the trees, fold 4 the calibration (all rows do both
-    if a part lacks a class).
+    Folds 1 to 3 of the hashed id give the lexicon and train the trees, fold 4 the
+    calibration, which so sees only texts that neither was made from (all rows do all of it if
+    a part lacks a class).
     """
     rows = materialise(rows, "tox-train")
     n, positive = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
     base = (positive or 0) / max(1, n)
     if not 0 < base < 1:
         return Model(base)
-    lexicon = induce(rows)
-    table = materialise(_assembled(with_features(
-        rows.withColumn("fold", fold("id")), lexicon, "text", ["fold", "label"])),
-        "tox-features")
-    last = table.where("fold = 4")
-    if last.select("label").distinct().count() < 2:
-        first, last = table, table
-    else:
-        first = table.where("fold <> 4")
-        if first.select("label").distinct().count() < 2:
-            first = table
+    rows = rows.withColumn("fold", fold("id"))
+    parts = {r["fold"] for r in rows.groupBy("fold").agg(
+        F.countDistinct("label").alias("n")).where("n > 1").collect()}
+    apart = 4 in parts and bool({1, 2, 3} & parts)
+    lexicon = induce(rows.where("fold <> 4") if apart else rows)
+    table = materialise(_assembled(with_features(rows, lexicon, "text", ["fold", "label"])),
+                        "tox-features")
+    first = table.where("fold <> 4") if apart else table
+    last = table.where("fold = 4") if apart else table
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=64, stepSize=0.3,
                           seed=SEED, cacheNodeIds=False).fit(first)
     calibration = IsotonicRegression(featuresCol="p").fit(_probability(trees, last, "label"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 from collections import Counter
 from fractions import Fraction
 from itertools import product
@@ -270,13 +272,16 @@ def _grams(text):
     return [flat[i:i + n] for n in langid.ORDERS for i in range(len(flat) - n + 1)]
 
 
-def test_languages_hostile(hostile, hostile_docs, no_docs):
+def test_languages_hostile(spark, hostile, hostile_docs, no_docs):
     model = langid.train(hostile_docs)
     got = langid.predict(hostile_docs, model)
     rows = rows_of(got, "doc_id", "lang_pred", "score")
     assert len(rows) == len(hostile)
     blank = {d for d, t in hostile if d is not None and not any(c.isalpha() for c in t or "")}
     assert {d for d, p, s in rows if p == "und" and d is not None} == blank
+    signs = spark.createDataFrame([(i, t) for i, t in enumerate(
+        ["②", "½ 12", "²", "Ⅷ", "\u0301\u0302", "_", "١٢"])], "doc_id long, text string")
+    assert {r[0] for r in rows_of(langid.predict(signs, model), "lang_pred")} == {"und"}
     nothing = langid.train(no_docs)
     assert {r[0] for r in rows_of(langid.predict(hostile_docs, nothing), "lang_pred")} == {"und"}
     assert langid.predict(no_docs, model).count() == 0
@@ -307,6 +312,17 @@ def test_toxicity_held_out(spark):
     assert sum(r[3] for r in held if r[4] == 1) / sum(r[4] for r in held) > 0.6
 
 
+def test_toxicity_recall(spark):
+    """Held out at the larger scale: recall, false alarms and calibration."""
+    folder = SF_CHECK.replace("sf0.01", "sf0.1")
+    truth = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    got = catalog.QUERIES["op1_toxicity"](spark, folder).where("held_out").join(truth, "doc_id")
+    rows = rows_of(got, "score", "predicted", "toxic")
+    assert sum(r[1] for r in rows if r[2] == 1) >= 0.9 * sum(r[2] for r in rows)
+    assert sum(r[1] for r in rows if r[2] == 0) <= 0.01 * len(rows)
+    assert sum((r[0] - r[2]) ** 2 for r in rows) / len(rows) < 0.02
+
+
 def test_toxicity_hostile(spark, hostile, hostile_docs, no_docs):
     ids = [d for d, _ in hostile if d is not None]
     labels = spark.createDataFrame([(d, int(d % 2)) for d in ids] + [(None, 1)],
@@ -329,6 +345,25 @@ def test_training_leaves_the_held_out_fold(spark):
     assert toxicity.training_rows(docs, labels, limit=20).count() == 20
 
 
+PLAIN_ODD = re.compile(r"[^\W\d_]\w*[\d@$!*]+\w*[^\W\d_]")
+
+
+def test_odd_words_equal_the_plain_pattern():
+    rng = random.Random(2)
+    for _ in range(20_000):
+        text = "".join(rng.choice("ab1_$!é٣ -") for _ in range(rng.randrange(0, 12)))
+        assert toxicity.is_odd(text) == bool(PLAIN_ODD.search(text)), text
+
+
+@pytest.mark.parametrize("piece", ["a", "1", "a1", "_", "$", "a_", "1_$", "é9!", "a$_$"])
+def test_toxic_features_are_linear(piece):
+    lexicon = toxicity.Lexicon({"idiot": 2.0}, {"lowe": 1.5})
+    began = time.perf_counter()
+    toxicity.features("a" + piece * (200_000 // len(piece)) + "1" * 400 + "!", lexicon)
+    toxicity.features("a" * 400 + "1" * 400, lexicon)
+    assert time.perf_counter() - began < 2
+
+
 def test_features_by_hand():
     lexicon = toxicity.Lexicon({"idiot": 2.0}, {"lowe": 1.5})
     f = dict(zip(toxicity.FEATURES, toxicity.features(

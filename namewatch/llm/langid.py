@@ -8,7 +8,6 @@ broadcast. Scoring hashes a chunk of texts at a time and sums matrix rows by doc
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,7 +26,6 @@ MAX_LANGUAGES = 1024
 UNDETERMINED = "und"
 _BLOCK = 512            # counts in one row of the training result
 _CHARS = 1 << 19        # characters hashed at a time
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def held_out(doc_id) -> bool:
@@ -143,7 +141,7 @@ class Model:
         out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
         if not self.langs:
             return out
-        known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         log = np.tile(self.prior, (len(known), 1))
         for owners, some in _pieces([texts[i] for i in known]):
             for owner, bucket in gram_buckets(some):
@@ -162,7 +160,12 @@ class Model:
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
-    """One row per document: ``(id, lang_pred, score)``."""
+    """One row per document: ``(id, lang_pred, score)``.
+
+    Null texts and texts without a letter (Unicode categories L; number signs such as a
+    superscript or a Roman numeral sign are none) are ``und`` with score 0. Of equally likely
+    languages the first by code point is predicted. Repeated rows are predicted each.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

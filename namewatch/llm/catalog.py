@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,7 @@ from namewatch.llm import (
     trie,
 )
 from namewatch.llm.common import materialise, ship
+from namewatch.session import checkpoint_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -61,8 +63,9 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings, _ = secrets.scan(_table(spark, sf_dir, "documents", "doc_id", "text"))
-    return secrets.digest(findings)
+    ledger = f"{checkpoint_dir(spark)}/namewatch-llm/secret-ledger-{uuid.uuid4().hex}"
+    return secrets.digest(secrets.scan_stored(
+        _table(spark, sf_dir, "documents", "doc_id", "text"), ledger))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,13 @@ hold it, appends them to the ledger, and joins the findings back to all paths.
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namewatch.llm.common import materialise, text_of
@@ -28,15 +30,43 @@ RULES: dict[str, tuple[re.Pattern, int, int]] = {
     # spans beyond the base rules
     "github": (re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"), 0, 40),
     "slack": (re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"), 0, 15),
-    "jwt": (re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 30),
+    # three runs with dots between, see _triples: [A-Za-z0-9_-]*eyJ<8+>.eyJ<8+>.<8+>
+    "jwt": (re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}+"), 0, 30),
     "pem": (re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"), 0, 20),
 }
 BASE = ("assign", "access", "hex")
-RULE_VERSION = "2024-03-base3-extra4"
+TRIPLES = {"jwt": ("eyJ", 8)}     # kinds read by _triples: start of two runs, characters after it
 
 _SPANS = "array<struct<kind:string,start:int,stop:int>>"
 
 
+def rule_version(rules: dict = RULES) -> str:
+    """The content of the rules: other patterns, bounds or order give another version."""
+    said = repr([(kind, pattern.pattern, pattern.flags, group, least, TRIPLES.get(kind))
+                 for kind, (pattern, group, least) in rules.items()])
+    return hashlib.sha256(said.encode()).hexdigest()[:16]
+
+
+def _triples(chain: re.Match, start: str, least: int) -> Iterator[tuple[int, int]]:
+    """Spans in runs joined by dots: from ``start`` in one run, over a run that begins with
+    it, to the end of the next, each with ``least`` or more characters after ``start`` (the
+    last one: in all). What a pattern of three unbounded runs finds, in one pass."""
+    at, runs = chain.start(), []
+    for run in chain.group().split("."):
+        runs.append((at, run))
+        at += len(run) + 1
+    i = 0
+    while i + 2 < len(runs):
+        (at, first), (_, second), (last, third) = runs[i:i + 3]
+        k = first.find(start)
+        if k >= 0 and len(first) - k >= len(start) + least and second.startswith(start) \
+                and len(second) >= len(start) + least and len(third) >= least:
+            yield at + k, last + len(third)
+            i += 3
+        else:
+            i += 1
+
+
 def find_spans(text: str | None, rules: dict = RULES) -> list[tuple[str, int, int]]:
     """All spans of a text by start, then in the order of the rules; offsets are code points.
 
@@ -49,13 +79,46 @@ def find_spans(text: str | None, rules: dict = RULES) -> list[tuple[str, int, in
     out = []
     for order, (kind, (pattern, group, least)) in enumerate(rules.items()):
         for m in pattern.finditer(text):
-            if m.end(group) - m.start(group) >= least:
+            if kind in TRIPLES:
+                out += [(a, order, kind, b) for a, b in _triples(m, *TRIPLES[kind])
+                        if b - a >= least]
+            elif m.end(group) - m.start(group) >= least:
                 out.append((m.start(), order, kind, m.end()))
     return [(kind, start, end) for start, _, kind, end in sorted(out)]
 
 
+LEDGER = f"blob binary, rules string, spans {_SPANS}"
+
+
 def empty_ledger(spark) -> DataFrame:
-    return spark.createDataFrame([], f"blob binary, rules string, spans {_SPANS}")
+    return spark.createDataFrame([], LEDGER)
+
+
+def _committed(spark: SparkSession, folder: str) -> list[str]:
+    """Parts of a stored ledger whose write ended (Spark's own marker lies in them)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    return sorted(s.getPath().toString() for s in fs.listStatus(path)
+                  if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored ledger: all parts whose write ended, one row per blob and rule version
+    (parts of runs that overlapped may repeat one). A folder that does not exist yet is empty."""
+    parts = _committed(spark, folder)
+    if not parts:
+        return empty_ledger(spark)
+    return spark.read.schema(LEDGER).parquet(*parts).dropDuplicates(["blob", "rules"])
+
+
+def append_ledger(new: DataFrame, folder: str) -> None:
+    """Store new rows as a part of their own. Until its write ends, readers do not see it; a
+    run that fails leaves nothing that counts."""
+    new.select("blob", "rules", "spans").write.option("compression", "zstd").parquet(
+        f"{folder}/part-{uuid.uuid4().hex}")
 
 
 def with_blobs(docs: DataFrame, text_col: str, out: str) -> DataFrame:
@@ -63,10 +126,10 @@ def with_blobs(docs: DataFrame, text_col: str, out: str) -> DataFrame:
     return docs.withColumn(out, F.unhex(F.sha2(text_of(text_col), 256)))
 
 
-def scan_unseen(paths: DataFrame, ledger: DataFrame, rules: dict = RULES,
-                version: str = RULE_VERSION) -> DataFrame:
-    """New ledger rows: each blob of ``paths (blob, text)`` that the ledger lacks for this
-    rule version, scanned once."""
+def scan_unseen(paths: DataFrame, ledger: DataFrame, rules: dict = RULES) -> DataFrame:
+    """New ledger rows: each blob of ``paths (blob, text)`` that the ledger lacks for these
+    rules, scanned once."""
+    version = rule_version(rules)
     seen = ledger.where(F.col("rules") == version).select("blob")
     unseen = paths.select("blob", "text").dropDuplicates(["blob"]).join(seen, "blob", "left_anti")
 
@@ -80,23 +143,41 @@ def scan_unseen(paths: DataFrame, ledger: DataFrame, rules: dict = RULES,
         scan, f"blob binary, rules string, spans {_SPANS}")
 
 
+def _with_paths(paths: DataFrame, ledger: DataFrame, rules: dict, id_col: str) -> DataFrame:
+    current = ledger.where(F.col("rules") == rule_version(rules)).select("blob", "spans")
+    return paths.select("id", "blob").join(current, "blob").select(
+        F.col("id").alias(id_col), "blob", "spans")
+
+
+def _paths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return with_blobs(docs.select(F.col(id_col).alias("id"),
+                                  text_of(text_col).alias("text")), "text", "blob")
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id",
-         text_col: str = "text", rules: dict = RULES,
-         version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
+         text_col: str = "text", rules: dict = RULES) -> tuple[DataFrame, DataFrame]:
     """``(findings, ledger)``: the spans of every row of ``docs`` as ``(id, blob, spans)``,
     and the ledger with the newly scanned blobs.
 
     Rows that repeat, share a text or have a null id all come back, each once. Null and empty
     texts have no spans.
     """
-    known = ledger if ledger is not None else empty_ledger(docs.sparkSession)
-    paths = with_blobs(docs.select(F.col(id_col).alias("id"),
-                                   text_of(text_col).alias("text")), "text", "blob")
-    new = materialise(scan_unseen(paths, known, rules, version), "ledger")
-    full = known.unionByName(new)
-    current = full.where(F.col("rules") == version).select("blob", "spans")
-    return (paths.select("id", "blob").join(current, "blob")
-            .select(F.col("id").alias(id_col), "blob", "spans"), full)
+    known = ledger.dropDuplicates(["blob", "rules"]) if ledger is not None \
+        else empty_ledger(docs.sparkSession)
+    paths = _paths(docs, id_col, text_col)
+    full = known.unionByName(materialise(scan_unseen(paths, known, rules), "ledger"))
+    return _with_paths(paths, full, rules, id_col), full
+
+
+def scan_stored(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text",
+                rules: dict = RULES) -> DataFrame:
+    """Findings of every row of ``docs``, as :func:`scan` gives them, through the ledger stored
+    in ``folder``: blobs that it lacks for these rules are scanned and appended, all others
+    are read from it."""
+    spark = docs.sparkSession
+    paths = _paths(docs, id_col, text_col)
+    append_ledger(scan_unseen(paths, read_ledger(spark, folder), rules), folder)
+    return _with_paths(paths, read_ledger(spark, folder), rules, id_col)
 
 
 def _joined(spans: Column) -> Column:

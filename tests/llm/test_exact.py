@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -164,6 +166,60 @@ def test_secrets_small(spark, small):
          brute.secrets(small))
 
 
+def test_stored_ledger_over_three_runs(spark, tmp_path):
+    """Each run scans only blobs that no run before has scanned with the same rules; a part
+    whose write did not end does not count."""
+    folder = f"{tmp_path}/ledger"
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    first = [(1, "token=abcdefghijkl"), (2, "token=abcdefghijkl"), (3, None)]
+    parts = lambda: {p: spark.read.parquet(p).count()
+                     for p in secrets._committed(spark, folder)}
+    assert secrets.read_ledger(spark, folder).count() == 0
+    found = rows_of(secrets.digest(secrets.scan_stored(make(first), folder)), "doc_id", "n_assign")
+    assert found == [(1, 1), (2, 1), (3, 0)] and list(parts().values()) == [2]
+    again = secrets.scan_stored(make(first), folder)
+    assert again.count() == 3 and sorted(parts().values()) == [0, 2]
+    (tmp_path / "ledger" / "part-broken").mkdir()
+    (tmp_path / "ledger" / "part-broken" / "x.parquet").write_bytes(b"torn")
+    more = first + [(4, "password=abcdefghijkl")]
+    assert secrets.scan_stored(make(more), folder).count() == 4
+    assert sorted(parts().values()) == [0, 1, 2]
+    few = {"hex": secrets.RULES["hex"]}
+    assert secrets.scan_stored(make(more), folder, rules=few).count() == 4
+    assert sorted(parts().values()) == [0, 1, 2, 3]
+    assert secrets.rule_version() != secrets.rule_version(few)
+
+
+PLAIN_JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+
+
+def test_extra_kinds_by_hand():
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.SflKxwRJSMeKKF2QT4"
+    pem = "-----BEGIN RSA PRIVATE KEY-----"
+    slack = "xoxb-123456789012-abcdef"
+    text = f"a {jwt} b {slack}, {pem}\nxoxz-123456789012 eyJshort.eyJshort.x"
+    got = [(k, text[a:b]) for k, a, b in secrets.find_spans(text) if k not in secrets.BASE]
+    assert got == [("jwt", jwt), ("slack", slack), ("pem", pem)]
+
+
+def test_jwt_equals_the_plain_pattern():
+    rng = random.Random(11)
+    pieces = ["eyJ", "eyJabcdefgh", ".", ".", "abcdefgh", "-_x", " ", "eyJeyJeyJ123"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14)))
+        want = [m.span() for m in PLAIN_JWT.finditer(text) if len(m.group()) >= 30]
+        assert [(a, b) for k, a, b in secrets.find_spans(text) if k == "jwt"] == want, text
+
+
+@pytest.mark.parametrize("piece", ["eyJ", "eyJ.", "a", "0", "AKIA", "token", "token ", "token=",
+                                   "ghp_", "xoxb-", "-----BEGIN ", "f0", "password : ", ".-_"])
+def test_secret_rules_are_linear(piece):
+    text = (piece * 200_000)[:200_000]
+    began = time.perf_counter()
+    secrets.find_spans(text + "!")
+    assert time.perf_counter() - began < 2
+
+
 def test_ledger_scans_each_blob_and_version_once(spark, no_docs):
     first = spark.createDataFrame([(1, "token=abcdefghijkl"), (2, "token=abcdefghijkl"),
                                    (3, None), (4, "")], "doc_id long, text string")
@@ -173,12 +229,13 @@ def test_ledger_scans_each_blob_and_version_once(spark, no_docs):
                                                      first.schema))
     found, more = secrets.scan(second, ledger)
     assert found.count() == 5 and more.count() == 3
-    # the known blobs were not scanned again: rules that would find nothing leave them be
-    found, _ = secrets.scan(second, ledger, rules={})
-    spans = {r["doc_id"]: len(r["spans"]) for r in found.collect()}
-    assert spans == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
-    found, newer = secrets.scan(second, more, rules={}, version="other")
+    # other rules are another version: everything is scanned again
+    few = {"hex": secrets.RULES["hex"]}
+    found, newer = secrets.scan(second, more, rules=few)
     assert newer.count() == 6 and found.where(F.size("spans") > 0).count() == 0
+    # a ledger that repeats rows does not repeat findings
+    found, _ = secrets.scan(second, more.unionByName(more))
+    assert found.count() == 5
     assert secrets.scan(no_docs)[0].count() == 0
 
 

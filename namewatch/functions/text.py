@@ -119,7 +119,8 @@ def declared_modules(text: Column, tags: Column) -> Column:
 
 # ------------------------------------------------------------------ token rules
 _PEEL_LEFT = "^" + _char_class(V.PEEL_BOTH) + "+"
-_PEEL_RIGHT = _char_class(V.PEEL_BOTH + V.PEEL_RIGHT) + "+$"
+# entered at the start of a run only, so an inner run is not tried from each of its places
+_PEEL_RIGHT = "(?<!{0}){0}++$".format(_char_class(V.PEEL_BOTH + V.PEEL_RIGHT))
 _SPEC_PREFIX = "^[^" + V.SPEC_SPLIT[1:-1] + "]*"
 
 
@@ -186,7 +187,7 @@ def split_ws(s: Column) -> Column:
     return F.filter(F.split(s, V.WHITESPACE_RUN), lambda x: x != "")
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -213,12 +214,12 @@ def install_tokens(args: Column, prose: Column) -> Column:
     the names end at the first stopword. Every step is one pass over the tokens.
     """
     tokens = split_ws(F.regexp_replace(args, lit_re(_flag_values()), F.lit(" ")))
-    code = _let(tokens, lambda ts: _before_first(
+    code = let(tokens, lambda ts: _before_first(
         ts, lambda t: t.startswith("#") | t.startswith("(")))
     names = F.filter(F.transform(code, clean_install_token), lambda c: c.isNotNull())
     stopword = lambda c: prose & F.array_contains(
         _lit_array(V.PROSE_STOPWORDS), F.lower(c))
-    return _let(names, lambda ns: _before_first(ns, stopword))
+    return let(names, lambda ns: _before_first(ns, stopword))
 
 
 def plausible_name(name: Column) -> Column:
@@ -284,7 +285,7 @@ def registry_url(ecosystem: Column, name: Column) -> Column:
 
 
 def _re2_forms() -> dict[str, str]:
-    return {V.java_regex(p, f): (f"(?{f})" if f else "") + p for p, f in V.PATTERNS.values()}
+    return {V.java_form(n): (f"(?{f})" if f else "") + p for n, (p, f) in V.PATTERNS.items()}
 
 
 def re2(pattern: str) -> str:

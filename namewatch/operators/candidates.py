@@ -156,8 +156,9 @@ def js_code_cands(body: Column) -> Column:
 
 # JSON text as tokens: string literals whole, stand-alone non-finite literals (which
 # Python's json module accepts and Spark's parser does not), other runs, any character.
-# Possessive, so that a long literal is matched without recursion.
-_JSON_TOKENS = (r'(?s)"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
+# Possessive, so that a long literal is matched without recursion; a literal without an end is
+# one token too (the text is no JSON then), so that it is not tried again from inside.
+_JSON_TOKENS = (r'(?s)"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"?+'
                 r"|(?<![\w.+-])(?:-?Infinity|NaN)(?![\w.])"
                 r'|[^"NI-]+|.')
 _NON_FINITE = ("NaN", "Infinity", "-Infinity")
@@ -219,7 +220,8 @@ def js_manifest_cands(body: Column) -> Column:
 
 def candidates(units: DataFrame) -> DataFrame:
     """X7-X10 routing + C1-C12 generation, one explode per unit."""
-    cands = cached_column("candidate_array", _candidate_array)
+    cands = cached_column("candidate_array", lambda: unit_candidates(
+        F.col("kind"), F.col("body"), F.col("scope"), F.col("section") == 1))
     exploded = units.select(
         "response_id", "scope", "declared", "section", "block_idx",
         F.explode(cands).alias("c"),
@@ -242,12 +244,8 @@ def candidates(units: DataFrame) -> DataFrame:
     )
 
 
-def _candidate_array() -> Column:
+def unit_candidates(kind: Column, body: Column, scope: Column, prose: Column) -> Column:
     """All routed generators of one unit, concatenated in rule order."""
-    kind = F.col("kind")
-    body = F.col("body")
-    scope = F.col("scope")
-    prose = F.col("section") == 1
     want_py = scope.isNull() | (scope == "python")
     want_js = scope.isNull() | (scope == "javascript")
     text_gate = body.rlike(V.TEXT_REQ_GATE)

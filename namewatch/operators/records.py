@@ -1,8 +1,8 @@
 """Run records: assembly from model calls, and re-extraction of stored ones.
 
 Both run the extraction over the responses of successful calls and fold its mentions into the
-record as ``packages`` (first-seen order) and ``extraction_notes``. A record's key is any
-column that tells records apart; the group gathered for it is one response's mentions.
+record as ``packages`` (first-seen order) and ``extraction_notes``, inside the record's row.
+A record's key is any column that tells records apart.
 """
 
 from __future__ import annotations
@@ -18,31 +18,32 @@ SCHEMA_VERSION = 1
 _NO_PACKAGES = f"array<{schemas.PACKAGE.simpleString()}>"
 
 
-def _extracted(records: DataFrame, vocab: X.Vocabulary, key: str) -> DataFrame:
-    """``(key, found, has_prose)`` of the successful records with a text that mention any
-    package."""
-    texts = records.filter(F.col("ok") & (F.col("response_text") != "")).select(
-        F.col(key).alias("response_id"), "ecosystem", "response_text")
-    mentions = X.mentions_of(X.extract_resolved(texts, vocab))
-    ordered = F.array_sort(F.collect_list(F.struct(
-        F.struct(*X.POS).alias("pos"),
-        F.struct("raw", "name", "ecosystem", "source", "origin", "alias_resolved").alias("pkg"))))
-    return mentions.groupBy("response_id").agg(
-        F.transform(ordered, lambda x: x["pkg"]).alias("found"),
-        F.bool_or(F.col("origin") == "prose").alias("has_prose"),
-    ).withColumnRenamed("response_id", key)
-
-
 def reextract(records: DataFrame, vocab: X.Vocabulary, key: str = "response_id") -> DataFrame:
     """``records`` with ``packages`` and ``extraction_notes`` rewritten from the stored
-    text. Failed records, and successful ones without a text, pass through untouched."""
+    text. Failed records, and successful ones without a text, pass through untouched.
+
+    Everything happens inside the row. Only a vocabulary too large for an expression is
+    joined; then the mentions (not the texts) are gathered by ``key`` and joined back.
+    """
     again = F.coalesce(F.col("ok") & (F.col("response_text") != ""), F.lit(False))
-    out = records.join(_extracted(records, vocab, key), key, "left")
-    notes = F.when(F.col("has_prose"), F.array(F.lit(V.PROSE_NOTE))).otherwise(
+    text, found = "nw_text", "nw_found"
+    known = vocab.inline()
+    if known is not None:
+        out = X.with_found(records.withColumn(text, F.when(again, F.col("response_text"))),
+                           known, text, "ecosystem", found)
+        packages, prose = X.packages_of(F.col(found)), X.has_prose(F.col(found))
+    else:
+        mentions = X.mentions_of(X.extract_resolved(records.filter(again).select(
+            F.col(key).alias("response_id"), "ecosystem", "response_text"), vocab))
+        gathered = X.packages_per_response(mentions).select(
+            F.col("response_id").alias(key), F.col("packages").alias(found))
+        out = records.join(gathered, key, "left")
+        packages = F.coalesce(found, F.array().cast(_NO_PACKAGES))
+        prose = F.exists(packages, lambda p: p["origin"] == "prose")
+    notes = F.when(prose, F.array(F.lit(V.PROSE_NOTE))).otherwise(
         F.array().cast("array<string>"))
     return out.withColumns({
-        "packages": F.when(again, F.coalesce("found", F.array().cast(_NO_PACKAGES)))
-        .otherwise(F.col("packages")),
+        "packages": F.when(again, packages).otherwise(F.col("packages")),
         "extraction_notes": F.when(again, notes).otherwise(F.col("extraction_notes")),
     }).select(*records.columns)
 
@@ -69,12 +70,15 @@ def build_records(calls: DataFrame, prompts: DataFrame, models: DataFrame, vocab
 def reextraction_diff(before: DataFrame, after: DataFrame, key: str = "response_id") -> DataFrame:
     """Records, how many changed their packages, and packages before and after (of the
     records that were extracted again)."""
-    pairs = before.select(key, "ok", "response_text", F.col("packages").alias("old")).join(
-        after.select(key, F.col("packages").alias("new")), key)
-    again = F.col("ok") & (F.col("response_text") != "")
+    # digests and sizes move, not packages and texts
+    of = lambda name: F.struct(F.md5(F.to_json("packages").cast("binary")).alias("id"),
+                               F.size("packages").alias("size")).alias(name)
+    pairs = before.select(key, (F.col("ok") & (F.col("response_text") != "")).alias("again"),
+                          of("old")).join(after.select(key, of("new")), key)
+    again = F.col("again")
     return pairs.agg(
         F.count(F.lit(1)).alias("records"),
-        F.count_if(again & ~F.col("old").eqNullSafe(F.col("new"))).alias("changed"),
-        F.sum(F.when(again, F.size("old")).otherwise(0)).alias("packages_before"),
-        F.sum(F.when(again, F.size("new")).otherwise(0)).alias("packages_after"),
+        F.count_if(again & ~F.col("old.id").eqNullSafe(F.col("new.id"))).alias("changed"),
+        F.sum(F.when(again, F.col("old.size")).otherwise(0)).alias("packages_before"),
+        F.sum(F.when(again, F.col("new.size")).otherwise(0)).alias("packages_after"),
     )

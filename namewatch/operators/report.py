@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namewatch.fixed_values import TOP_K_MARKDOWN
+from namewatch.fixed_values import CAVEATS, TOP_K_MARKDOWN
 
 CELL = ["model_id", "prompt_id"]
 
@@ -282,20 +282,8 @@ def caveats(runs: DataFrame, m: DataFrame, rec: DataFrame) -> DataFrame:
     rows = t.filter(F.col("metric").isin("failed", "truncated", "undetermined_mentions"))
     rows = rows.unionByName(review).filter(F.col("value") > 0)
     n = F.col("value")
-    message = (
-        F.when(F.col("metric") == "failed",
-               F.format_string("%d model call(s) failed and are excluded from all rates.", n))
-        .when(F.col("metric") == "truncated",
-              F.format_string("%d response(s) were truncated at max_tokens; their package "
-                              "lists may be incomplete, biasing rates downward.", n))
-        .when(F.col("metric") == "undetermined_mentions",
-              F.format_string("%d mention(s) have an undetermined registry status (network "
-                              "error or unchecked) and are excluded from rates — re-run "
-                              "the existence pass to resolve them.", n))
-        .otherwise(F.format_string("%d hallucination candidate(s) need manual review "
-                                   "(unmapped Python import name that 404s). Confirm each "
-                                   "before citing.", n))
-    )
+    message = F.coalesce(*(F.when(F.col("metric") == k, F.format_string(said, n))
+                           for k, said in CAVEATS.items()))
     return rows.select(F.col("metric").alias("caveat"), n.alias("n"), message.alias("message"))
 
 

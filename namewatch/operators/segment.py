@@ -8,7 +8,7 @@ text column is dropped as soon as the units exist.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from namewatch import fixed_values as V
@@ -46,10 +46,34 @@ def units(
     kind is the content kind (X3, untagged blocks inferred by X5; NULL = skipped) and
     'prose' for the remainder.
     """
+    step2 = sections(responses, text_col, scope_col, ["response_id"])
+    step3 = step2.select("response_id", "scope", "declared", F.explode("sections").alias("u"))
+    return step3.select(
+        "response_id",
+        "scope",
+        "declared",
+        F.col("u.section").alias("section"),
+        F.col("u.block_idx").alias("block_idx"),
+        TX.normalise_tag(F.col("u.tag")).alias("tag"),
+        unit_kind(F.col("u")).alias("kind"),
+        F.col("u.body").alias("body"),
+    )
+
+
+def unit_kind(u: Column) -> Column:
+    """How a section's body is read: its content kind, or 'prose' for the remainder."""
+    return F.when(u["section"] == 1, F.lit("prose")).otherwise(
+        TX.effective_lang(u["tag"], u["body"]))
+
+
+def sections(responses: DataFrame, text_col: str, scope_col: str | None,
+              keep: list[str]) -> DataFrame:
+    """``(keep, scope, declared, sections)``: every fenced block of a response, then its prose
+    remainder, as structs (section, block_idx, tag, body) of one array."""
     text = F.col(text_col)
     scope = F.col(scope_col) if scope_col else F.lit(None).cast("string")
     step1 = responses.select(
-        "response_id",
+        *keep,
         scope.alias("scope"),
         text.alias("text"),
         F.regexp_extract_all(text, TX.lit_re(V.FENCE), F.lit(0)).alias("fences"),
@@ -64,7 +88,7 @@ def units(
         ),
     )
     step2 = step1.select(
-        "response_id",
+        *keep,
         "scope",
         blocks.alias("blocks"),
         F.array_join(F.split(F.col("text"), V.FENCE, -1), "\n").alias("prose"),
@@ -80,24 +104,8 @@ def units(
         TX.file_modules(F.col("decl")),
         TX.tag_modules(F.transform("blocks", lambda b: b["tag"])),
     ))
-    step3 = step2.select(
-        "response_id",
-        "scope",
-        declared.alias("declared"),
-        F.explode(F.concat("blocks", F.array(prose_unit))).alias("u"),
-    )
-    return step3.select(
-        "response_id",
-        "scope",
-        "declared",
-        F.col("u.section").alias("section"),
-        F.col("u.block_idx").alias("block_idx"),
-        TX.normalise_tag(F.col("u.tag")).alias("tag"),
-        F.when(F.col("u.section") == 1, F.lit("prose"))
-        .otherwise(TX.effective_lang(F.col("u.tag"), F.col("u.body")))
-        .alias("kind"),
-        F.col("u.body").alias("body"),
-    )
+    return step2.select(*keep, "scope", declared.alias("declared"),
+                        F.concat("blocks", F.array(prose_unit)).alias("sections"))
 
 
 def declared_modules(responses: DataFrame, text_col: str = "response_text") -> DataFrame:

@@ -30,7 +30,6 @@ def _rec(spark: SparkSession, sf: str, ordered: bool = True, modulus: int = 400)
 
 
 REPORT: dict[str, Query] = {
-    "scan_runs_fixture": lambda s, sf: FX.runs(s, sf),
     "ok_runs": lambda s, sf: R.ok_runs(FX.runs(s, sf)).select(
         "response_id", "model_id", "prompt_id", "run_index"
     ),
@@ -69,10 +68,6 @@ REPORT: dict[str, Query] = {
     "per_model": lambda s, sf: R.per_model(FX.runs(s, sf), _m(s, sf)),
     "by_specificity": lambda s, sf: R.by_specificity(_m(s, sf)),
     "by_ecosystem": lambda s, sf: R.by_ecosystem(_m(s, sf)),
-    "mention_status_split": lambda s, sf: _m(s, sf).select(
-        "model_id", "prompt_id", "run_index", "ecosystem", "name", "source", "origin",
-        "alias_resolved", "status",
-    ),
     "caveats": lambda s, sf: R.caveats(
         FX.runs(s, sf), _m(s, sf), _rec(s, sf, ordered=False)
     ),

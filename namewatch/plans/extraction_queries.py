@@ -179,18 +179,15 @@ def alias_resolve(s, sf):
 
 
 def filtered_audit(s, sf):
-    from pyspark.sql import Window
-    a = X.filtered_audit(_resolved(s, sf))
-    w = Window.partitionBy("response_id", "reason").orderBy("pos")
-    return a.select("response_id", "reason", "name", F.row_number().over(w).alias("seen_order"))
+    return X.audit_rows(_resp(s, sf), X.Vocabulary.default(s))
 
 
 def prose_note(s, sf):
-    return X.prose_note(_mentions(s, sf))
+    return X.note_rows(_resp(s, sf), X.Vocabulary.default(s))
 
 
 def response_names(s, sf):
-    return X.response_names(_mentions(s, sf))
+    return X.name_rows(_resp(s, sf), X.Vocabulary.default(s))
 
 
 def extract_mentions(s, sf):

@@ -198,7 +198,7 @@ def norm_js(x: str) -> str:
 
 
 def vocab_sql() -> str:
-    rows = [("python", n) for n in V.python_stdlib_names()] + [
+    rows = [("python", n) for n in V.PYTHON_STDLIB] + [
         ("javascript", n) for n in V.NODE_BUILTINS]
     return "SELECT * FROM (VALUES " + ", ".join(f"({lit(a)}, {lit(b)})" for a, b in rows) + \
         ") v(language, name)"

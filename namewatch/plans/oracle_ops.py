@@ -146,7 +146,7 @@ def truncated_sql(provider: str, stop: str) -> str:
 
 def per_model_sql(runs_where: str, m_where: str) -> str:
     return (W + f", r2 AS (SELECT * FROM runs_f WHERE {runs_where}), "
-            f"m2 AS (SELECT * FROM m WHERE {m_where})" + model_rates("r2", "m2"))
+            f"m2 AS (SELECT * FROM judged WHERE {m_where})" + model_rates("r2", "m2"))
 
 
 def rates_by_sql(key: str) -> str:
@@ -158,7 +158,7 @@ SELECT {key},
        CASE WHEN count(*) FILTER (WHERE status IN ('exists', 'not_found')) = 0 THEN NULL
             ELSE count(*) FILTER (WHERE {CONFIRMED})
                  / count(*) FILTER (WHERE status IN ('exists', 'not_found')) END AS confirmed_rate
-FROM m GROUP BY {key}"""
+FROM judged GROUP BY {key}"""
 
 
 def all_sql() -> dict[str, str]:
@@ -181,7 +181,7 @@ def all_sql() -> dict[str, str]:
         f"count(*) FILTER (WHERE {CONFIRMED}) AS confirmed, count(*) FILTER (WHERE {REVIEW}) AS needs_review, "
         f"CASE WHEN count(*) FILTER (WHERE status IN ('exists', 'not_found')) = 0 THEN NULL ELSE "
         f"count(*) FILTER (WHERE {CONFIRMED}) / count(*) FILTER (WHERE status IN ('exists', 'not_found')) END "
-        f"AS confirmed_rate FROM m GROUP BY {k}"
+        f"AS confirmed_rate FROM judged GROUP BY {k}"
         for k in ("model_id", "specificity", "ecosystem", "domain"))
     ext = OX.pipeline_ctes()
     return {
@@ -286,7 +286,7 @@ FROM prompts""",
         "cross_recurrence": W + """
 SELECT ecosystem, name, count(DISTINCT prompt_id) AS prompts, count(DISTINCT model_id) AS models,
        count(DISTINCT concat_ws(chr(1), model_id, prompt_id, CAST(run_index AS VARCHAR))) AS runs
-FROM m WHERE status = 'not_found' GROUP BY ecosystem, name""",
+FROM judged WHERE status = 'not_found' GROUP BY ecosystem, name""",
         "by_domain": W + rates_by_sql("domain"),
         "rates_grouping_sets": W + gs,
         "strict_rates": per_model_sql("TRUE", "origin = 'code_block'"),
@@ -300,5 +300,5 @@ SELECT model_id, concat(model_id, '-', strftime(created_at, '%Y')) AS resolved_m
        count(*) FILTER (WHERE {CONFIRMED}) AS confirmed,
        CASE WHEN count(*) FILTER (WHERE status IN ('exists', 'not_found')) = 0 THEN NULL
             ELSE count(*) FILTER (WHERE {CONFIRMED}) / count(*) FILTER (WHERE status IN ('exists', 'not_found')) END AS confirmed_rate
-FROM m GROUP BY 1, 2""",
+FROM judged GROUP BY 1, 2""",
     }

@@ -37,7 +37,7 @@ def test_java_forms_match_python(spark):
     rnd = random.Random(5)
     texts = ["".join(rnd.choice(FRAGS) for _ in range(rnd.randint(1, 18))) for _ in range(1500)]
     names = [n for n in V.PATTERNS]
-    cols = [F.regexp_extract_all("t", F.lit(V.java_regex(*V.PATTERNS[n])), F.lit(GROUPS.get(n, 0)))
+    cols = [F.regexp_extract_all("t", F.lit(V.java_form(n)), F.lit(GROUPS.get(n, 0)))
             .alias(n) for n in names]
     cols.append(F.regexp_extract_all("t", F.lit(V.FENCE), F.lit(2)).alias("FENCE_BODY"))
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")

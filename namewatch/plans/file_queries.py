@@ -117,15 +117,41 @@ def wordlist_load(s, sf):
 
 
 def alias_load(s, sf):
-    """An import-name -> distribution-name file derived from the part table."""
+    """Import-name -> distribution-name files derived from the part table: four groups of
+    growing size, each naming again the modules of the groups before; the last file wins."""
     path = FS.scratch_path(s, "aliases")
-    p = FX.read_table(s, sf, "part")
-    p.select(F.concat(F.lit("mod_"), F.col("p_partkey").cast("string")).alias("import_name"),
-             F.concat(F.lit("dist-"), (F.col("p_partkey") % 97).cast("string")).alias("dist_name")
-             ).write.option("header", True).csv(path)
+    m = FX.read_table(s, sf, "part").select((F.col("p_partkey") % 1000).alias("m"))
+    m.select("m", F.explode(F.sequence(3 - F.col("m") % 4, F.lit(3).cast("long"))).alias("g")) \
+        .select(F.concat(F.lit("mod_"), F.col("m").cast("string")).alias("import_name"),
+                F.concat(F.lit("dist-"), F.col("g").cast("string"), F.lit("-"),
+                         (F.col("m") % 97).cast("string")).alias("dist_name"), "g") \
+        .write.partitionBy("g").option("header", True).csv(path)
     return FS.load_aliases(s, path)
 
 
+def mentions_loaded(s, sf):
+    """S4 + S5 to K21: word lists and aliases written from the names that extraction without
+    any vocabulary finds (by the hash of the name: listed, or given an alias), loaded from
+    their files, and used to extract again; names by what became of them."""
+    resp = FX.responses(s, sf)
+    found = X.mentions_of(X.extract_resolved(resp, X.Vocabulary.small(s, set(), set(), {})))
+    lists = FS.scratch_path(s, "vocabulary")
+    of = lambda eco, col, listed: found.filter(
+        (F.col("ecosystem") == eco) & ((F.md5(F.col(col).cast("binary")) < "8") == listed)) \
+        .select(F.col(col).alias("value")).distinct()
+    of("python", "raw", True).write.text(f"{lists}/python")
+    of("javascript", "name", True).write.text(f"{lists}/javascript")
+    of("python", "raw", False).select(
+        F.col("value").alias("import_name"), F.concat(F.lit("dist-"), "value").alias("dist_name")
+    ).write.option("header", True).csv(f"{lists}/aliases")
+    vocab = X.Vocabulary.of(FS.load_wordlist(s, f"{lists}/python"),
+                            FS.load_wordlist(s, f"{lists}/javascript"),
+                            FS.load_aliases(s, f"{lists}/aliases"))
+    r = X.extract_resolved(resp, vocab)
+    return r.groupBy("ecosystem", F.coalesce("reason", F.lit("kept")).alias("reason"),
+                     "audit_name", "name", "alias_resolved").agg(F.count(F.lit(1)).alias("n"))
+
+
 def recurrence_csv_write(s, sf):
     """The recurrence CSV written and read back as text columns."""
     path = FS.scratch_path(s, "recurrence-csv")
@@ -165,7 +191,8 @@ def reextract_diff(s, sf):
 
 def prompts_scan(s, sf):
     """S3: the prompt corpus written as one folder per file and loaded back in
-    file-then-entry order, Python prompts only, text stripped."""
+    file-then-entry order (entries numbered by their position), Python prompts only, text
+    stripped."""
     from namewatch.operators import quality as Q
     path = FS.scratch_path(s, "prompts")
     FS.write_prompt_corpus(FX.prompt_corpus(s, sf), path)
@@ -184,6 +211,7 @@ QUERIES = {
     "snapshot_mention_status": snapshot_mention_status,
     "wordlist_load": wordlist_load,
     "alias_load": alias_load,
+    "mentions_loaded": mentions_loaded,
     "recurrence_csv_write": recurrence_csv_write,
     "reextract_diff": reextract_diff,
 }

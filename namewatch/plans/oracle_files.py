@@ -36,6 +36,23 @@ SELECT count(*) AS records, count(*) FILTER (WHERE old_p IS DISTINCT FROM new_p)
 FROM pairs"""
 
 
+def mentions_loaded_sql() -> str:
+    listed = ("coalesce(CASE ecosystem WHEN 'python' THEN py_raw IN (SELECT w FROM py_words) "
+              "ELSE vocab_key IN (SELECT w FROM js_words) END, false)")
+    alias = "(CASE WHEN py_raw IN (SELECT w FROM py_alias) THEN concat('dist-', py_raw) END)"
+    return OX.pipeline_ctes() + f"""
+, {OX.resolved_cte("first_pass", "false", "CAST(NULL AS VARCHAR)")},
+py_words AS (SELECT DISTINCT raw AS w FROM first_pass
+             WHERE reason IS NULL AND ecosystem = 'python' AND md5(raw) < '8'),
+js_words AS (SELECT DISTINCT name AS w FROM first_pass
+             WHERE reason IS NULL AND ecosystem = 'javascript' AND md5(name) < '8'),
+py_alias AS (SELECT DISTINCT raw AS w FROM first_pass
+             WHERE reason IS NULL AND ecosystem = 'python' AND md5(raw) >= '8'),
+{OX.resolved_cte("second_pass", listed, alias)}
+SELECT ecosystem, coalesce(reason, 'kept') AS reason, audit_name, name, alias_resolved,
+       count(*) AS n FROM second_pass GROUP BY ALL"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "scan_runs": BASE + f"""
@@ -63,8 +80,10 @@ SELECT '{_snap_id(CUT)}' AS snapshot_id, status, count(*) AS n FROM snap_before
 UNION ALL
 SELECT '{_snap_id(LATER)}' AS snapshot_id, status, count(*) AS n FROM snap_after GROUP BY status""",
         "wordlist_load": f"SELECT DISTINCT {OX.strip('n_name')} AS word FROM nation",
-        "alias_load": "SELECT concat('mod_', CAST(p_partkey AS VARCHAR)) AS import_name, "
-        "concat('dist-', CAST(p_partkey % 97 AS VARCHAR)) AS dist_name FROM part",
+        "alias_load": "SELECT DISTINCT concat('mod_', CAST(p_partkey % 1000 AS VARCHAR)) "
+        "AS import_name, concat('dist-3-', CAST((p_partkey % 1000) % 97 AS VARCHAR)) AS dist_name "
+        "FROM part",
+        "mentions_loaded": mentions_loaded_sql(),
         "recurrence_csv_write": BASE + """
 SELECT model_id, prompt_id, ecosystem, name, CAST(appearances AS VARCHAR) AS appearances,
        CAST(runs AS VARCHAR) AS runs, printf('%.4f', recurrence_rate) AS recurrence_rate, status

@@ -272,8 +272,9 @@ SELECT conv_id AS response_id,
        nullif(coalesce(string_agg(coalesce(text, ''), '' ORDER BY turn) FILTER (WHERE role <> 'assistant'), ''), '') AS thinking
 FROM conversations GROUP BY conv_id""",
         "dq_prompts": W + dq,
-        "prompts_scan": W + f"SELECT id, ecosystem, domain, specificity, {OX.strip('text')} AS text, file, ord "
-        "FROM corpus WHERE ecosystem IN ('python') ORDER BY file, ord",
+        "prompts_scan": W + f"SELECT id, ecosystem, domain, specificity, {OX.strip('text')} AS text, file, "
+        "position AS ord FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ord) - 1 "
+        "AS position FROM corpus) WHERE ecosystem IN ('python') ORDER BY file, position",
         "corpus_summary": W + """
 SELECT count(*) AS prompts, count(*) FILTER (WHERE ecosystem = 'python') AS python,
        count(*) FILTER (WHERE ecosystem = 'javascript') AS javascript,

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from namewatch import schemas
 from namewatch.functions.text import ustrip
@@ -26,6 +26,38 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+# ------------------------------------------------------------------ position in files
+def with_place(rows: DataFrame, out: str = "place") -> DataFrame:
+    """``rows`` as read from files, with a struct that sorts them by file path, then by
+    position in the file.
+
+    Spark packs files and splits into tasks by size, so a row number of the whole scan does
+    not follow file names. Within one split rows keep their order, and splits of a file are
+    told apart by where they start."""
+    return rows.withColumn(out, F.struct(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row")))
+
+
+def with_ordinals(rows: DataFrame, keys: list[str], out: str = "ord",
+                  place: str = "place") -> DataFrame:
+    """``rows (.., place)`` numbered from 0 within ``keys`` in order of place: rows of a split
+    by their number in it, plus what the splits before hold. Only one row per split is
+    windowed; the rows themselves are not sorted or moved."""
+    split = [*keys, f"{place}.path", f"{place}.start"]
+    sizes = rows.groupBy(*(F.col(c).alias(f"k{i}") for i, c in enumerate(split))).agg(
+        F.count(F.lit(1)).alias("n"), F.min(f"{place}.row").alias("first"))
+    names = [f"k{i}" for i in range(len(split))]
+    before = Window.partitionBy(*names[:len(keys)]).orderBy(*names[len(keys):]).rowsBetween(
+        Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(split, names)]
+    return rows.join(sizes, same).withColumn(
+        out, F.col("before") + F.col(f"{place}.row") - F.col("first")).drop(
+        *names, "n", "first", "before")
+
+
 # ------------------------------------------------------------------ run records
 def scan_runs(spark: SparkSession, path: str) -> DataFrame:
     """Run records from JSON lines, schema declared (never inferred)."""
@@ -101,15 +133,17 @@ def current_registry(spark: SparkSession, path: str) -> DataFrame:
 
 # ------------------------------------------------------------------ prompt corpus
 def write_prompt_corpus(corpus: DataFrame, path: str) -> None:
-    """A prompt corpus as files, one folder per source file name."""
-    corpus.write.mode("overwrite").partitionBy("file").json(path)
+    """A prompt corpus as files, one folder per source file name, its entries in their order
+    (``ord``, which is not written: a reader knows it from the position)."""
+    corpus.orderBy("file", "ord").drop("ord").write.mode("overwrite").partitionBy("file") \
+        .json(path)
 
 
 def scan_prompt_corpus(spark: SparkSession, path: str) -> DataFrame:
     """S3 source: every prompt file under ``path`` (``file`` from the folder name, ``ord``
-    the entry's position within its file)."""
-    schema = StructType([*schemas.PROMPTS.fields, StructField("ord", LongType())])
-    return spark.read.schema(schema).json(path)
+    the entry's position within its file, counted from 0)."""
+    rows = spark.read.schema(schemas.PROMPTS).json(path)
+    return with_ordinals(with_place(rows), ["file"]).drop("place")
 
 
 # ------------------------------------------------------------------ vocabularies
@@ -120,29 +154,54 @@ def load_wordlist(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_aliases(spark: SparkSession, path: str) -> DataFrame:
-    """Import name -> distribution name (CSV with a header); the last entry of a name
-    wins."""
-    df = spark.read.schema(schemas.ALIASES).option("header", True).csv(path)
-    rows = df.filter(F.col("import_name").isNotNull()).select(
-        "import_name", "dist_name", F.monotonically_increasing_id().alias("place"))
-    return rows.groupBy("import_name").agg(F.max_by("dist_name", "place").alias("dist_name"))
+    """Import name -> distribution name (CSV files with a header); the last entry of a
+    name wins, in order of file path, then of line."""
+    rows = with_place(spark.read.schema(schemas.ALIASES).option("header", True).csv(path))
+    return rows.filter(F.col("import_name").isNotNull()).groupBy("import_name").agg(
+        F.max_by("dist_name", "place").alias("dist_name"))
 
 
 # ------------------------------------------------------------------ versioned rewrite
 def write_version(df: DataFrame, base: str, version: int) -> None:
     """Write a new version of a table next to the old ones (never over the path being
-    read), then commit it. Readers follow commits, so they never see a version that is still
-    being written; writing a version again replaces it."""
-    df.write.mode("overwrite").parquet(f"{base}/version={version}")
-    df.sparkSession.range(1).select(F.lit(version).alias("version")).write.mode("append") \
+    read), then commit it. Every write has a folder of its own, named in its commit, so a
+    write that fails or runs twice leaves what readers follow as it is. A version that is
+    committed already is refused."""
+    spark = df.sparkSession
+    if commits(spark, base).filter(F.col("version") == version).limit(1).count():
+        raise ValueError(f"version {version} of {base} is committed already")
+    folder = f"version={version}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{base}/{folder}")
+    spark.range(1).select(
+        F.lit(version).cast("long").alias("version"), F.lit(folder).alias("folder"),
+        F.current_timestamp().alias("at")).coalesce(1).write.mode("append") \
         .parquet(f"{base}/_commits")
 
 
+def commits(spark: SparkSession, base: str) -> DataFrame:
+    """The commits of a versioned table (none before its first)."""
+    schema = "version long, folder string, at timestamp"
+    path = f"{base}/_commits"
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(there):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def read_version(spark: SparkSession, base: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{base}/version={version}")
+    """A committed version (of two writers that committed it at once, the first)."""
+    row = commits(spark, base).filter(F.col("version") == version).orderBy("at", "folder") \
+        .select("folder").first()
+    if row is None:
+        raise ValueError(f"version {version} of {base} is not committed")
+    return spark.read.parquet(f"{base}/{row[0]}")
 
 
 def read_current(spark: SparkSession, base: str) -> DataFrame:
-    """The latest committed version of a versioned table."""
-    latest = spark.read.parquet(f"{base}/_commits").agg(F.max("version")).first()[0]
-    return read_version(spark, base, latest)
+    """The version committed last."""
+    row = commits(spark, base).orderBy(F.desc("at"), F.desc("version")).select("version").first()
+    if row is None:
+        raise ValueError(f"{base} has no committed version")
+    return read_version(spark, base, row[0])

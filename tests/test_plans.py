@@ -6,6 +6,7 @@ import contextlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from namewatch.operators import extensions
 from namewatch.plans import catalog
@@ -33,6 +34,31 @@ def test_extraction_is_narrow_with_broadcast_vocabularies(spark, q):
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
 
 
+@pytest.mark.parametrize("name", ["filtered_audit", "response_names", "prose_note"])
+def test_what_belongs_to_a_response_stays_in_its_row(spark, q, name):
+    plan = _plan(q[name](spark, SF_SMALL))
+    assert "Exchange" not in plan and "Window" not in plan and "Join" not in plan
+
+
+def test_records_move_no_texts(spark, q):
+    """The small prompt and model tables are broadcast; the calls are not exchanged."""
+    plan = _plan(q["build_records"](spark, SF_SMALL))
+    for line in plan.splitlines():
+        assert "Exchange" not in line or "response_text" not in line
+    assert "SortMergeJoin" not in plan and "Window" not in plan
+
+
+def test_reextraction_is_one_projection(spark):
+    from namewatch.operators import extract as X
+    from namewatch.operators import records as RC
+    from namewatch import schemas
+    records = spark.createDataFrame([], schemas.RUNS).withColumn("response_id", F.lit(1))
+    plan = _plan(RC.reextract(records, X.Vocabulary.default(spark)))
+    assert "Exchange" not in plan and "Join" not in plan and "Aggregate" not in plan
+    diff = _plan(RC.reextraction_diff(records, records))
+    assert not any("Exchange" in x and "response_text" in x for x in diff.splitlines())
+
+
 def test_recurrence_prunes_pushes_and_preaggregates(spark, q):
     plan = _plan(q["recurrence"](spark, SF_SMALL))
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_linestatus:string>" in plan

@@ -132,6 +132,12 @@ def test_versions_are_read_once_committed(spark, tmp_path):
     spark.range(9).write.parquet(f"{base}/version=2")       # written, not committed
     assert FS.read_current(spark, base).count() == 3
     FS.write_version(spark.range(5), base, 2)
-    FS.write_version(spark.range(4), base, 2)               # again: replaced, not doubled
-    assert FS.read_current(spark, base).count() == 4
+    with pytest.raises(ValueError):
+        FS.write_version(spark.range(4), base, 2)           # committed versions stay
+    assert FS.read_current(spark, base).count() == 5
+    FS.write_version(spark.range(2), base, 7)
+    FS.write_version(spark.range(6), base, 3)               # the last commit, not the largest
+    assert FS.read_current(spark, base).count() == 6
     assert FS.read_version(spark, base, 1).count() == 3
+    with pytest.raises(ValueError):
+        FS.read_version(spark, base, 5)

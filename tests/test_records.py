@@ -61,3 +61,30 @@ def test_reextraction_rewrites_only_what_has_a_text(spark, built):
                     3: (["tulip"], []), 4: (["kept"], ["old"])}
     diff = RC.reextraction_diff(stored, again).first().asDict()
     assert diff == {"records": 4, "changed": 2, "packages_before": 2, "packages_after": 4}
+
+
+def test_rows_and_joins_agree(spark, monkeypatch):
+    """What is worked out inside the row equals the joined form, which larger vocabularies
+    take: packages, notes, audit, names."""
+    from namewatch.plans import record_queries
+    from namewatch.sources import fixtures as FX
+    from tests.conftest import SF_SMALL
+
+    odd = [(10_000, None, None), (10_001, "python", ""), (10_002, None, "```py\nimport a, a\n```"),
+           (10_003, None, "```js\nrequire('b')\n```\n```py\nimport os, b, .c\n```\nnpm i d")]
+    responses = FX.responses(spark, SF_SMALL).unionByName(spark.createDataFrame(
+        odd, "response_id long, ecosystem string, response_text string"))
+
+    def everything():
+        vocab = X.Vocabulary.default(spark)
+        vocab = X.Vocabulary(vocab.module_names, vocab.aliases)     # as loaded from files
+        out = [X.audit_rows(responses, vocab), X.note_rows(responses, vocab),
+               X.name_rows(responses, vocab), record_queries._built(spark, SF_SMALL, vocab)]
+        return vocab, [sorted(map(repr, df.collect())) for df in out]
+
+    vocab, inside = everything()
+    assert vocab.inline() is not None
+    monkeypatch.setattr(X, "INLINE_WORDS", 10)
+    vocab, joined = everything()
+    assert vocab.inline() is None
+    assert inside == joined and all(inside)

@@ -100,6 +100,24 @@ def mention_status(mentions: DataFrame, registry: DataFrame) -> DataFrame:
     return mentions.join(reg, ["ecosystem", "name"], "left")
 
 
+def mention_status_as_of(mentions: DataFrame, snapshots: DataFrame,
+                         at: str = "created_at") -> DataFrame:
+    """J1 at the time of the mention: the status that the latest snapshot up to then gives the
+    name (``snapshots``: ecosystem, name, status, snapshot_at); NULL before its first one. Of
+    entries of one instant the largest status holds.
+
+    Each name's history is folded into one sorted array, one entry per snapshot that has the
+    name, and equi-joined, so that a hot name is split like in any join; the entry is picked
+    inside the row. There is no range join and no sort of the mentions."""
+    entry = F.struct(F.col("snapshot_at").cast("timestamp").alias("at"), "status")
+    history = snapshots.filter(F.col("snapshot_at").isNotNull()).groupBy("ecosystem", "name").agg(
+        F.array_sort(F.collect_set(entry)).alias("nw_history"))
+    then = F.col(at).cast("timestamp")
+    up_to = F.filter("nw_history", lambda e: e["at"] <= then)
+    return mentions.join(history, ["ecosystem", "name"], "left").withColumn(
+        "status", F.try_element_at(up_to, F.lit(-1))["status"]).drop("nw_history")
+
+
 def cell_runs(runs: DataFrame) -> DataFrame:
     """Distinct successful run indexes per (model, prompt) cell."""
     return ok_runs(runs).groupBy(*CELL).agg(F.count_distinct("run_index").alias("runs"))
@@ -113,6 +131,13 @@ def totals(runs: DataFrame, m: DataFrame) -> DataFrame:
     ).agg(F.first("value"))
 
 
+def _long(row: DataFrame) -> DataFrame:
+    """The columns of a one-row table as (metric, value) rows."""
+    return row.select(F.explode(F.array(*(
+        F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in row.columns)))
+        .alias("kv")).select("kv.*")
+
+
 def totals_long(runs: DataFrame, m: DataFrame) -> DataFrame:
     """The totals as (metric, value) rows: one pass over runs, one over mentions."""
     r = runs.agg(
@@ -122,19 +147,7 @@ def totals_long(runs: DataFrame, m: DataFrame) -> DataFrame:
         F.count_if(F.col("truncated")).alias("truncated"),
     )
     u = m.agg(F.count_if(is_undetermined()).alias("undetermined_mentions"))
-    r_long = r.select(
-        F.explode(
-            F.array(
-                *[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value"))
-                  for c in ["records", "ok", "failed", "truncated"]]
-            )
-        ).alias("kv")
-    ).select("kv.*")
-    u_long = u.select(
-        F.lit("undetermined_mentions").alias("metric"),
-        F.col("undetermined_mentions").alias("value"),
-    )
-    return r_long.unionByName(u_long)
+    return _long(r).unionByName(_long(u))
 
 
 def ok_by_model(runs: DataFrame) -> DataFrame:
@@ -170,13 +183,45 @@ def model_mentions(m: DataFrame) -> DataFrame:
     )
 
 
+def _model_numbers(m: DataFrame) -> DataFrame:
+    """A4 + A5 from one pass over ``m``: a mention counts for its (model, name) and, if its
+    name is not found, for its (model, response); both are added up first, so the distinct
+    counts are plain counts of those sums."""
+    blank = {c: F.lit(None).cast(m.schema[c].dataType) for c in ("run_id", "prompt_id",
+                                                                 "run_index", "name")}
+
+    def entry(by_name: bool, *columns: str) -> Column:
+        return F.struct(F.lit(by_name).alias("by_name"), *(
+            (F.col(c) if c in columns else blank[c]).alias(c) for c in blank))
+
+    of_name = entry(True, "name")
+    of_response = entry(False, "run_id", "prompt_id", "run_index")
+    rows = m.select(
+        "model_id", is_checkable().alias("known"), is_confirmed().alias("sure"),
+        is_review().alias("doubt"),
+        F.explode(F.when(F.col("status") == "not_found", F.array(of_name, of_response))
+                  .otherwise(F.array(of_name))).alias("of"))
+    sums = rows.groupBy("model_id", "of").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("known").alias("known"),
+        F.count_if("sure").alias("sure"), F.count_if("doubt").alias("doubt"))
+    name = F.col("of.by_name")
+    of_names = lambda c: F.sum(F.when(name, F.col(c)))
+    return sums.groupBy("model_id").agg(
+        of_names("n").alias("mentions"),
+        F.count(F.when(name, F.col("of.name"))).alias("distinct_names"),
+        of_names("known").alias("checkable"),
+        of_names("sure").alias("confirmed"),
+        of_names("doubt").alias("needs_review"),
+        F.count(F.when(name & (F.col("sure") > 0), F.col("of.name")))
+        .alias("distinct_confirmed"),
+        F.count_if(~name).alias("responses_with_halluc"))
+
+
 def per_model(runs: DataFrame, m: DataFrame) -> DataFrame:
-    """A6 (J3): one row per model with ok responses; zeros where it has no mentions."""
-    resp = ok_by_model(runs)
-    agg = model_mentions(m)
-    hr = halluc_responses(m)
+    """A6 (J3): one row per model with ok responses; zeros where it has no mentions. The
+    mentions, and the registry join in them, are read once."""
     zero = F.lit(0).cast("bigint")
-    out = resp.join(agg, "model_id", "left").join(hr, "model_id", "left")
+    out = ok_by_model(runs).join(_model_numbers(m), "model_id", "left")
     return out.select(
         "model_id",
         "ok_responses",
@@ -240,19 +285,7 @@ def recurrence(m: DataFrame, cells: DataFrame, ordered: bool = True) -> DataFram
         F.count_distinct("run_index").alias("appearances"),
         F.bool_or(F.col("alias_resolved").eqNullSafe(False)).alias("any_unmapped"),
     )
-    joined = agg.join(cells, CELL, "inner")
-    needs_review = (F.col("ecosystem") == "python") & F.col("any_unmapped")
-    out = joined.select(
-        "model_id", "prompt_id", "ecosystem", "name", "appearances", "runs",
-        F.try_divide(F.col("appearances"), F.col("runs")).alias("recurrence_rate"),
-        needs_review.alias("needs_review"),
-        review_label(needs_review).alias("status"),
-    )
-    if ordered:
-        out = out.orderBy(
-            F.col("appearances").desc(), "model_id", "name", "prompt_id", "ecosystem"
-        )
-    return out
+    return recurrence_rows(agg.join(cells, CELL, "inner"), ordered)
 
 
 def recurrence_summary(rec: DataFrame) -> DataFrame:
@@ -273,14 +306,18 @@ def needs_review_names(rec: DataFrame) -> DataFrame:
     return rec.filter(F.col("needs_review")).select("ecosystem", "name").distinct()
 
 
-def caveats(runs: DataFrame, m: DataFrame, rec: DataFrame) -> DataFrame:
-    """One row per non-zero condition, with the report's sentence."""
-    t = totals_long(runs, m)
-    review = needs_review_names(rec).agg(F.count(F.lit(1)).alias("value")).select(
-        F.lit("needs_review").alias("metric"), "value"
-    )
-    rows = t.filter(F.col("metric").isin("failed", "truncated", "undetermined_mentions"))
-    rows = rows.unionByName(review).filter(F.col("value") > 0)
+def caveats(runs: DataFrame, m: DataFrame) -> DataFrame:
+    """One row per non-zero condition, with the report's sentence. The mentions are read
+    once: added up by name, a name needs review if any of its mentions in a cell does."""
+    r = runs.agg(F.count_if(~F.col("ok")).alias("failed"),
+                 F.count_if("truncated").alias("truncated"))
+    in_cell = F.col("model_id").isNotNull() & F.col("prompt_id").isNotNull()
+    names = m.groupBy("ecosystem", "name").agg(
+        F.count_if(is_undetermined()).alias("undetermined"),
+        F.count_if(is_review() & in_cell).alias("review"))
+    u = names.agg(F.coalesce(F.sum("undetermined"), F.lit(0)).alias("undetermined_mentions"),
+                  F.count_if(F.col("review") > 0).alias("needs_review"))
+    rows = _long(r).unionByName(_long(u)).filter(F.col("value") > 0)
     n = F.col("value")
     message = F.coalesce(*(F.when(F.col("metric") == k, F.format_string(said, n))
                            for k, said in CAVEATS.items()))
@@ -351,7 +388,7 @@ def build_report(runs: DataFrame, registry: DataFrame) -> dict[str, DataFrame]:
                                   "prompt_id", "ecosystem"),
         "recurrence_summary": recurrence_summary(rec),
         "needs_review": needs_review_names(rec),
-        "caveats": caveats(runs, m, rec),
+        "caveats": caveats(runs, m),
         "top_recurring": top_recurring(rec),
     }
 
@@ -372,8 +409,13 @@ def recurrence_preaggregated(mentions: DataFrame, registry: DataFrame, cells: Da
         F.count(F.lit(1)).alias("appearances"),
         F.bool_or("unmapped").alias("any_unmapped"),
     )
+    return recurrence_rows(agg.join(cells, CELL, "inner"), ordered)
+
+
+def recurrence_rows(counted: DataFrame, ordered: bool) -> DataFrame:
+    """Recurrence columns of ``counted`` (appearances, runs, any_unmapped)."""
     needs_review = (F.col("ecosystem") == "python") & F.col("any_unmapped")
-    out = agg.join(cells, CELL, "inner").select(
+    out = counted.select(
         "model_id", "prompt_id", "ecosystem", "name", "appearances", "runs",
         F.try_divide(F.col("appearances"), F.col("runs")).alias("recurrence_rate"),
         needs_review.alias("needs_review"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from namewatch import schemas
 from namewatch.operators import extract as X
+from namewatch.operators import lookups as L
 from namewatch.operators import report as R
 from namewatch.plans.ops_queries import CUT, LATER, _snapshot
 from namewatch.sources import files as FS
@@ -101,6 +102,25 @@ def snapshot_mention_status(s, sf):
         F.count(F.lit(1)).alias("n"))
 
 
+# Instants of the lookup passes that mention_status_as_of stores.
+PASSES = ("1994-01-01 00:00:00", "1996-01-01 00:00:00", "1998-01-01 00:00:00")
+
+
+def mention_status_as_of(s, sf):
+    """S9 to J1 at the time of the mention: three dated snapshots, each of the lookups made
+    before it, and every mention under the latest one up to its run."""
+    path = FS.scratch_path(s, "snapshots")
+    cols = ["ecosystem", "name", "status", "http_status", "checked_at"]
+    for at in PASSES:
+        looked_up = FX.attempts(s, sf).filter(F.col("checked_at") < F.lit(at).cast("timestamp_ntz"))
+        FS.write_snapshot(L.reduce_attempts(
+            looked_up, order=["checked_at", "batch", "attempt"]).select(*cols), at, path)
+    m = R.mention_status_as_of(FX.mentions(s, sf), FS.read_snapshots(s, path))
+    return m.groupBy("model_id", F.year("created_at").cast("long").alias("year"),
+                     F.coalesce("status", F.lit("unchecked")).alias("status")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 def wordlist_load(s, sf):
     """A word list (nation names, each twice, padded) with comment and blank lines."""
     path = FS.scratch_path(s, "wordlist")
@@ -209,6 +229,7 @@ QUERIES = {
     "append_runs": append_runs,
     "snapshot_write": snapshot_write,
     "snapshot_mention_status": snapshot_mention_status,
+    "mention_status_as_of": mention_status_as_of,
     "wordlist_load": wordlist_load,
     "alias_load": alias_load,
     "mentions_loaded": mentions_loaded,

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from namewatch.plans import oracle_extract as OX
 from namewatch.plans.oracle import BASE
-from namewatch.plans.oracle_ops import CACHE, DIMS
+from namewatch.plans.file_queries import PASSES
+from namewatch.plans.oracle_ops import CACHE, DIMS, reduce_sql
 from namewatch.plans.ops_queries import CUT, LATER
 
 W = BASE + DIMS + CACHE
@@ -73,6 +74,17 @@ LEFT JOIN (SELECT response_id, count(*) AS n FROM mentions_f GROUP BY 1) m USING
 SELECT coalesce(status, 'unchecked') AS status, count(*) AS n
 FROM (SELECT ecosystem, name FROM mentions_f) LEFT JOIN newest USING (ecosystem, name)
 GROUP BY 1""",
+        "mention_status_as_of": W + ", " + ",\n".join(
+            f"pass_{i} AS {reduce_sql(f'checked_at < TIMESTAMP {chr(39)}{at}{chr(39)}')}"
+            for i, at in enumerate(PASSES)) + """,
+dated AS (""" + " UNION ALL ".join(
+            f"SELECT ecosystem, name, status, TIMESTAMP '{at}' AS seen FROM pass_{i}"
+            for i, at in enumerate(PASSES)) + """)
+SELECT model_id, year(created_at) AS year, coalesce(d.status, 'unchecked') AS status,
+       count(*) AS n
+FROM mentions_f f ASOF LEFT JOIN dated d
+  ON f.ecosystem = d.ecosystem AND f.name = d.name AND f.created_at >= d.seen
+GROUP BY ALL""",
         "append_runs": BASE + "SELECT run_id, count(*) AS records, count(*) FILTER (WHERE ok) AS ok "
         "FROM runs_f GROUP BY run_id",
         "snapshot_write": W + f"""

@@ -39,48 +39,43 @@ def stream_mentions(s, sf):
     return s.read.parquet(out)
 
 
+def _new_names(s: SparkSession, streams, label: str):
+    """Streams that run one after another, each with its own checkpoint, into one table of
+    known names; what they emitted together."""
+    out = FS.scratch_path(s, f"known-{label}")
+    for i, mentions in enumerate(streams):
+        ST.run_batches(mentions, ST.new_name_sink(out, f"run-{i}"),
+                       FS.scratch_path(s, f"ckpt-{label}"))
+    return ST.known_names(s, out).select("ecosystem", "name")
+
+
 def stream_new_names(s, sf):
     """First sighting of each (ecosystem, name) over the mention stream."""
     src = ST.read_stream(s, _responses_dir(s, sf), ST.RESPONSES)
-    names = ST.stream_new_names(ST.stream_mentions(src, X.Vocabulary.default(s)))
-    out = FS.scratch_path(s, "sink-names")
-    ST.run_append(names.select("ecosystem", "name"), out, FS.scratch_path(s, "ckpt-names"))
-    return s.read.parquet(out)
+    return _new_names(s, [ST.stream_mentions(src, X.Vocabulary.default(s))], "names")
 
 
 def stream_new_names_bounded(s, sf):
-    """T2, bounded state: first sighting of each (ecosystem, name) among the mentions of
-    arriving run records, deduplicated within an event-time watermark (``created_at``),
-    so the dedupe state expires instead of growing for ever. The delay here spans the
-    whole derived history, so the result equals the exact distinct set."""
+    """T2 over two runs: new names among the mentions of arriving run records, first of one
+    sweep, then, in a later run of the stream, of all; the later run emits only names that the
+    earlier one has not."""
+    def mentions(records):
+        return R.ok_runs(records).select("ecosystem", F.explode("packages").alias("p")) \
+            .select("ecosystem", F.col("p.name").alias("name"))
+
     src = ST.read_stream(s, _runs_dir(s, sf), ST.RUN_RECORDS)
-    mentions = R.ok_runs(src).select(
-        "ecosystem", "created_at", F.explode("packages").alias("p")
-    ).select("ecosystem", F.col("p.name").alias("name"), "created_at")
-    names = ST.stream_new_names(mentions, event_time="created_at", delay="36500 days")
-    out = FS.scratch_path(s, "sink-names-bounded")
-    ST.run_append(names.select("ecosystem", "name"), out, FS.scratch_path(s, "ckpt-names-b"))
-    return s.read.parquet(out)
+    return _new_names(s, [mentions(src.filter(F.col("run_id") == "sweep-0")), mentions(src)],
+                      "names-b")
 
 
 def stream_recurrence(s, sf):
-    """Running recurrence numerators and denominators (update mode), rate by the
-    batch reader."""
-    runs_dir = _runs_dir(s, sf)
-    counts_out = FS.scratch_path(s, "sink-rec")
-    cells_out = FS.scratch_path(s, "sink-cells")
-    registry = FX.names(s, sf)
-    ST.run_update(ST.stream_recurrence_counts(ST.read_stream(s, runs_dir, ST.RUN_RECORDS),
-                                              registry),
-                  counts_out, FS.scratch_path(s, "ckpt-rec"))
-    ST.run_update(ST.stream_cell_runs(ST.read_stream(s, runs_dir, ST.RUN_RECORDS)),
-                  cells_out, FS.scratch_path(s, "ckpt-cells"))
-    keys = ["model_id", "prompt_id", "ecosystem", "name"]
-    counts = ST.read_latest(s, counts_out, keys)
-    cells = ST.read_latest(s, cells_out, ["model_id", "prompt_id"])
-    return counts.join(cells, ["model_id", "prompt_id"]).select(
-        *keys, "appearances", "runs",
-        F.try_divide(F.col("appearances"), F.col("runs")).alias("recurrence_rate"))
+    """Running recurrence, one file a micro-batch where there are several, numerators and
+    denominators of the same batches."""
+    out = FS.scratch_path(s, "sink-rec")
+    runs = ST.read_stream(s, _runs_dir(s, sf), ST.RUN_RECORDS, max_files_per_trigger=4)
+    ST.run_batches(runs, ST.recurrence_sink(out, "run-0"), FS.scratch_path(s, "ckpt-rec"))
+    return ST.read_recurrence(s, out, FX.names(s, sf)).select(
+        "model_id", "prompt_id", "ecosystem", "name", "appearances", "runs", "recurrence_rate")
 
 
 def stream_progress(s, sf):

@@ -26,6 +26,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``; none if it does not exist."""
+    here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(here):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(here) if s.isDirectory())
+
+
+def written_parts(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path`` whose write ended (Spark's marker lies in them)."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f for f in folders(spark, path) if fs.exists(of(f"{path}/{f}/_SUCCESS"))]
+
+
 # ------------------------------------------------------------------ position in files
 def with_place(rows: DataFrame, out: str = "place") -> DataFrame:
     """``rows`` as read from files, with a struct that sorts them by file path, then by
@@ -181,13 +197,9 @@ def write_version(df: DataFrame, base: str, version: int) -> None:
 def commits(spark: SparkSession, base: str) -> DataFrame:
     """The commits of a versioned table (none before its first)."""
     schema = "version long, folder string, at timestamp"
-    path = f"{base}/_commits"
-    jvm = spark.sparkContext._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(there):
+    if "_commits" not in written_parts(spark, base):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(f"{base}/_commits")
 
 
 def read_version(spark: SparkSession, base: str, version: int) -> DataFrame:

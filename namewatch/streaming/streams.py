@@ -6,11 +6,11 @@ sinks are idempotent per micro-batch (a batch re-run after a failure rewrites it
 folder only).
 
 * T1 extraction is stateless (append).
-* T2 new names: ``dropDuplicates`` on (ecosystem, name); with an event-time column the
-  bounded form ``dropDuplicatesWithinWatermark`` keeps state finite.
-* T3 running recurrence: dedupe (cell, name, run) then count, in update mode; rates need
-  the final denominators, so numerators and denominators are emitted separately and the
-  rate is computed by the batch reader.
+* T2 new names: the stream keeps no state. Known names are a table, and each micro-batch
+  writes those of its names that the table lacks.
+* T3 running recurrence: the stream keeps no state. Each micro-batch writes its run indexes as
+  bits, numerators and denominators under one batch id; the reader ORs the batches that both
+  tables have, so a rate's two halves are always of one instant.
 * T4 progress counters: a global streaming aggregate.
 * T5 exactly-once resume: ``foreachBatch`` writes each batch's completed keys to a
   folder named by the batch id; pending work is the plan anti-joined with that table.
@@ -26,7 +26,9 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from namewatch import schemas
 from namewatch.operators import extract as X
+from namewatch.operators import increments as INC
 from namewatch.operators import report as R
+from namewatch.sources import files as FS
 
 RESPONSES = StructType(
     [
@@ -55,40 +57,6 @@ def stream_mentions(responses: DataFrame, vocab: X.Vocabulary) -> DataFrame:
     return X.mentions_of(X.extract_resolved(responses, vocab))
 
 
-def stream_new_names(mentions: DataFrame, event_time: str | None = None,
-                     delay: str = "1 day") -> DataFrame:
-    """Names not seen before in the stream. With ``event_time`` the state is bounded
-    by the watermark."""
-    if event_time:
-        return (mentions.withWatermark(event_time, delay)
-                .dropDuplicatesWithinWatermark(["ecosystem", "name"]))
-    return mentions.dropDuplicates(["ecosystem", "name"])
-
-
-def stream_recurrence_counts(runs: DataFrame, registry: DataFrame) -> DataFrame:
-    """T3 numerators: distinct runs per (model, prompt, ecosystem, name) with a not_found
-    status: stream-static join to the registry snapshot, dedupe on (cell, name, run),
-    then count (``countDistinct`` is not available on streams)."""
-    m = R.mention_status(R.explode_packages(runs), registry)
-    keys = ["model_id", "prompt_id", "ecosystem", "name"]
-    return (
-        m.filter(F.col("status") == "not_found")
-        .select(*keys, "run_index")
-        .dropDuplicates([*keys, "run_index"])
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("appearances"))
-    )
-
-
-def stream_cell_runs(runs: DataFrame) -> DataFrame:
-    """T3 denominators: distinct successful runs per (model, prompt) cell."""
-    return (
-        R.ok_runs(runs).select("model_id", "prompt_id", "run_index")
-        .dropDuplicates(["model_id", "prompt_id", "run_index"])
-        .groupBy("model_id", "prompt_id").agg(F.count(F.lit(1)).alias("runs"))
-    )
-
-
 def stream_progress(runs: DataFrame) -> DataFrame:
     """T4: live counters."""
     return runs.agg(
@@ -132,6 +100,77 @@ def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
         F.max_by(F.struct(*vals), F.col("batch_id")).alias("v")).select(*keys, "v.*")
 
 
+# Folders that known names are split into by hash: a micro-batch reads those it touches.
+NAME_BUCKETS = 64
+_KNOWN = "ecosystem string, name string, stream string, batch long, bucket int"
+
+
+def known_names(spark: SparkSession, path: str) -> DataFrame:
+    """The table that :func:`new_name_sink` writes: ``(ecosystem, name, stream, batch,
+    bucket)``, each name once."""
+    streams = FS.folders(spark, path)
+    if not any(FS.written_parts(spark, f"{path}/{s}") for s in streams):
+        return spark.createDataFrame([], _KNOWN)
+    return spark.read.schema(_KNOWN).parquet(path)
+
+
+def new_name_sink(path: str, stream: str) -> Callable[[DataFrame, int], None]:
+    """Names that no batch before has, of this stream or of any other that writes to
+    ``path``, land in ``path/stream=<stream>/batch=<id>``.
+
+    ``stream`` names the checkpoint that batch ids belong to. A batch that runs again after a
+    failure does not see its own earlier output and replaces it. Streams that share a path run
+    one after another."""
+    keys = ["ecosystem", "name"]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        names = batch.select(*keys).distinct().withColumn(
+            "bucket", F.pmod(F.xxhash64(*keys), F.lit(NAME_BUCKETS)).cast("int")).persist()
+        touched = [r[0] for r in names.select("bucket").distinct().collect()]
+        own = (F.col("stream") == stream) & (F.col("batch") >= batch_id)
+        known = known_names(spark, path).filter(F.col("bucket").isin(touched) & ~own)
+        same = [names[k].eqNullSafe(known[k]) for k in ("bucket", *keys)]
+        names.join(known, same, "left_anti").write.mode("overwrite").partitionBy("bucket") \
+            .parquet(f"{path}/stream={stream}/batch={batch_id}")
+        names.unpersist()
+
+    return write
+
+
+def recurrence_sink(path: str, stream: str) -> Callable[[DataFrame, int], None]:
+    """The run indexes of each micro-batch of run records, as bits: what each name
+    appeared in (``path/mentions``) and what each cell ran (``path/cells``), in folders named
+    by stream and batch. A batch that runs again replaces its folders."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        part = f"{stream}-{batch_id}"
+        INC.mention_bits(R.explode_packages(batch)).write.mode("overwrite").parquet(
+            f"{path}/mentions/{part}")
+        INC.cell_bits(batch).write.mode("overwrite").parquet(f"{path}/cells/{part}")
+        batch.unpersist()
+
+    return write
+
+
+def read_recurrence(spark: SparkSession, path: str, registry: DataFrame) -> DataFrame:
+    """Recurrence of all batches that both tables have, whole: a batch whose second write has
+    not ended yet counts in neither half."""
+    parts = sorted(set(FS.written_parts(spark, f"{path}/mentions"))
+                   & set(FS.written_parts(spark, f"{path}/cells")))
+    if not parts:
+        raise ValueError(f"no complete batch in {path}")
+    mentions, cells = (spark.read.parquet(*(f"{path}/{kind}/{p}" for p in parts))
+                       for kind in ("mentions", "cells"))
+    return INC.recurrence_of_bits(mentions, cells, registry)
+
+
+def run_batches(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """A stateless stream into a batch sink, processing what is available now."""
+    (df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+
+
 def resume_sink(plan_keys: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
     """T5: each batch's completed task keys land in ``path/batch=<id>``; rewriting a batch
     after a failure replaces only its own folder, so every key is recorded once per

@@ -34,6 +34,14 @@ def test_extraction_is_narrow_with_broadcast_vocabularies(spark, q):
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
 
 
+@pytest.mark.parametrize("name", ["per_model", "strict_rates", "untruncated_rates", "caveats"])
+def test_report_sections_read_mentions_and_registry_once(spark, q, name):
+    plan = _plan(q[name](spark, SF_SMALL))
+    assert plan.count("l_orderkey:bigint") == 1             # one scan of the mentions
+    assert plan.count("p_partkey:bigint") == 1              # one registry join
+    assert "Expand" not in plan and "ObjectHashAggregate" not in plan
+
+
 @pytest.mark.parametrize("name", ["filtered_audit", "response_names", "prose_note"])
 def test_what_belongs_to_a_response_stays_in_its_row(spark, q, name):
     plan = _plan(q[name](spark, SF_SMALL))

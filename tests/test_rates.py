@@ -93,8 +93,8 @@ def test_summary_and_review(rec):
     assert [tuple(r) for r in R.needs_review_names(rec).collect()] == [("python", "lost")]
 
 
-def test_caveats(runs, m, rec):
-    got = {r["caveat"]: r["n"] for r in R.caveats(runs, m, rec).collect()}
+def test_caveats(runs, m):
+    got = {r["caveat"]: r["n"] for r in R.caveats(runs, m).collect()}
     assert got == {"failed": 1, "truncated": 1, "undetermined_mentions": 2, "needs_review": 1}
 
 

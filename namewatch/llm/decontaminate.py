@@ -5,16 +5,26 @@ streamed through it word by word; the automaton's state gives the longest run of
 here that occurs in any item. Wherever that run reaches the window length, a window of an item
 ends, and the state tells which items have it.
 
-The items are a stated query set. They are read in blocks of a bounded number of words, and
-each block's automaton (about ``BLOCK_WORDS`` states times two) is broadcast; a larger
-benchmark takes more passes over the documents, never a larger broadcast.
+The items are a stated query set. Spark deals them into blocks of at most ``BLOCK_WORDS`` words
+(a longer item goes into several, with a window less a word of overlap), and each block's
+automaton is built in a task and written to the shared folder. The documents are then matched
+with one block at a time: its automaton, about ``BLOCK_WORDS`` states times two, is broadcast
+and dropped before the next. A larger benchmark takes more passes over the documents, never a
+larger broadcast; the driver holds one block's bytes at most.
+
+Documents are dropped by coverage, and hit spans are cut out of the others.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -183,26 +193,71 @@ class Automaton:
 _NONE: set[int] = set()
 
 
+def pieces(words: list[bytes], window: int, limit: int) -> Iterator[list[bytes]]:
+    """The words in pieces of at most ``limit`` (never below the window) with all their
+    windows: each piece but the first begins ``window - 1`` words before the last one's end."""
+    limit = max(limit, window)
+    if len(words) <= limit:
+        yield words
+        return
+    for start in range(0, len(words) - window + 1, limit - window + 1):
+        yield words[start:start + limit]
+
+
 def item_blocks(items: DataFrame, id_col: str, text_col: str, window: int,
-                block_words: int) -> Iterator[Automaton]:
-    """Automata over consecutive blocks of the items, each read and built in turn."""
-    block: list[tuple[str | None, list[bytes]]] = []
-    size = 0
-    rows = items.select(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
-    for item_id, text in rows.toLocalIterator():
-        words = normal_words(text)
-        if block and size + len(words) > block_words:
-            yield Automaton(block, window)
-            block, size = [], 0
-        block.append((item_id, words))
-        size += len(words)
-    yield Automaton(block, window)
+                block_words: int) -> DataFrame:
+    """``(block, n_words, machine)``: the items in blocks of at most ``block_words`` words, with
+    the automaton of each, built where its items are."""
+    rows = items.select(F.col(id_col).cast("string").alias("id"),
+                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[tuple[str | None, list[bytes]]] = []
+        held, made, part = 0, 0, TaskContext.get().partitionId()
+
+        def flush() -> pa.RecordBatch:
+            machine = pickle.dumps(Automaton(block, window), pickle.HIGHEST_PROTOCOL)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([(part << 32) + made], pa.int64()), pa.array([held], pa.int64()),
+                 pa.array([machine], pa.binary())], names=["block", "n_words", "machine"])
+
+        for batch in batches:
+            for item_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for words in pieces(normal_words(text), window, block_words):
+                    if block and held + len(words) > block_words:
+                        yield flush()
+                        block, held, made = [], 0, made + 1
+                    if words:
+                        block.append((item_id, words))
+                        held += len(words)
+        if block:
+            yield flush()
+
+    # about as many tasks as blocks: a word has some bytes
+    tasks = max(1, math.ceil(size / (6 * block_words)))
+    return materialise(rows.repartition(tasks).mapInArrow(
+        build, "block long, n_words long, machine binary"), "items-blocks")
+
+
+_loaded: dict[str, Automaton] = {}
+
+
+def _machine(key: str, payload: bytes) -> Automaton:
+    """The automaton of a broadcast block, unpacked once in a worker; only the last one is
+    kept."""
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = pickle.loads(payload)
+    return _loaded[key]
 
 
 def _hits_column(text_col: str, automaton) -> Column:
+    key = uuid.uuid4().hex
+
     @F.pandas_udf(_HITS)
     def match(texts: pd.Series) -> pd.DataFrame:
-        machine = automaton.value
+        machine = _machine(key, automaton.value)
         rows = []
         for text in texts:
             words = normal_words(text)
@@ -241,17 +296,31 @@ def with_hits(docs: DataFrame, items: DataFrame, out: str, text_col: str = "text
     Null and empty texts have no words; an empty benchmark hits nothing. Items that repeat an
     id count once.
     """
+    return _with_hits(docs, item_blocks(items, item_id_col, item_text_col, window, block_words),
+                      out, text_col, window)
+
+
+def _with_hits(docs: DataFrame, blocks: DataFrame, out: str, text_col: str,
+               window: int) -> DataFrame:
     spark = docs.sparkSession
-    passes = [spark.sparkContext.broadcast(a)
-              for a in item_blocks(items, item_id_col, item_text_col, window, block_words)]
-    if len(passes) == 1:
-        return docs.withColumn(out, _hits_column(text_col, passes[0]))
+    every = sorted(r[0] for r in blocks.select("block").collect())
+
+    def share(block: int):
+        return spark.sparkContext.broadcast(
+            blocks.where(F.col("block") == block).select("machine").first()[0])
+
+    if len(every) <= 1:
+        only = share(every[0]) if every else spark.sparkContext.broadcast(
+            pickle.dumps(Automaton([], window)))
+        return docs.withColumn(out, _hits_column(text_col, only))
     rid, hit = fresh([*docs.columns, out], "nw_rid", "nw_hit")
     base = materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "items-docs")
     slim = None
-    for machine in passes:
+    for block in every:
+        machine = share(block)
         part = materialise(base.select(F.col(rid), _hits_column(text_col, machine).alias(hit)),
                            "items-hits")
+        machine.destroy()
         slim = part if slim is None else slim.unionByName(part)
     merge = F.pandas_udf(_merge_hits, _HITS)
     # one entry for each block and document
@@ -274,7 +343,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
                   text_col: str = "text", item_id_col: str = "item_id",
                   item_text_col: str = "text", window: int = WINDOW,
                   parts: int = COVER_PARTS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document: ``(id, n_words, n_hit, n_items, items_sha256, contaminated)``."""
+    """One row per document: ``(id, n_words, n_hit, n_items, items_sha256, contaminated)``.
+
+    Null and empty texts have no words and are not contaminated; repeated rows are judged each;
+    items without an id hit but are not counted as items; an empty table gives no rows.
+    """
     hit = "hit"
     rows = with_hits(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")),
                      items, hit, "text", item_id_col, item_text_col, window, block_words)
@@ -289,7 +362,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
                       **options) -> DataFrame:
-    """``docs`` without the contaminated documents; the others are kept as they are."""
+    """``docs`` without the contaminated documents; the others are kept as they are, null and
+    empty texts and repeated rows included."""
     parts = options.pop("parts", COVER_PARTS)
     hit, = fresh(docs.columns, "nw_hits")
     rows = with_hits(docs, items, hit, text_col, **options)
@@ -302,18 +376,57 @@ def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text",
     """``docs`` with every hit range of ``min_span`` or more words cut out of the text. Ranges
     shorter than the window are whole items of fewer words.
 
-    The text between the cuts is kept as written; a cut becomes one space.
+    The text between the cuts is kept as written; a cut becomes one space. Null and empty texts
+    stay; repeated rows are cut each.
     """
     hit, = fresh(docs.columns, "nw_hits")
     rows = with_hits(docs, items, hit, text_col, **options)
+    return rows.withColumn(text_col, _cut(text_col, hit, min_span)).select(*docs.columns)
+
 
+def _cut(text_col: str, hit: str, min_span: int) -> Column:
     @F.pandas_udf("string")
     def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([cut_words(t, s, e, min_span)
                           for t, s, e in zip(texts, starts, ends)], dtype=object)
 
-    return rows.withColumn(text_col, cut(text_col, f"{hit}.starts", f"{hit}.ends")) \
-        .select(*docs.columns)
+    return cut(text_col, f"{hit}.starts", f"{hit}.ends")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text",
+                  size_col: str | None = None, item_id_col: str = "item_id",
+                  item_text_col: str = "text", window: int = WINDOW, parts: int = COVER_PARTS,
+                  min_span: int = 1, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` without the contaminated documents (coverage limit) and with every hit range of
+    ``min_span`` or more words cut out of the others (length limit; ``size_col``, if given,
+    follows the new length). With the default limit no text of the result holds a window: words
+    that a cut brings together are matched again, in the texts that were cut.
+
+    Null and empty texts are kept as they are; repeated rows are judged and cut each; an empty
+    table gives an empty table.
+    """
+    hit, again = fresh(docs.columns, "nw_hits", "nw_cut")
+    blocks = item_blocks(items, item_id_col, item_text_col, window, block_words)
+    done, rest, first = None, docs, True
+    while True:
+        rows = _with_hits(rest, blocks, hit, text_col, window)
+        n_hit = n_hit_of(hit)
+        if first:
+            rows = rows.where(~is_contaminated(F.col(f"{hit}.n_words"), n_hit, parts))
+        longest = F.exists(F.zip_with(f"{hit}.ends", f"{hit}.starts", lambda e, s: e - s),
+                           lambda n: n >= min_span)
+        rows = rows.withColumn(again, longest)
+        text = F.when(F.col(again), _cut(text_col, hit, min_span)).otherwise(F.col(text_col))
+        rows = rows.withColumn(text_col, text)
+        if size_col:
+            rows = rows.withColumn(size_col, F.when(F.col(again), F.length(text_col)).otherwise(
+                F.col(size_col)).cast(docs.schema[size_col].dataType))
+        rows = materialise(rows.select(*docs.columns, again), "items-cut")
+        whole = rows.where(~F.col(again)).select(*docs.columns)
+        done = whole if done is None else done.unionByName(whole)
+        rest, first = rows.where(again).select(*docs.columns), False
+        if rest.limit(1).count() == 0:
+            return done
 
 
 def cut_words(text: str | None, starts, ends, min_span: int = 1) -> str | None:

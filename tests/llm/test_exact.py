@@ -44,6 +44,56 @@ def test_decontamination_hostile(spark, hostile, hostile_docs, block_words):
     same(rows_of(got, *DECON), brute.decontamination(hostile, items))
 
 
+def test_items_longer_than_a_block(spark):
+    """Pieces of a long item overlap, so no window is lost and none is made; blocks are
+    bounded; short items inside long hits, repeated rows and items, clashing columns."""
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(40)}" for _ in range(300)]
+    items = [(1, " ".join(words)), (2, "w1 w2"), (2, "w1 w2"), (3, " ".join(words[50:62])),
+             (4, None), (None, "w5")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(i, " ".join(words[a:a + n])) for i, (a, n) in enumerate(
+        (rng.randrange(280), rng.randrange(60)) for _ in range(40))]
+    docs += docs[:3] + [(None, " ".join(words)), (99, None), (98, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumns(
+        {"nw_hits": F.lit(1), "nw_rid": F.lit("x"), "NW_CUT": F.lit(2)})
+    want = brute.decontamination(docs, items)
+    for block_words in (30, 200_000):
+        blocks = decontaminate.item_blocks(table, "item_id", "text", 13, block_words)
+        assert max(r["n_words"] for r in blocks.collect()) <= block_words
+        same(rows_of(decontaminate.contamination(frame, table, block_words=block_words), *DECON),
+             want)
+    clean = decontaminate.decontaminate(frame, table, block_words=40)
+    assert clean.columns == frame.columns
+    assert clean.count() == sum(not r[5] for r in want)
+
+
+@pytest.mark.parametrize("block_words", [200_000, 40])
+def test_no_window_is_left(spark, hostile, hostile_docs, no_docs, block_words):
+    """Contaminated documents go; no window is in any text that stays, also none that a cut
+    brought together; texts without a hit stay as written."""
+    items = _items(hostile)
+    near = [(900, "x " * 400 + "one Three! two four? " + "y " * 400),
+            (901, "z " * 100 + "Three! one one four? " + "y " * 400), (902, "z " * 50 + "one")]
+    docs = hostile_docs.unionByName(spark.createDataFrame(
+        [(*r, "en", "a", 5, "x", 1) for r in near], hostile_docs.schema))
+    table = spark.createDataFrame(items + [(20, "three four")], "item_id long, text string")
+    rows = hostile + near
+    every = items + [(20, "three four")]
+    judged = brute.decontamination(rows, every)
+    got = decontaminate.decontaminate(docs, table, size_col="n_chars", block_words=block_words)
+    assert got.columns == docs.columns
+    kept = rows_of(got, "doc_id", "text", "n_chars")
+    assert len(kept) == sum(not r[5] for r in judged)
+    assert all(r[2] == 0 for r in brute.decontamination([r[:2] for r in kept], every))
+    as_written = {(d, t) for (d, t), r in zip(rows, judged) if r[2] == 0}
+    assert as_written <= {r[:2] for r in kept}
+    for r in kept:
+        assert r[:2] in as_written or r[2] == len(r[1])
+    assert decontaminate.decontaminate(no_docs, table).count() == 0
+    assert decontaminate.decontaminate(docs, table.limit(0)).count() == len(rows)
+
+
 def test_decontamination_small(spark, small):
     items = [tuple(r) for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")
              .select("item_id", "text").collect()]

@@ -403,6 +403,10 @@ def test_pipeline_stages(spark):
         elif name == "decontamination":
             assert ids(docs) == sorted(r[0] for r in brute.decontamination(texts(before), items)
                                        if not r[5])
+            left = rows_of(docs, "doc_id", "text", "n_chars")
+            assert not any(r[2] for r in brute.decontamination([r[:2] for r in left], items))
+            same = set(texts(before))
+            assert all(r[:2] in same or r[2] == len(r[1]) for r in left)
         elif name == "mixing":
             took = mixing.mix(before)
             want = Counter({r[0]: r[2] // r[1] for r in rows_of(took, "doc_id", "size", "taken")
@@ -418,7 +422,7 @@ def test_pipeline_stages(spark):
 def test_pipeline_on_hostile_documents(spark, hostile_docs, tmp_path):
     """Nulls, repeats and clashing columns pass through every stage."""
     hostile_docs.write.parquet(f"{tmp_path}/documents.parquet")
-    for name in ("labels", "benchmark"):
+    for name in ("labels", "benchmark", "conversations"):
         spark.read.parquet(f"{SF_SMALL}/{name}.parquet").write.parquet(
             f"{tmp_path}/{name}.parquet")
     got = rows_of(corpus_pipeline.run(spark, str(tmp_path)), "shard", "slot")
@@ -426,7 +430,8 @@ def test_pipeline_on_hostile_documents(spark, hostile_docs, tmp_path):
     n = hostile_docs.count()
     for name, query in catalog.QUERIES.items():
         out = query(spark, str(tmp_path))
-        assert out.count() == n, name
+        if name not in ("op12_spelling", "op13_prefix_trie"):   # words, nodes
+            assert out.count() == n, name
         if "held_out" in out.columns:
             assert out.where("held_out IS NULL").count() == 0
     empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
@@ -434,6 +439,8 @@ def test_pipeline_on_hostile_documents(spark, hostile_docs, tmp_path):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{SF_SMALL}/{name}.parquet").write.parquet(
             f"{tmp_path}/none/{name}.parquet")
+    spark.read.parquet(f"{SF_SMALL}/conversations.parquet").limit(0).write.parquet(
+        f"{tmp_path}/none/conversations.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
     for name, query in catalog.QUERIES.items():
         assert query(spark, f"{tmp_path}/none").count() == 0, name

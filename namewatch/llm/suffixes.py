@@ -5,7 +5,7 @@ one) is a repeat; its bytes go. Equal strings are neighbours in the suffix array
 are sorted, not compared in pairs:
 
 * **Discard.** Text that holds no repeat is not sorted. Every 100-byte string has a block that
-  its content alone chooses (the 50 bytes of the smallest fingerprint in it), so equal strings
+  its content alone chooses (the 60 bytes of the smallest fingerprint in it), so equal strings
   have equal blocks at equal places. Strings whose block occurs once are done.
 * **Sort sampled tuples.** Of what is left, suffixes at positions whose remainder modulo 57 is
   in a difference cover (8 of 57) are sampled: any two positions have a shift below 57 that
@@ -48,7 +48,7 @@ from pyspark.sql.window import Window
 from namewatch.llm.common import materialise, text_of
 
 LENGTH = 100            # bytes of a string
-BLOCK = 50              # bytes of the block that a string's content chooses
+BLOCK = 60              # bytes of the block that a string's content chooses
 PERIOD = 57
 COVER = (1, 2, 4, 14, 33, 37, 44, 53)   # differences give every remainder modulo 57
 TUPLE = LENGTH - PERIOD + 1

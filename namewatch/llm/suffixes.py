@@ -415,12 +415,12 @@ def keep_mask(n_bytes: int, sure, starts) -> np.ndarray:
 def _in_order(docs: DataFrame) -> DataFrame:
     """``(rid, row)`` of the first of equal texts of ``docs (row, id, text)``, texts of a
     string's length and more; rid rises in document order: by id, null first, and for rows that
-    repeat an id by a hash of the text. Only ids and digests move."""
+    repeat an id by the MD5 of the text. Only ids and digests move."""
     first = docs.where(F.octet_length("text") >= LENGTH).select(
-        F.md5("text").alias("digest"), F.xxhash64("text").alias("tie"),
-        F.struct("id", "row").alias("first")).groupBy("digest", "tie").agg(
+        F.md5("text").alias("digest"), F.xxhash64("text").alias("also"),
+        F.struct("id", "row").alias("first")).groupBy("digest", "also").agg(
         F.min("first").alias("first"))
-    return first.orderBy(F.col("first.id").asc_nulls_first(), "tie", "first.row").select(
+    return first.orderBy(F.col("first.id").asc_nulls_first(), "digest", "also").select(
         F.monotonically_increasing_id().alias("rid"), F.col("first.row").alias("row"))
 
 
@@ -429,7 +429,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     that stay.
 
     Null and empty texts have no bytes; texts under 100 bytes keep all. Documents are ordered by
-    id, null first, and rows that repeat an id by a hash of their text; of equal rows one keeps
+    id, null first, and rows that repeat an id by the MD5 of their text; of equal rows one keeps
     its bytes. A longer text that equals an earlier one is a repeat as a whole and is not
     sorted. An empty table gives no rows.
     """

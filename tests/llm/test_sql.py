@@ -12,7 +12,7 @@ from tests.conftest import SF_SMALL
 
 def _compare(spark, name, folder):
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {table} AS FROM read_parquet('{folder}/{table}.parquet/*.parquet')"
                     if folder != SF_SMALL else
                     f"CREATE VIEW {table} AS FROM read_parquet('{folder}/{table}.parquet')")
@@ -35,4 +35,10 @@ def test_hostile_tables(spark, name, hostile_docs, tmp_path):
     items = [(1, "la la la"), (2, None), (2, "Ünïcode é"), (3, "one TWO three"), (None, "one")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(
         f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(
+        [(c, t, r, x) for c in (0, 1, 7, 100, 101, 250) for t, r, x in
+         [(None, "user", "hi"), (1, None, "é🎉"), (2, "user", None)][: 1 + c % 3]]
+        + [(None, 1, "user", "x"), (1, 5, "b", "two"), (1, 5, "a", "one"), (7, 1, None, "é🎉")],
+        "conv_id long, turn long, role string, text string").write.parquet(
+        f"{tmp_path}/conversations.parquet")
     _compare(spark, name, str(tmp_path))

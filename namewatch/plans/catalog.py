@@ -46,6 +46,8 @@ def _merged(spark: SparkSession, sf: str) -> DataFrame:
                                   ordered=True)
 
 
+WIDE = 1_000_000_000     # more names than parts: names are not folded
+
 REPORT: dict[str, Query] = {
     "ok_runs": lambda s, sf: R.ok_runs(FX.runs(s, sf)).select(
         "response_id", "model_id", "prompt_id", "run_index"
@@ -70,6 +72,11 @@ REPORT: dict[str, Query] = {
     "cell_runs": lambda s, sf: R.cell_runs(FX.runs(s, sf)),
     "recurrence": lambda s, sf: _rec(s, sf),
     "recurrence_merged": _merged,
+    # a registry that grows with the data: a name for every part
+    "recurrence_wide": lambda s, sf: _rec(s, sf, ordered=False, modulus=WIDE),
+    "mention_status_wide": lambda s, sf: R.mention_status(
+        FX.mentions(s, sf, WIDE), FX.names(s, sf, WIDE)).groupBy("name", "status").agg(
+        F.count(F.lit(1)).alias("n")),
     "recurrence_summary": lambda s, sf: R.recurrence_summary(_rec(s, sf, ordered=False)),
     "needs_review": lambda s, sf: R.needs_review_names(_rec(s, sf, ordered=False)),
     "recurrence_dense": lambda s, sf: _rec(s, sf, modulus=40),

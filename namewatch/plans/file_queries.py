@@ -12,6 +12,7 @@ from namewatch.operators import extract as X
 from namewatch.operators import lookups as L
 from namewatch.operators import report as R
 from namewatch.plans.ops_queries import CUT, LATER, _snapshot
+from namewatch.sources import cache_table as CT
 from namewatch.sources import files as FS
 from namewatch.sources import fixtures as FX
 
@@ -121,6 +122,17 @@ def mention_status_as_of(s, sf):
         F.count(F.lit(1)).alias("n"))
 
 
+def cache_table(s, sf):
+    """S10 as a stored table: the earlier lookup pass put into an empty cache, then the later
+    pass, name group by name group; what a reader sees."""
+    base = FS.scratch_path(s, "cache-table")
+    CT.put(_snapshot(s, sf, "before"), base)
+    after = _snapshot(s, sf, "after")
+    CT.put(after.filter(F.col("ecosystem") == "python"), base)
+    CT.put(after.filter(F.col("ecosystem") != "python"), base)
+    return CT.read_cache(s, base)
+
+
 def wordlist_load(s, sf):
     """A word list (nation names, each twice, padded) with comment and blank lines."""
     path = FS.scratch_path(s, "wordlist")
@@ -230,6 +242,7 @@ QUERIES = {
     "snapshot_write": snapshot_write,
     "snapshot_mention_status": snapshot_mention_status,
     "mention_status_as_of": mention_status_as_of,
+    "cache_table": cache_table,
     "wordlist_load": wordlist_load,
     "alias_load": alias_load,
     "mentions_loaded": mentions_loaded,

@@ -85,6 +85,7 @@ SELECT model_id, year(created_at) AS year, coalesce(d.status, 'unchecked') AS st
 FROM mentions_f f ASOF LEFT JOIN dated d
   ON f.ecosystem = d.ecosystem AND f.name = d.name AND f.created_at >= d.seen
 GROUP BY ALL""",
+        "cache_table": W + "SELECT * FROM cache",
         "append_runs": BASE + "SELECT run_id, count(*) AS records, count(*) FILTER (WHERE ok) AS ok "
         "FROM runs_f GROUP BY run_id",
         "snapshot_write": W + f"""

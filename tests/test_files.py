@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from namewatch.sources import cache_table as CT
 from namewatch.sources import files as FS
 
 
@@ -71,3 +72,44 @@ def test_corpus_round_trip(spark, tmp_path):
         ids = [r[0] for r in sorted(rows, key=lambda r: r[2]) if r[1] == f"file-{f}.yaml"]
         want += [(i, f"file-{f}.yaml", at) for at, i in enumerate(ids)]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def _results(spark, rows):
+    return spark.createDataFrame(
+        [("python", n, status, 200, None, at) for n, status, at in rows],
+        "ecosystem string, name string, status string, http_status int, detail string, "
+        "checked_at string").withColumn("checked_at", F.col("checked_at").cast("timestamp"))
+
+
+def _files(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.rglob("part-*")}
+
+
+def test_cache_puts_rewrite_touched_buckets_only(spark, tmp_path, monkeypatch):
+    base = str(tmp_path)
+    read = lambda: {r["name"]: r["status"] for r in CT.read_cache(spark, base).collect()}
+    with pytest.raises(ValueError):
+        CT.read_cache(spark, base)
+    first = [(f"n{i}", "exists", "2024-01-01") for i in range(200)] + [(None, "exists", None)]
+    assert CT.put(_results(spark, first), base, buckets=16) == 16
+    version, buckets, before = CT.manifest(spark, base)
+    files = _files(tmp_path / "data")
+    # one name, checked earlier than what the cache holds: the put wins; errors are not written
+    put = _results(spark, [("n7", "not_found", "2023-01-01"), ("n8", "error", "2025-01-01")])
+    assert CT.put(put, base, buckets=99) == 1
+    want = {r[0]: r[1] for r in first} | {"n7": "not_found"}
+    assert read() == want and CT.read_cache(spark, base).count() == 201
+    _, same, after = CT.manifest(spark, base)
+    assert same == buckets == 16 and sum(before[b] != after[b] for b in before) == 1
+    assert files.items() <= _files(tmp_path / "data").items()
+    assert CT.put(_results(spark, [("n9", "error", "2025-01-01")]), base) == 0
+    # a put that fails before its commit: the cache stays as it was
+    commit = CT._MANIFEST
+    monkeypatch.setattr(CT, "_MANIFEST", "no schema")
+    with pytest.raises(Exception):
+        CT.put(_results(spark, [("n1", "not_found", "2026-01-01")]), base)
+    monkeypatch.setattr(CT, "_MANIFEST", commit)
+    assert read() == want
+    assert CT.put(_results(spark, [("n1", "not_found", "2026-01-01"), ("new", "exists", None)]),
+                  base) in (1, 2)
+    assert read() == want | {"n1": "not_found", "new": "exists"}

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from namewatch.llm.common import SPACES, materialise, text_of
+from namewatch.llm.common import SPACES, let, materialise, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns, in Java syntax. Possessive forms match what the plain ones do, without
@@ -48,7 +48,7 @@ _FROM_DIGIT = (r"[0-9@][0-9().-]*+(?:(?<=[0-9)])\x20\(?[0-9][0-9().-]*+"
                rf"(?={_EDGE}*+(?:[\x20\x09-\x0D]|\z)))*+[^\x20\x09-\x0D]*+")
 _FIRST = r"^[^\x20]*+"
 _BEFORE = r"^[^\x20\x09-\x0D]*+[\x20\x09-\x0D]*+[^\x20\x09-\x0D]*+"
-MAX_CONTEXT = 40        # last characters of the word before it, trimmed
+LONG_CONTEXT = 64       # a longer word before it is known by its digest
 # Edges of a token; a run of them inside it is looked at once.
 _TRIM = rf"^{_EDGE}++|(?<!{_EDGE}){_EDGE}++\z"
 
@@ -148,8 +148,9 @@ def candidates(rows: DataFrame) -> DataFrame:
     token = F.regexp_replace(F.regexp_extract("t", _FIRST, 0), _TRIM, "")
     run = F.regexp_replace("t", _TRIM, "")
     start = F.col("stop") - F.length("t") + lead
-    ctx = F.lower(F.reverse(F.left(F.regexp_replace("w", r"^[^\p{L}\p{N}_:=]++", ""),
-                                   F.lit(MAX_CONTEXT))))
+    word = F.lower(F.reverse(F.regexp_replace("w", r"^[^\p{L}\p{N}_:=]++", "")))
+    ctx = let(word, lambda w: F.when(F.length(w) <= LONG_CONTEXT, w).otherwise(
+        F.concat(F.lit("md5:"), F.md5(w))))
     flat = flat.select("rid", ctx.alias("ctx"), token.alias("token"), start.alias("start"),
                        (start + F.length(token)).alias("stop"),
                        F.when(F.col("t").contains(" "), run).alias("run"))

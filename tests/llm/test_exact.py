@@ -335,6 +335,16 @@ def test_pii_discovers_from_context(spark):
     assert spans[3] == "phone:13:27"
 
 
+def test_pii_contexts_are_whole_words(spark):
+    """Long words before a number that end alike are contexts of their own."""
+    end = "x" * 100
+    docs = [(i, f"so Tel{end} +49 30 55{i:05d} und") for i in range(30)]
+    docs += [(100, f"so Tel{end} 030-1234567 ende"), (101, f"so Fax{end} 030-1234568 ende")]
+    got = pii.digest(pii.find(spark.createDataFrame(docs, "doc_id long, text string")))
+    spans = dict(rows_of(got, "doc_id", "spans"))
+    assert spans[100].startswith("phone:") and spans[101] == ""
+
+
 def test_pii_reads_what_stands_before_whole(spark):
     """Neither a long run before the first digit, nor a long gap, nor punctuation after the
     context word hides a number; none of them takes long."""

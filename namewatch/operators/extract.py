@@ -138,6 +138,17 @@ def _judged(c: Column, k: Column, in_vocab: Column, dist: Column, declared: Colu
     }
 
 
+def looked_up(responses: DataFrame, text_col: str = "response_text",
+              scope_col: str | None = "ecosystem") -> DataFrame:
+    """``(response_id, language, word)``: what extraction asks a vocabulary about, whatever
+    the vocabulary holds; Python's import aliases go by the same word."""
+    c = candidates(units(responses, text_col, scope_col))
+    keys = _keys({n: F.col(n) for n in ("ecosystem", "raw", "is_import")})
+    word = F.coalesce(F.col("k.py_raw"), F.col("k.js_bare"))
+    return c.select("response_id", F.col("ecosystem").alias("language"), keys.alias("k")).select(
+        "response_id", "language", word.alias("word")).filter(F.col("word").isNotNull())
+
+
 def resolve(cands: DataFrame, vocab: Vocabulary) -> DataFrame:
     """K13-K17 as rows: vocabularies are joined, so they may have any size."""
     c = {n: F.col(n) for n in ("ecosystem", "raw", "is_import")}

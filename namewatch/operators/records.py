@@ -48,6 +48,55 @@ def reextract(records: DataFrame, vocab: X.Vocabulary, key: str = "response_id")
     }).select(*records.columns)
 
 
+# ------------------------------------------------------------------ after a vocabulary change
+def vocabulary_index(records: DataFrame, key: str = "response_id") -> DataFrame:
+    """``(language, word, key)``: the words that the extraction of each record looks up in a
+    vocabulary, whatever the vocabulary holds. Stored next to the records, it tells which of
+    them a change of the vocabulary can concern."""
+    texts = records.filter(F.col("ok") & (F.col("response_text") != "")).select(
+        F.col(key).alias("response_id"), "ecosystem", "response_text")
+    return X.looked_up(texts).select(
+        "language", "word", F.col("response_id").alias(key)).distinct()
+
+
+def changed_words(old: X.Vocabulary, new: X.Vocabulary) -> DataFrame:
+    """``(language, word)`` that the two vocabularies answer differently."""
+    names = lambda v: v.module_names.select(
+        F.col("language"), F.col("name").alias("word"), F.lit("").alias("answer"))
+    aliases = lambda v: v.aliases.select(
+        F.lit("python").alias("language"), F.col("import_name").alias("word"),
+        F.concat(F.lit("="), "dist_name").alias("answer"))
+    both = [names(v).unionByName(aliases(v)).distinct().withColumn("of", F.lit(i))
+            for i, v in enumerate((old, new))]
+    return both[0].unionByName(both[1]).groupBy("language", "word", "answer").agg(
+        F.count(F.lit(1)).alias("n")).filter("n = 1").select("language", "word").distinct()
+
+
+def touched_records(index: DataFrame, old: X.Vocabulary, new: X.Vocabulary,
+                    key: str = "response_id") -> DataFrame:
+    """``(key)`` of the records that hold a word which ``new`` answers differently."""
+    return index.join(changed_words(old, new), ["language", "word"], "left_semi").select(
+        key).distinct()
+
+
+def reextract_touched(records: DataFrame, index: DataFrame, old: X.Vocabulary,
+                      new: X.Vocabulary, key: str = "response_id") -> DataFrame:
+    """S8 after a change of the vocabulary: ``(key, packages, extraction_notes)`` of the records
+    it can concern, extracted with ``new``; all others have what they had. ``index`` is
+    :func:`vocabulary_index` of the records, made once."""
+    touched = records.join(touched_records(index, old, new, key), key, "left_semi")
+    return reextract(touched.select(*records.columns), new, key).select(
+        key, "packages", "extraction_notes")
+
+
+def with_changes(results: DataFrame, changes: DataFrame, key: str = "response_id") -> DataFrame:
+    """Results ``(key, packages, extraction_notes)`` with the changed ones in place of theirs;
+    no text is needed."""
+    columns = [key, "packages", "extraction_notes"]
+    return results.select(*columns).join(changes.select(key), key, "left_anti").unionByName(
+        changes.select(*columns))
+
+
 def build_records(calls: DataFrame, prompts: DataFrame, models: DataFrame, vocab: X.Vocabulary,
                   key: str = "response_id") -> DataFrame:
     """The full record of each model call: cell, outcome, packages, notes and text, in the

@@ -41,7 +41,34 @@ def reextract(s: SparkSession, sf: str) -> DataFrame:
     return RC.reextraction_diff(FS.read_version(s, base, 1), FS.read_current(s, base))
 
 
-QUERIES = {"build_records": build_records, "reextract": reextract}
+# What the vocabulary of reextract_incremental's stored records lacks.
+_LATER_NAMES = {"python": {"os", "sqlite3"}, "javascript": {"fs"}}
+_LATER_ALIASES = {"cv2"}
+
+
+def reextract_incremental(s: SparkSession, sf: str) -> DataFrame:
+    """S8 + A18 after a vocabulary change: records extracted before some names and an alias
+    were added are indexed once; only those that hold such a word are extracted again, and
+    their results replace the stored ones. Compared record by record."""
+    known = X.Vocabulary.default(s).inline()
+    old = X.Vocabulary.small(s, set(known.python - _LATER_NAMES["python"]),
+                             set(known.javascript - _LATER_NAMES["javascript"]),
+                             {k: v for k, v in known.aliases.items() if k not in _LATER_ALIASES})
+    new = X.Vocabulary.default(s)
+    base = FS.scratch_path(s, "run-records")
+    FS.write_version(_built(s, sf, old), f"{base}/records", 1)
+    records = FS.read_current(s, f"{base}/records")
+    FS.write_version(RC.vocabulary_index(records), f"{base}/index", 1)
+    changes = RC.reextract_touched(records, FS.read_current(s, f"{base}/index"), old, new)
+    FS.write_version(RC.with_changes(records, changes), f"{base}/results", 1)
+    now = FS.read_current(s, f"{base}/results")
+    touched = RC.touched_records(FS.read_current(s, f"{base}/index"), old, new)
+    return RC.reextraction_diff(records, now).withColumn(
+        "read_again", touched.agg(F.count(F.lit(1))).scalar())
+
+
+QUERIES = {"build_records": build_records, "reextract": reextract,
+           "reextract_incremental": reextract_incremental}
 
 
 def all_sql() -> dict[str, str]:
@@ -81,6 +108,30 @@ SELECT i AS response_id, 1 AS schema_version, concat('sweep-', CAST(i % 3 AS VAR
 FROM calls_f LEFT JOIN fresh USING (i)
 LEFT JOIN prompts q ON q.id = concat('prompt-', lpad(CAST(i % 50 AS VARCHAR), 2, '0'))
 LEFT JOIN models mo ON mo.id = concat('model-', CAST(i % 4 AS VARCHAR))""",
+        "reextract_incremental": OX.pipeline_ctes() + f"""
+, later AS (
+  SELECT *, coalesce(CASE ecosystem WHEN 'python' THEN py_raw IN {OX.in_list(sorted(_LATER_NAMES['python']))}
+                     ELSE vocab_key IN {OX.in_list(sorted(_LATER_NAMES['javascript']))} END, false)
+              AS new_name,
+         coalesce(ecosystem = 'python' AND py_raw IN {OX.in_list(sorted(_LATER_ALIASES))}, false)
+              AS new_alias
+  FROM joined WHERE response_id % 7 <> 0),
+{OX.resolved_cte("before", "(in_vocab AND NOT new_name)",
+                 "(CASE WHEN new_alias THEN NULL ELSE a_dist END)").replace("FROM joined)", "FROM later)")},
+p AS (
+  SELECT response_id,
+         list({{'n': name, 'r': raw, 's': source, 'o': origin, 'a': alias_resolved}} ORDER BY {order}) AS p
+  FROM before WHERE reason IS NULL GROUP BY 1),
+q AS (
+  SELECT response_id,
+         list({{'n': name, 'r': raw, 's': source, 'o': origin, 'a': alias_resolved}} ORDER BY {order}) AS q
+  FROM resolved WHERE reason IS NULL AND response_id % 7 <> 0 GROUP BY 1)
+SELECT count(*) AS records,
+       count(*) FILTER (WHERE coalesce(p, []) IS DISTINCT FROM coalesce(q, [])) AS changed,
+       CAST(sum(coalesce(len(p), 0)) AS BIGINT) AS packages_before,
+       CAST(sum(coalesce(len(q), 0)) AS BIGINT) AS packages_after,
+       (SELECT count(DISTINCT response_id) FROM later WHERE new_name OR new_alias) AS read_again
+FROM resp LEFT JOIN p USING (response_id) LEFT JOIN q USING (response_id)""",
         "reextract": base + """
 SELECT count(*) AS records,
        count(*) FILTER (WHERE ok AND coalesce(s.p, []) IS DISTINCT FROM coalesce(f.p, []))

@@ -88,3 +88,33 @@ def test_rows_and_joins_agree(spark, monkeypatch):
     vocab, joined = everything()
     assert vocab.inline() is None
     assert inside == joined and all(inside)
+
+
+def test_incremental_reextraction_equals_full(spark):
+    """Only records that hold a changed word are read again, and the result is that of a full
+    re-extraction: added and removed names, changed, added and removed aliases."""
+    from namewatch.plans import record_queries
+    from tests.conftest import SF_SMALL
+
+    known = X.Vocabulary.default(spark).inline()
+    old = X.Vocabulary.default(spark)
+    new = X.Vocabulary.small(
+        spark, set(known.python) - {"os"} | {"lily"}, set(known.javascript) - {"fs"} | {"moss"},
+        {**{k: v for k, v in known.aliases.items() if k != "cv2"}, "yaml": "other", "orchid": "o"})
+    words = {tuple(r) for r in RC.changed_words(old, new).collect()}
+    assert words == {("python", w) for w in ("os", "lily", "cv2", "yaml", "orchid")} | {
+        ("javascript", "fs"), ("javascript", "moss")}
+    assert RC.changed_words(old, old).count() == 0
+    records = record_queries._built(spark, SF_SMALL, old)
+    index = RC.vocabulary_index(records)
+    changes = RC.reextract_touched(records, index, old, new)
+    now = {r["response_id"]: (r["packages"], r["extraction_notes"])
+           for r in RC.with_changes(records, changes).collect()}
+    full = {r["response_id"]: (r["packages"], r["extraction_notes"])
+            for r in RC.reextract(records, new).collect()}
+    assert now == full and len(now) == records.count()
+    read = {r[0] for r in changes.select("response_id").collect()}
+    before = {r["response_id"]: r["packages"] for r in records.collect()}
+    differ = {i for i in full if full[i][0] != before[i]}
+    assert differ <= read and 0 < len(read) < len(full)
+    assert RC.reextract_touched(records, index, old, old).count() == 0

@@ -353,8 +353,9 @@ class Places:
 
 def _edge_strings(docs: DataFrame) -> DataFrame:
     """Candidate strings around the ``edge`` tuples and not around the ``sure`` ones of ``docs
-    (rid, text, runs, sure, edge)``: ``(h1, h2, known, rid, at)``; all equal ones of a slice but
-    the first are known."""
+    (rid, text, runs, sure, edge)``, as three numbers each: ``h1``; ``low``, the second name's 32
+    bits and the place; ``who``, the row number. All equal ones of a slice but the first are
+    known to be repeats."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = Texts(batch.column("text"))
@@ -379,19 +380,26 @@ def _edge_strings(docs: DataFrame) -> DataFrame:
                 order = np.lexsort((at, rid, h2, h1))
                 h1, h2, rid, at = h1[order], h2[order], rid[order], at[order]
                 first = _firsts(h1, h2)
+                # a known one keeps with its text; its row number is complemented
+                low = (h2 << np.uint64(32)) | at.astype(np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [_long(np.where(first, h1, rid.view(np.uint64))),
-                     pa.array(h2.astype(np.uint32).view(np.int32)), pa.array(~first),
-                     pa.array(rid), _int(at)], names=["h1", "h2", "known", "rid", "at"])
+                    [_long(np.where(first, h1, rid.view(np.uint64))), _long(low),
+                     pa.array(np.where(first, rid, ~rid))], names=["h1", "low", "who"])
 
     return docs.select("rid", "text", "runs", "sure", "edge").mapInArrow(
-        run, "h1 long, h2 int, known boolean, rid long, at int")
+        run, "h1 long, low long, who long")
 
 
 def repeated_strings(docs: DataFrame) -> DataFrame:
     """``(rid, starts)``: starts of the strings among them that also start earlier."""
+    packed = _edge_strings(docs).repartition("h1")
+    known = F.col("who") < 0
+    rows = packed.select(
+        "h1", F.shiftright("low", 32).alias("h2"), known.alias("known"),
+        F.when(known, F.bitwise_not("who")).otherwise(F.col("who")).alias("rid"),
+        F.col("low").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("at"))
     same = Window.partitionBy("h1", "h2", "known").orderBy("rid", "at")
-    rows = _edge_strings(docs).withColumn("turn", F.row_number().over(same))
+    rows = rows.withColumn("turn", F.row_number().over(same))
     return rows.where("known OR turn > 1").groupBy("rid").agg(
         F.collect_list("at").alias("starts"))
 

@@ -84,8 +84,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ratios_from(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Bucket ratios with the documents of quality 1 as target."""
-    marked = quality.mark_target(docs.select("doc_id", "text"), labels, "good")
-    return materialise(quality.bucket_ratios(marked, "good"), "quality-ratios")
+    texts = docs.select("doc_id", "text")
+    return materialise(quality.bucket_ratios(texts, quality.target_documents(texts, labels)),
+                       "quality-ratios")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,19 @@
 Word unigrams and bigrams are hashed into a fixed number of buckets. Two multinomials are
 counted over whole texts: the trusted target (documents marked good) and the raw corpus (all
 documents). A document's score is the mean, over its n-grams, of the log ratio of the two
-smoothed bucket probabilities; one fixed threshold decides every document.
+bucket probabilities; one fixed threshold decides every document.
+
+No text takes part in the counts that score it: texts fall into ``FOLDS`` folds by their hash
+(copies into the same one), both multinomials are counted without each fold in turn, and a
+text is scored by the ratios that leave its fold out.
+
+A bucket's ratio is shrunk towards zero by its counts: the target's observed n-grams over
+those that the corpus's share lets expect, with ``PRIOR`` n-grams added to both. So a small
+target or a rare bucket says little.
 
 Built-in functions only: n-grams are made and counted inside the JVM with partial
-aggregation, and the only broadcast is the table of bucket ratios, ``BUCKETS`` rows at most.
+aggregation. Broadcast are the table of bucket ratios (``BUCKETS`` rows at most) and the bits
+that pick the target's documents (``_FILTER_BITS``).
 """
 
 from __future__ import annotations
@@ -17,10 +26,16 @@ from pyspark.sql import functions as F
 from namewatch.llm.common import fresh, let, materialise, text_of, words_of
 
 BUCKETS = 1 << 14
-SMOOTHING = 0.5
-# Mean log ratio below which a document is rejected. Ordinary prose scores near zero; text of
-# n-grams that the target hardly has scores below -0.5.
-THRESHOLD = -0.2
+SMOOTHING = 0.5         # n-grams that the corpus is given in each bucket
+PRIOR = 5.0             # n-grams, expected and observed alike, that the target is given there
+FOLDS = 5
+# Bits by hashed id that tell which documents may be in the target: 262,144 words at most are
+# broadcast. Other documents that share a bit are taken out by an exact join.
+_FILTER_BITS = 1 << 24
+# Mean log ratio below which a document is rejected. Ordinary prose scores near zero (above
+# -0.11 for every good document of the test tables, its fold left out); text of n-grams that
+# the target hardly has scores below -0.2.
+THRESHOLD = -0.15
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 _WINDOW = 5
@@ -102,39 +117,75 @@ def _ngrams(rows: DataFrame, hashes: str, *keep: str) -> DataFrame:
                F.pmod(F.xxhash64("x", "y"), F.lit(BUCKETS)).cast("int")).alias("b2"))
 
 
-def bucket_ratios(texts: DataFrame, target: str, text_col: str = "text") -> DataFrame:
-    """``(bucket, ratio)``: the log of the target's over the corpus's share of each bucket.
+def _fold(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
 
-    Every n-gram of every row counts for the corpus; those of rows where the boolean column
-    ``target`` is true count for the target too. ``BUCKETS`` rows. With no target rows every
-    ratio is zero.
-    """
-    hashes = texts.select(target, words_of(text_col).alias("w")).select(
-        target, F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
-    grams = _ngrams(hashes, "h", target).select(
-        target, F.explode(F.array("b1", "b2")).alias("bucket")).where("bucket IS NOT NULL")
-    counts = grams.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("raw"), F.count_if(F.col(target)).alias("good"))
-    spark = texts.sparkSession
-    every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    counts = every.join(counts, "bucket", "left").na.fill(0, ["raw", "good"])
-    totals = counts.agg(F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good"))
-    share = lambda n, total: F.log((F.col(n) + SMOOTHING)
-                                   / (F.col(total) + SMOOTHING * BUCKETS))
-    ratio = F.when(F.col("all_good") > 0, share("good", "all_good") - share("raw", "all_raw"))
-    # one row of totals beside BUCKETS rows
-    return counts.join(F.broadcast(totals)).select(
-        "bucket", F.coalesce(ratio, F.lit(0.0)).alias("ratio"))
+
+def _bucket_counts(texts: DataFrame, text_col: str) -> DataFrame:
+    """``(bucket, fold, n)``: n-grams of the texts of a fold in a bucket."""
+    hashes = texts.select(_fold(text_of(text_col)).alias("fold"), F.transform(
+        words_of(text_col), lambda w: F.xxhash64(w)).alias("h"))
+    grams = _ngrams(hashes, "h", "fold").select("fold", F.explode(F.array("b1", "b2")).alias(
+        "bucket")).where("bucket IS NOT NULL")
+    return grams.groupBy("bucket", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-def mark_target(docs: DataFrame, labels: DataFrame, out: str, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with a boolean column ``out``: some label of the document has quality 1."""
-    good, = fresh(docs.columns, "nw_good")
-    marked = (labels.where(F.col("quality") == 1).where(F.col(id_col).isNotNull())
-              .select(F.col(id_col).alias(good)).distinct())
+def bucket_ratios(corpus: DataFrame, target: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(bucket, ratios)``: for each fold, the log of the target's over the corpus's share of
+    the bucket, both counted without the fold.
+
+    Every n-gram of every row counts; ``BUCKETS`` rows. Where the target has no n-gram outside
+    a fold, that fold's ratios are zero.
+    """
+    both = _bucket_counts(corpus, text_col).select("bucket", "fold", F.col("n").alias("raw"),
+                                                   F.lit(0).cast(_LONG).alias("good"))
+    both = both.unionByName(_bucket_counts(target, text_col).select(
+        "bucket", "fold", F.lit(0).cast(_LONG).alias("raw"), F.col("n").alias("good")))
+    names = [f"{c}{f}" for f in range(FOLDS) for c in ("raw", "good")]
+    sums = both.groupBy("bucket").agg(*(
+        F.sum(F.when(F.col("fold") != f, F.col(c)).otherwise(0)).alias(f"{c}{f}")
+        for f in range(FOLDS) for c in ("raw", "good")))
+    every = corpus.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
+    # written, as the sums over all buckets read it twice
+    counts = materialise(every.join(sums, "bucket", "left").na.fill(0, names), "quality-counts")
+    totals = counts.agg(*(F.sum(n).alias(f"all_{n}") for n in names))
+    # one row of totals beside BUCKETS rows
+    shares = counts.join(F.broadcast(totals))
+    for f in range(FOLDS):
+        p = (F.col(f"raw{f}") + SMOOTHING) / (F.col(f"all_raw{f}") + SMOOTHING * BUCKETS)
+        shares = shares.withColumn(f"p{f}", p).withColumn(
+            f"lift{f}", (F.col(f"good{f}") + PRIOR) / (F.col(f"all_good{f}") * p + PRIOR))
+    # the shrunk target adds up to this, not quite to one
+    norms = shares.agg(*(F.sum(F.col(f"p{f}") * F.col(f"lift{f}")).alias(f"norm{f}")
+                         for f in range(FOLDS)))
+    return shares.join(F.broadcast(norms)).select("bucket", F.array(*(
+        F.when(F.col(f"all_good{f}") > 0, F.log(F.col(f"lift{f}") / F.col(f"norm{f}")))
+        .otherwise(0.0) for f in range(FOLDS))).alias("ratios"))
+
+
+def target_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose document has some label of quality 1.
+
+    Only documents whose hashed id has its bit set are exchanged for the exact join, so other
+    texts stay where they are. Null ids are in no target; repeated labels count once, repeated
+    rows each.
+    """
+    good, word, bits, at = fresh(docs.columns, "nw_good", "nw_word", "nw_bits", "nw_at")
+    place = lambda c: F.pmod(
+        F.xxhash64(F.col(c).cast("string")), F.lit(_FILTER_BITS))
+    marked = labels.where(F.col("quality") == 1).where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias(good))
+    at_bit = lambda name, *cols: F.call_function(name, *cols)
+    words = marked.select(place(good).alias(at)).groupBy(
+        F.shiftright(at, 6).alias(word)).agg(F.bit_or(at_bit(
+            "shiftleft", F.lit(1).cast(_LONG), F.col(at).bitwiseAND(63).cast("int"))).alias(bits))
+    near = docs.where(F.col(id_col).isNotNull()).withColumn(at, place(id_col))
+    # at most _FILTER_BITS / 64 rows
+    near = near.join(F.broadcast(words), F.shiftright(at, 6) == F.col(word)).where(at_bit(
+        "shiftright", F.col(bits), F.col(at).bitwiseAND(63).cast("int")).bitwiseAND(1) == 1)
     # labels grow with the documents: the same plan at every size, never a broadcast
-    return docs.hint("merge").join(marked, docs[id_col] == marked[good], "left").withColumn(
-        out, F.col(good).isNotNull()).drop(good)
+    near = near.select(*docs.columns)
+    return near.hint("merge").join(marked, near[id_col] == marked[good], "left_semi")
 
 
 def quality(docs: DataFrame, ratios: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -142,21 +193,23 @@ def quality(docs: DataFrame, ratios: DataFrame, id_col: str = "doc_id", text_col
     """One row per document: ``(id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, score, kept)``.
 
-    A null or empty text fails the base rules and has score zero. Repeated rows, null ids and
-    equal texts are judged one by one, each alike.
+    A text is scored by the ratios that leave its fold out. A null or empty text fails the
+    base rules and has score zero. Repeated rows, null ids and equal texts are judged one by
+    one, each alike.
     """
-    rows = with_statistics(docs.select(F.monotonically_increasing_id().alias("rid"),
-                                       F.col(id_col).alias("id"),
-                                       F.col(text_col).alias("text"))).drop("text")
+    rows = with_statistics(docs.select(
+        F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"),
+        F.col(text_col).alias("text"))).withColumn("fold", _fold(text_of("text"))).drop("text")
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    grams = _ngrams(rows, "word_hashes", "rid", "id", *measures)
-    one = ratios.select(F.col("bucket").alias("b1"), F.col("ratio").alias("r1"))
-    two = ratios.select(F.col("bucket").alias("b2"), F.col("ratio").alias("r2"))
+    grams = _ngrams(rows, "word_hashes", "rid", "id", "fold", *measures)
+    one = ratios.select(F.col("bucket").alias("b1"), F.col("ratios").alias("r1"))
+    two = ratios.select(F.col("bucket").alias("b2"), F.col("ratios").alias("r2"))
     # at most BUCKETS rows each
     scored = grams.join(F.broadcast(one), "b1", "left").join(F.broadcast(two), "b2", "left")
     sums = scored.groupBy("rid").agg(
         F.first("id").alias("id"), *(F.first(m).alias(m) for m in measures),
-        F.sum(F.coalesce("r1", F.lit(0.0)) + F.coalesce("r2", F.lit(0.0))).alias("total"))
+        F.sum(F.coalesce(F.get("r1", F.col("fold")), F.lit(0.0))
+              + F.coalesce(F.get("r2", F.col("fold")), F.lit(0.0))).alias("total"))
     # n words make n unigrams and n - 1 bigrams
     score = F.when(F.col("n_words") > 0, F.col("total") / (F.col("n_words") * 2 - 1))
     out = sums.select(

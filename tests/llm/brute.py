@@ -4,6 +4,7 @@ pair, for small tables."""
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -171,6 +172,38 @@ def statistics(docs):
     return out
 
 
+def quality_scores(docs, target, buckets, folds, smoothing, prior):
+    """Score of each text of ``docs``; ``target`` is a list of texts. Each text is scored by
+    counts that leave out all texts of its fold."""
+    def signed(h):
+        return h - (1 << 64) if h >> 63 else h
+
+    def fold(text):
+        return signed(xxhash.xxh64_intdigest((text or "").encode(), 42)) % folds
+
+    def grams(text):
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words(text or "")]
+        raw = [x.to_bytes(8, "little") for x in h]
+        two = [xxhash.xxh64_intdigest(y, xxhash.xxh64_intdigest(x, 42))
+               for x, y in zip(raw, raw[1:])]
+        return [x % buckets for x in h + two]
+
+    ratio = {}
+    for f in range(folds):
+        raw = Counter(g for _, t in docs if fold(t) != f for g in grams(t))
+        good = Counter(g for t in target if fold(t) != f for g in grams(t))
+        total, wanted = sum(raw.values()), sum(good.values())
+        p = [(raw[b] + smoothing) / (total + smoothing * buckets) for b in range(buckets)]
+        lift = [(good[b] + prior) / (wanted * p[b] + prior) for b in range(buckets)]
+        norm = sum(x * y for x, y in zip(p, lift))
+        ratio[f] = [math.log(x / norm) if wanted else 0.0 for x in lift]
+    out = []
+    for _, text in docs:
+        some = grams(text)
+        out.append(sum(ratio[fold(text)][g] for g in some) / len(some) if some else 0.0)
+    return out
+
+
 def crc(value) -> int:
     return zlib.crc32(str(value).encode())
 

@@ -460,7 +460,13 @@ STATS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repea
 
 def _flat(spark):
     return spark.range(quality.BUCKETS).select(
-        F.col("id").cast("int").alias("bucket"), F.lit(0.0).alias("ratio"))
+        F.col("id").cast("int").alias("bucket"),
+        F.array_repeat(F.lit(0.0), quality.FOLDS).alias("ratios"))
+
+
+def _scores(docs, target):
+    return brute.quality_scores(docs, target, quality.BUCKETS, quality.FOLDS,
+                                quality.SMOOTHING, quality.PRIOR)
 
 
 def test_statistics_hostile(spark, hostile, hostile_docs, no_docs):
@@ -474,29 +480,76 @@ def test_quality_small(spark, small):
     same(rows_of(got, *STATS), brute.statistics(small))
 
 
-def test_ratio_separates_junk_from_prose(spark):
-    """Scores by hand on a tiny corpus, and the verdicts that follow."""
-    import math
+def test_scores_small(spark, small):
+    """Every score, and the verdict that follows, of the small tables."""
+    good = {r[0] for r in spark.read.parquet(f"{SF_SMALL}/labels.parquet")
+            .where("quality = 1").collect()}
+    want = dict(zip((d for d, _ in small), _scores(small, [t for d, t in small if d in good])))
+    got = catalog.QUERIES["op8_quality"](spark, SF_SMALL).collect()
+    for r in got:
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-9)
+        assert r["kept"] == (not r["base_failed"] and r["score"] >= quality.THRESHOLD)
 
-    docs = spark.createDataFrame(
-        [(i, "aa bb cc dd ee ff gg hh ii jj kk") for i in range(3000)]
-        + [(i, "zz yy xx ww vv uu tt ss rr qq pp") for i in range(3000, 3300)],
-        "doc_id long, text string")
-    labels = spark.createDataFrame([(i, 1) for i in range(1500)] + [(3000, 0), (9999, 1),
-                                                                    (None, 1), (0, 1)],
+
+def test_scores_hostile(spark, hostile, hostile_docs):
+    ids = [7, 11, 12, 23, 15, *range(100, 130)]
+    labels = spark.createDataFrame([(i, 1) for i in [*ids, 7, 9999, None]] + [(200, 0)],
                                    "doc_id long, quality int")
-    ratios = catalog.ratios_from(docs, labels)
+    want = _scores(hostile, [t for d, t in hostile if d in ids])
+    ratios = catalog.ratios_from(hostile_docs, labels)
     assert ratios.count() == quality.BUCKETS
-    got = {r["doc_id"]: r for r in quality.quality(docs, ratios).collect()}
-    share = lambda n, total: math.log((n + .5) / (total + .5 * quality.BUCKETS))
-    good = share(1500, 31500) - share(3000, 69300)
-    junk = share(0, 31500) - share(300, 69300)
-    assert got[0]["score"] == pytest.approx(good) and got[0]["kept"]
-    assert got[3007]["score"] == pytest.approx(junk) and not got[3007]["kept"]
-    kept = quality.drop_low_quality(docs, ratios)
-    assert {r["doc_id"] for r in kept.collect()} == set(range(3000))
-    flat = catalog.ratios_from(docs, labels.limit(0))
-    assert flat.where("ratio <> 0").count() == 0
+    got = rows_of(quality.quality(hostile_docs, ratios), "doc_id", "n_words", "score")
+    pairs = sorted(((d, len(brute.words(t or "")), x) for (d, t), x in zip(hostile, want)),
+                   key=repr)
+    assert [r[:2] for r in got] == [r[:2] for r in pairs]
+    assert sorted(r[2] for r in got) == pytest.approx(sorted(r[2] for r in pairs), abs=1e-9)
+
+
+def test_target_documents(spark, hostile, hostile_docs, no_docs, monkeypatch):
+    """The exact join takes out documents that share a bit; other id types meet."""
+    for bits in (1 << 24, 64):
+        monkeypatch.setattr(quality, "_FILTER_BITS", bits)
+        for kind in ("long", "int"):
+            labels = spark.createDataFrame(
+                [(7, 1), (7, 1), (7, 0), (23, 1), (24, 0), (None, 1), (9999, 1), (10, None)],
+                f"doc_id {kind}, quality int").repartition(3)
+            got = quality.target_documents(hostile_docs, labels)
+            assert got.columns == hostile_docs.columns
+            same(rows_of(got, "doc_id", "text"), [x for x in hostile if x[0] in (7, 23)])
+            assert quality.target_documents(hostile_docs, labels.limit(0)).count() == 0
+            assert quality.target_documents(no_docs, labels).count() == 0
+
+
+def test_ratio_separates_junk_from_prose(spark):
+    """Junk goes, prose stays, whether or not its text is in the target; a target of a few
+    words, or none, rejects nothing."""
+    rng = random.Random(8)
+    prose = [f"w{i}" for i in range(200)]
+    junk = [f"j{i}" for i in range(200)]
+    docs = [(i, " ".join(rng.choices(prose, k=60))) for i in range(1500)] + [
+        (i, " ".join(rng.choices(junk, k=60))) for i in range(1500, 1700)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(500)] + [(1500, 0)],
+                                   "doc_id long, quality int")
+    ratios = catalog.ratios_from(frame, labels)
+    kept = quality.drop_low_quality(frame, ratios)
+    assert {r["doc_id"] for r in kept.collect()} == set(range(1500))
+    one = catalog.ratios_from(frame, labels.where("doc_id = 3"))
+    assert quality.drop_low_quality(frame, one).count() == 1700
+    none = catalog.ratios_from(frame, labels.limit(0))
+    assert none.where("exists(ratios, x -> x <> 0)").count() == 0
+
+
+def test_quality_held_out(spark):
+    """Every labelled document is scored without its fold: good ones stay, bad ones go."""
+    folder = SF_SMALL.replace("sf0.001", "sf0.1")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    got = catalog.QUERIES["op8_quality"](spark, folder).where("NOT base_failed").join(
+        labels, "doc_id").groupBy("quality").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("kept"))
+    by = {r["quality"]: r for r in got.collect()}
+    assert by[1]["kept"] == by[1]["n"]
+    assert by[0]["kept"] <= 0.4 * by[0]["n"]
 
 
 def test_low_quality_rows_go_one_by_one(spark, hostile, hostile_docs, no_docs):

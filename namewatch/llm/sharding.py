@@ -158,21 +158,43 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The law is ``rows``: shard sizes differ by one row at most, and every arrangement is
     equally likely over seeds. A null text counts as empty (size 1, checksum 0).
     """
-    raw = F.encode(text_of(text_col), "UTF-8")
-    slim = docs.select(F.col(id_col).alias("id"),
-                       (F.octet_length(text_of(text_col)) + 1).cast("long").alias("size"),
-                       F.crc32(raw).alias("text_crc32"),
-                       F.xxhash64(text_of(text_col)).alias("digest"))
+    slim = docs.select(F.col(id_col).alias("id"), *(
+        c.alias(name) for name, c in _digest(text_col).items()),
+        F.xxhash64(text_of(text_col)).alias("digest"))
     key = F.concat_ws(":", F.col("id").cast("string"), F.col("digest").cast("string"))
     return deal(slim, key, "shard", "slot", shards, seed).select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit(LAW).alias("law"), "shard",
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _digest(text_col: str) -> dict[str, Column]:
+    return {"size": (F.octet_length(text_of(text_col)) + 1).cast("long"),
+            "text_crc32": F.crc32(F.encode(text_of(text_col), "UTF-8"))}
+
+
 def write_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """``docs`` with columns ``shard`` and ``slot`` (renamed if taken)."""
+    """``docs`` with columns ``shard`` and ``slot`` (renamed if taken).
+
+    Every row keeps all its columns and moves once. Null ids and texts are values like others;
+    repeated rows get a slot each; an empty table stays empty.
+    """
     shard_col, slot_col = fresh(docs.columns, "shard", "slot")
     key = F.concat_ws(":", F.col(id_col).cast("string"),
                       F.xxhash64(text_of(text_col)).cast("string"))
     return deal(docs, key, shard_col, slot_col, shards, seed)
+
+
+def sharded_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """The documents in their shards: the columns of :func:`shard`, then the others of ``docs``.
+
+    Places are those of :func:`shard` on the same partitions. A column of ``docs`` that has the
+    name of one of them is left out. Nulls, repeats and empty tables as in :func:`write_order`.
+    """
+    ours = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    others = [c for c in docs.columns if c.lower() not in (*ours, id_col.lower())]
+    placed = write_order(docs.select(id_col, *others), id_col, text_col, shards, seed)
+    return placed.withColumns({
+        **_digest(text_col), "law": F.lit(LAW), "slot": F.col("slot").cast("long"),
+        "grown_shard": F.lit(None).cast("int")}).select(id_col, *ours, *others)

@@ -16,7 +16,7 @@ import corpus_pipeline
 from namewatch.llm import catalog, langid, mixing, sharding, toxicity
 from tests.conftest import SF_CHECK, SF_SMALL
 from tests.llm import brute
-from tests.llm.conftest import rows_of
+from tests.llm.conftest import rows_of, same
 
 # -- mixing ----------------------------------------------------------------------------------
 
@@ -195,6 +195,19 @@ def test_shards_hostile(hostile, hostile_docs, no_docs, monkeypatch):
     placed = sharding.write_order(hostile_docs)
     assert placed.columns == [*hostile_docs.columns, "shard", "slot"]
     assert placed.count() == len(hostile)
+    clash = hostile_docs.withColumns({"SIZE": F.lit(0), "slot": F.lit("x"), "nw_at": F.lit(1)})
+    corpus = sharding.sharded_corpus(clash)
+    ours = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert corpus.columns == ours + [c for c in hostile_docs.columns if c != "doc_id"] + ["nw_at"]
+    _check_shards(rows_of(corpus, *columns), hostile)
+    same(rows_of(corpus, *hostile_docs.columns), rows_of(hostile_docs, *hostile_docs.columns))
+    assert sharding.sharded_corpus(no_docs).count() == 0
+
+
+def test_sharded_corpus_has_the_places_of_the_query(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    same(rows_of(sharding.sharded_corpus(docs), "doc_id", "shard", "slot"),
+         rows_of(sharding.shard(docs), "doc_id", "shard", "slot"))
 
 
 def test_shards_small(spark):
@@ -415,6 +428,10 @@ def test_pipeline_stages(spark):
         else:
             _check_shards(rows_of(docs, "doc_id", "size", "text_crc32", "shard", "slot"),
                           texts(before))
+            assert rows_of(docs, *corpus_pipeline.COLUMNS) == rows_of(
+                before, *corpus_pipeline.COLUMNS)
+            assert docs.where("grown_shard IS NOT NULL OR law <> 'rows' OR text_crc32 <> "
+                              "crc32(coalesce(text, ''))").count() == 0
     same = rows_of(corpus_pipeline.run(spark, SF_SMALL), "doc_id", "size", "text_crc32")
     assert same == rows_of(out["sharding"], "doc_id", "size", "text_crc32")
 

@@ -185,7 +185,9 @@ def target_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id")
         "shiftright", F.col(bits), F.col(at).bitwiseAND(63).cast("int")).bitwiseAND(1) == 1)
     # labels grow with the documents: the same plan at every size, never a broadcast
     near = near.select(*docs.columns)
-    return near.hint("merge").join(marked, near[id_col] == marked[good], "left_semi")
+    # an inner join of distinct ids: a semi join would be moved below the bits
+    marked = marked.distinct()
+    return near.hint("merge").join(marked, near[id_col] == marked[good]).drop(good)
 
 
 def quality(docs: DataFrame, ratios: DataFrame, id_col: str = "doc_id", text_col: str = "text",

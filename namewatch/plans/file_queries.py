@@ -127,7 +127,7 @@ def cache_table(s, sf):
     pass, name group by name group; what a reader sees."""
     base = FS.scratch_path(s, "cache-table")
     CT.put(_snapshot(s, sf, "before"), base)
-    after = _snapshot(s, sf, "after")
+    after = FS.stored(_snapshot(s, sf, "after"), "after")
     CT.put(after.filter(F.col("ecosystem") == "python"), base)
     CT.put(after.filter(F.col("ecosystem") != "python"), base)
     return CT.read_cache(s, base)

@@ -53,11 +53,12 @@ def read_cache(spark: SparkSession, base: str) -> DataFrame:
 def put(results: DataFrame, base: str, buckets: int = BUCKETS) -> int:
     """Put the definitive ones of ``results`` into the cache at ``base``, by the rules of
     ``lookups.cache_put``; the number of buckets that were rewritten. ``buckets`` counts for a
-    new table only. Null names and ecosystems are keys like others."""
+    new table only. Null names and ecosystems are keys like others. The results are written to
+    the scratch folder first, so that what they derive from is computed once."""
     spark = results.sparkSession
     version, held_buckets, held = manifest(spark, base)
     buckets = held_buckets or buckets
-    new = results.filter(L.is_definitive(F.col("status"))).select(*COLUMNS)
+    new = FS.stored(results.filter(L.is_definitive(F.col("status"))).select(*COLUMNS), "cache-put")
     touched = sorted(r[0] for r in new.select(_bucket(buckets).alias("b")).distinct().collect())
     if not touched:
         return 0

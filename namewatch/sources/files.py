@@ -26,6 +26,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to a fresh scratch folder and read back: however often it is used, what
+    it derives from is computed once."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in ``path``; none if it does not exist."""
     here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

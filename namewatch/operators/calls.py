@@ -63,12 +63,19 @@ def reduce_calls(calls: DataFrame, retries: int = 2) -> DataFrame:
     attempt is the first that succeeds or fails terminally, or else the last allowed one;
     a log that stops earlier is decided by its last attempt. A failure's error text is
     ``type: message`` with the message cut to 300 characters; the latency is the deciding
-    attempt's. One hash aggregate per task key (min_by / max_by), no window."""
-    c = classified_calls(calls)
+    attempt's. One aggregate per task key (min_by / max_by), no window; its rows carry an
+    error's cut text, not the whole message."""
+    error = F.concat(F.coalesce("exc_type", F.lit(UNKNOWN_ERROR)), F.lit(": "),
+                     F.substring(F.coalesce("message", F.lit("")), 1,
+                                 V.CALL_ERROR_MESSAGE_CHARS))
+    c = classified_calls(calls).select(
+        *TASK_KEY, "attempt", "outcome",
+        F.when(F.col("outcome") != "ok", error).alias("error"), "latency_s",
+        F.when(F.col("outcome") == "ok", F.col("stop_reason")).alias("stop_reason"),
+        truncated_flag(F.col("provider"), F.col("stop_reason")).alias("truncated"))
     allowed = F.col("attempt") <= retries + 1
     deciding = allowed & ((F.col("outcome") != "transient") | (F.col("attempt") == retries + 1))
-    rec = F.struct("attempt", "outcome", "exc_type", "message", "latency_s", "stop_reason",
-                   "provider")
+    rec = F.struct("attempt", "outcome", "error", "latency_s", "stop_reason", "truncated")
     agg = c.groupBy(*TASK_KEY).agg(
         F.min_by(rec, F.when(deciding, F.col("attempt"))).alias("first_decisive"),
         F.max_by(rec, F.when(allowed, F.col("attempt"))).alias("last_allowed"),
@@ -78,16 +85,13 @@ def reduce_calls(calls: DataFrame, retries: int = 2) -> DataFrame:
     none_allowed = F.col("attempts") == 0
     d = F.coalesce(F.col("first_decisive"), F.col("last_allowed"))
     ok = ~none_allowed & (d["outcome"] == "ok")
-    error = F.concat(F.coalesce(d["exc_type"], F.lit(UNKNOWN_ERROR)), F.lit(": "),
-                     F.substring(F.coalesce(d["message"], F.lit("")), 1,
-                                 V.CALL_ERROR_MESSAGE_CHARS))
     return agg.select(
         *TASK_KEY,
         ok.alias("ok"),
-        F.when(none_allowed, F.lit(NO_ALLOWED_ATTEMPT)).when(~ok, error).alias("error"),
+        F.when(none_allowed, F.lit(NO_ALLOWED_ATTEMPT)).when(~ok, d["error"]).alias("error"),
         F.round(d["latency_s"], 3).alias("latency_s"),
         F.when(ok, d["stop_reason"]).alias("stop_reason"),
-        (ok & truncated_flag(d["provider"], d["stop_reason"])).alias("truncated"),
+        (ok & d["truncated"]).alias("truncated"),
         d["attempt"].alias("deciding_attempt"),
         "attempts",
         "ignored_attempts",

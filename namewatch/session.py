@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -23,6 +24,24 @@ ENGINE_CONF: dict[str, str] = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+# What a task reads of a shuffle, in MB at most as far as the shuffle has partitions for it. A
+# join's and an aggregate's sorted rows take ten to twenty times their compressed size in
+# memory, several of them in one stage. Sessions that ask for less keep it.
+TASK_READ_MB = 8
+_ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
+# What AQE may turn into a broadcast join, in MB at most. It goes by compressed shuffle files: a
+# registry of 6 MB there was about 500 MB as a hash table, held beside every task's own rows.
+AQE_BROADCAST_MB = 1
+_BROADCAST = "spark.sql.adaptive.autoBroadcastJoinThreshold"
+_UNITS = {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}
+
+
+def _bytes(size: str) -> int:
+    """Bytes of a size as Spark's settings state it (``64m``, ``16 KB``, ``1024``)."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([bkmgt]?)b?", size.strip().lower()).groups()
+    return int(number) << _UNITS[unit]
+
 
 def build_session(
     master: str = "local[8]",
@@ -54,6 +73,11 @@ def apply_engine_conf(spark: SparkSession) -> SparkSession:
     for key, value in ENGINE_CONF.items():
         if spark.conf.isModifiable(key):
             spark.conf.set(key, value)
+    if _bytes(spark.conf.get(_ADVISORY)) > TASK_READ_MB << 20:
+        spark.conf.set(_ADVISORY, f"{TASK_READ_MB}m")
+    held = spark.conf.get(_BROADCAST, None) or spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if _bytes(held) > AQE_BROADCAST_MB << 20:
+        spark.conf.set(_BROADCAST, f"{AQE_BROADCAST_MB}m")
     strict = spark.conf.get("spark.sql.variant.allowDuplicateKeys")
     if strict != ENGINE_CONF["spark.sql.variant.allowDuplicateKeys"]:
         raise RuntimeError("spark.sql.variant.allowDuplicateKeys must be true")

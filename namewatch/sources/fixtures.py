@@ -156,6 +156,14 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 # A total order of the line items of one order (line numbers alone repeat).
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``attempt``, numbered within an order. Texts are derived afterwards: in
+    one select with the window they would be exchanged and sorted with the lines."""
+    return lines.withColumn("attempt", F.row_number().over(
+        Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)).cast("int"))
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sweep's prompt dimension: one prompt per customer group (custkey mod 50), with
     the attributes the run records carry; ``ord`` is file-then-entry order."""
@@ -229,7 +237,7 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry lookup log: every line item is one GET for the name of its part, in the
     ecosystem of its order's parity; the outcome comes from the line's flags."""
-    li = read_table(spark, sf_dir, "lineitem")
+    li = _numbered(read_table(spark, sf_dir, "lineitem"))
     code = (F.col("l_partkey") + F.col("l_suppkey")) % 10
     status = (
         F.when(code <= 4, 200)
@@ -241,8 +249,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(
         F.when(F.col("l_orderkey") % 2 == 0, "python").otherwise("javascript").alias("ecosystem"),
         _padded("pkg-", F.col("l_partkey") % 400, 3).alias("name"),
-        F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
-        .cast("int").alias("attempt"),
+        "attempt",
         status.cast("int").alias("http_status"),
         F.when(status.isNull(), F.lit("ConnectTimeout: timed out"))
         .otherwise(F.concat(F.lit("HTTP "), status.cast("string"))).alias("detail"),
@@ -259,7 +266,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_quantity",
         "l_extendedprice", "l_shipdate",
     )
-    j = r.join(li, r.response_id == li.l_orderkey, "inner")
+    j = _numbered(r.join(li, r.response_id == li.l_orderkey, "inner"))
     code = F.col("l_partkey") % 10
     status = (
         F.when(code == 0, 429).when(code == 1, 503).when(code == 2, 400).when(code == 3, 401)
@@ -284,8 +291,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(
         F.col("response_id").alias("call_id"),
         "model_id", "prompt_id", "run_index",
-        F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
-        .cast("int").alias("attempt"),
+        "attempt",
         provider.alias("provider"),
         exc.alias("exc_type"),
         F.when(quota & (F.col("l_suppkey") % 2 == 1), F.lit("insufficient_quota")).alias("error_code"),

@@ -100,3 +100,35 @@ def test_cross_recurrence_counts_with_nulls(spark):
 def test_no_cartesian_products(spark, q, name):
     plan = _plan(q[name](spark, SF_SMALL))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["reduce_calls", "reduce_attempts"])
+def test_lines_are_numbered_before_their_texts_are_derived(spark, q, name):
+    """What is exchanged and sorted for the window has the table's columns only."""
+    below = _plan(q[name](spark, SF_SMALL)).partition("Window [")[2]
+    assert "row_number" in below and "RateLimitError" not in below and "HTTP " not in below
+
+
+def test_reduced_calls_carry_no_whole_messages(spark):
+    """What is sorted by task has an error's cut text, not the message it is cut from."""
+    from namewatch import schemas
+    from namewatch.operators import calls as C
+    sorts = [x for x in _plan(C.reduce_calls(spark.createDataFrame([], schemas.CALLS))).splitlines()
+             if "SortAggregate" in x]
+    assert sorts and not any("message" in x for x in sorts)
+
+
+@pytest.mark.parametrize("key, larger, most, smaller", [
+    ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB", "8m", "16k"),
+    ("spark.sql.adaptive.autoBroadcastJoinThreshold", "10485760", "1m", "-1"),
+])
+def test_sizes_of_a_task_are_bounded(spark, key, larger, most, smaller):
+    """Larger settings of the session are lowered; smaller ones stay."""
+    from namewatch.session import apply_engine_conf
+    before = spark.conf.get(key)
+    try:
+        for given, want in ((larger, most), (smaller, smaller)):
+            spark.conf.set(key, given)
+            assert apply_engine_conf(spark).conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)

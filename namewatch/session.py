@@ -30,10 +30,11 @@ ENGINE_CONF: dict[str, str] = {
 TASK_READ_MB = 8
 _ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 
-# What AQE may turn into a broadcast join, in MB at most. It goes by compressed shuffle files: a
-# registry of 6 MB there was about 500 MB as a hash table, held beside every task's own rows.
-AQE_BROADCAST_MB = 1
-_BROADCAST = "spark.sql.adaptive.autoBroadcastJoinThreshold"
+# What may become a broadcast join, in MB at most. Spark goes by compressed files: a registry of
+# 6 MB there was about 500 MB as a hash table, held beside every task's own rows.
+BROADCAST_MB = 1
+_BROADCAST = "spark.sql.autoBroadcastJoinThreshold"
+_AQE_BROADCAST = "spark.sql.adaptive.autoBroadcastJoinThreshold"
 _UNITS = {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}
 
 
@@ -75,9 +76,10 @@ def apply_engine_conf(spark: SparkSession) -> SparkSession:
             spark.conf.set(key, value)
     if _bytes(spark.conf.get(_ADVISORY)) > TASK_READ_MB << 20:
         spark.conf.set(_ADVISORY, f"{TASK_READ_MB}m")
-    held = spark.conf.get(_BROADCAST, None) or spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    if _bytes(held) > AQE_BROADCAST_MB << 20:
-        spark.conf.set(_BROADCAST, f"{AQE_BROADCAST_MB}m")
+    for key, held in ((_BROADCAST, spark.conf.get(_BROADCAST)),
+                      (_AQE_BROADCAST, spark.conf.get(_AQE_BROADCAST, None))):
+        if held and _bytes(held) > BROADCAST_MB << 20:
+            spark.conf.set(key, f"{BROADCAST_MB}m")
     strict = spark.conf.get("spark.sql.variant.allowDuplicateKeys")
     if strict != ENGINE_CONF["spark.sql.variant.allowDuplicateKeys"]:
         raise RuntimeError("spark.sql.variant.allowDuplicateKeys must be true")

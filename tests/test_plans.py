@@ -120,15 +120,16 @@ def test_reduced_calls_carry_no_whole_messages(spark):
 
 @pytest.mark.parametrize("key, larger, most, smaller", [
     ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB", "8m", "16k"),
-    ("spark.sql.adaptive.autoBroadcastJoinThreshold", "10485760", "1m", "-1"),
+    ("spark.sql.autoBroadcastJoinThreshold", "10485760", "1m", "-1"),
+    ("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB", "1m", "256k"),
 ])
 def test_sizes_of_a_task_are_bounded(spark, key, larger, most, smaller):
     """Larger settings of the session are lowered; smaller ones stay."""
     from namewatch.session import apply_engine_conf
-    before = spark.conf.get(key)
+    before = spark.conf.get(key, None)
     try:
         for given, want in ((larger, most), (smaller, smaller)):
             spark.conf.set(key, given)
             assert apply_engine_conf(spark).conf.get(key) == want
     finally:
-        spark.conf.set(key, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

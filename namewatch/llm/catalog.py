@@ -64,8 +64,8 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = f"{checkpoint_dir(spark)}/namewatch-llm/secret-ledger-{uuid.uuid4().hex}"
-    return secrets.digest(secrets.scan_stored(
-        _table(spark, sf_dir, "documents", "doc_id", "text"), ledger))
+    return secrets.gathered(secrets.digest(secrets.scan_stored(
+        _table(spark, sf_dir, "documents", "doc_id", "text"), ledger)))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

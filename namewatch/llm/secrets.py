@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from namewatch.llm.common import materialise, text_of
 
@@ -88,10 +89,15 @@ def find_spans(text: str | None, rules: dict = RULES) -> list[tuple[str, int, in
 
 
 LEDGER = f"blob binary, rules string, spans {_SPANS}"
+TEXTS_PER_FILE = 16   # partitions of texts whose spans go into one file, see gathered
 
 
-def empty_ledger(spark) -> DataFrame:
-    return spark.createDataFrame([], LEDGER)
+def empty_ledger(spark: SparkSession) -> DataFrame:
+    """No rows, known to Spark as such: a join with it is planned away, and no Python worker
+    starts for it (``createDataFrame`` of a list reads it in workers)."""
+    return spark.range(0).where(F.lit(False)).select(
+        *(F.lit(None).cast(field.dataType).alias(field.name)
+          for field in StructType.fromDDL(LEDGER)))
 
 
 def _committed(spark: SparkSession, folder: str) -> list[str]:
@@ -117,10 +123,25 @@ def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
 def append_ledger(new: DataFrame, folder: str) -> None:
     """Store new rows as a part of their own. Until its write ends, readers do not see it; a
     run that fails leaves nothing that counts."""
-    new.select("blob", "rules", "spans").write.option("compression", "zstd").parquet(
+    gathered(new.select("blob", "rules", "spans")).write.option("compression", "zstd").parquet(
         f"{folder}/part-{uuid.uuid4().hex}")
 
 
+def gathered(derived: DataFrame) -> DataFrame:
+    """``derived``, rows of about a tenth of their texts or less, in one partition for every
+    ``TEXTS_PER_FILE`` of a shuffle of texts (by the session's setting, and one for each core at
+    least), so in fewer files.
+
+    On a local file system without native code, an executor starts ``chmod`` for each file it
+    writes, for its checksum and for their folder. Until its program starts, such a child
+    shares all of the executor's memory and is counted with it.
+    """
+    spark = derived.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return derived.repartition(
+        min(tasks, max(-(-tasks // TEXTS_PER_FILE), spark.sparkContext.defaultParallelism)))
+
+
 def with_blobs(docs: DataFrame, text_col: str, out: str) -> DataFrame:
     """``docs`` with the content address of the text (null counts as the empty text)."""
     return docs.withColumn(out, F.unhex(F.sha2(text_of(text_col), 256)))
